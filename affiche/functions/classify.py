@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from affiche.functions import lexicon
 from affiche.functions.matching import any_of, contains_any, starts_with_any
-from affiche.functions.text import any_true, as_day, matching_form, nfc, strip
+from affiche.functions.text import any_true, as_day, nfc, strip
 
 # Digits besides the decimal ones, i.e. superscript, subscript and circled.
 _DIGIT = (
@@ -42,8 +42,7 @@ def title_rejections(stripped: Column, normal: Column) -> dict[str, Column]:
         "digits": F.regexp_count(stripped, F.lit(_DIGIT)) > F.length(stripped) * 0.5,
         "generic": normal.isin(lexicon.GENERIC_TITLES),
         "capitals": (F.length(stripped) < 40)
-        & (letters > 0)
-        & (F.coalesce(capitals / F.nullif(letters, F.lit(0)), F.lit(0.0)) > 0.85),
+        & F.coalesce(F.try_divide(capitals, letters) > 0.85, F.lit(False)),
         "label": stripped.endswith(":") | stripped.endswith("："),
         "fragment": starts_with_any(normal, lexicon.FRAGMENT_STARTS),
         "nav_label": normal.isin(lexicon.NAV_LABELS),
@@ -73,7 +72,3 @@ def is_past(normal_title: Column, event_date: Column, as_of: dt.date) -> Column:
     years = [str(year) for year in range(lexicon.FIRST_PAST_YEAR, as_of.year)]
     return past | normal_title.rlike(any_of(years)) if years else past
 
-
-def either(title: Column, text: Column) -> Column:
-    """One text to search instead of two: no listed word contains a line break."""
-    return matching_form(F.concat_ws("\n", title, text))

@@ -64,40 +64,48 @@ def summary_cut(text: Column) -> Column:
     return F.substring(text, 1, lexicon.MAX_SUMMARY_CHARS)
 
 
+def first_match(text: Column, pattern: str, group: int = 0) -> Column:
+    """The first hit of a pattern, null when there is none.
+
+    Built on the list of hits: an empty-string test around ``regexp_extract`` would
+    put the search into the generated code twice, and once more per level of nesting.
+    """
+    return F.get(F.regexp_extract_all(text, F.lit(pattern), group), F.lit(0))
+
+
 # ---------------------------------------------------------------- date
 
 
 def _slash_date(text: Column) -> Column:
-    found = F.regexp_extract(text, r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}", 0)
+    found = first_match(text, "[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}")
     padded = F.regexp_replace(found, "([0-9]+)/([0-9]+)/([0-9]+)", "$3-0$2-0$1")
-    return blank_to_null(F.regexp_replace(padded, "-0([0-9]{2})", "-$1"))
+    return F.regexp_replace(padded, "-0([0-9]{2})", "-$1")
 
 
 def _worded_date(text: Column) -> Column:
     """Day, month word, year. The month list decides between several dates, not the text order.
 
     One pass with a look-ahead gathers every candidate, overlapping ones too
-    ("15 mai 2026 mars 2027" holds two); the ordered month tests then only read
-    that short list.
+    ("15 mai 2026 mars 2027" holds two). The choice is then one ordered pattern on
+    that short list: the first arm that fits leaves the only non-empty group.
     """
     months = "|".join(lexicon.MONTHS)
-    candidate = rf"(?=([0-9]{{1,2}} +(?:{months})\.? +[0-9]{{4}}))"
-    candidates = F.array_join(F.regexp_extract_all(text, F.lit(candidate), 1), "|")
-
-    def dated(word: str, number: str) -> Column:
-        found = F.regexp_extract(candidates, rf"[0-9]{{1,2}} +{word}\.? +[0-9]{{4}}", 0)
-        padded = F.regexp_replace(found, r"([0-9]+)[^0-9]+([0-9]+)", f"$2-{number}-0$1")
-        return blank_to_null(F.regexp_replace(padded, "-0([0-9]{2})$", "-$1"))
-
-    in_list_order = F.coalesce(*[dated(w, n) for w, n in lexicon.MONTHS.items()])
-    return F.when(text.rlike(rf"[0-9] +(?:{months})\.? +[0-9]{{4}}"), in_list_order)
+    every = rf"(?=([0-9]{{1,2}} +(?:{months})\.? +[0-9]{{4}}))"
+    candidates = F.array_join(F.regexp_extract_all(text, F.lit(every), 1), "|")
+    arms = "|".join(rf".*?([0-9]{{1,2}} +{word}\.? +[0-9]{{4}})" for word in lexicon.MONTHS)
+    groups = "".join(f"${n}" for n in range(1, len(lexicon.MONTHS) + 1))
+    chosen = F.regexp_replace(candidates, f"^(?:{arms}).*$", groups)
+    date = F.regexp_replace(chosen, r"([0-9]+) +([^0-9 .]+)\.? +([0-9]+)", "$3-$2-0$1")
+    for word, number in lexicon.MONTHS.items():
+        date = F.replace(date, F.lit(f"-{word}-"), F.lit(f"-{number}-"))
+    return first_match(F.regexp_replace(date, "-0([0-9]{2})$", "-$1"), "^.+$")
 
 
 def french_date(text: Column) -> Column:
     """First d/m/yyyy, else a worded date, else the first yyyy-mm-dd; the calendar is not checked."""
     flat = single_spaces(F.lower(text))
-    iso = F.regexp_extract(flat, "[0-9]{4}-[0-9]{2}-[0-9]{2}", 0)
-    return F.coalesce(_slash_date(flat), _worded_date(flat), blank_to_null(iso))
+    iso = first_match(flat, "[0-9]{4}-[0-9]{2}-[0-9]{2}")
+    return F.coalesce(_slash_date(flat), _worded_date(flat), iso)
 
 
 def as_day(event_date: Column) -> Column:
@@ -111,11 +119,11 @@ def as_day(event_date: Column) -> Column:
 
 def clock_time(text: Column) -> Column:
     """First 14h30 / 14H30 / 14:30, else the first 15h at the end of a word."""
-    full = F.regexp_extract(text, "[0-9]{1,2}[hH:][0-9]{2}", 0)
-    hour = F.regexp_extract(text, r"(?U)([0-9]{1,2})[hH](?!\w)", 1)
+    full = first_match(text, "[0-9]{1,2}[hH:][0-9]{2}")
+    hour = first_match(text, r"(?U)([0-9]{1,2})[hH](?!\w)", 1)
     return F.coalesce(
-        F.lpad(F.regexp_replace(blank_to_null(full), "[hH]", ":"), 5, "0"),
-        F.concat(F.lpad(blank_to_null(hour), 2, "0"), F.lit(":00")),
+        F.lpad(F.regexp_replace(full, "[hH]", ":"), 5, "0"),
+        F.concat(F.lpad(hour, 2, "0"), F.lit(":00")),
     )
 
 
@@ -127,8 +135,9 @@ _EURO = r" *(?:€|eur(?:os?)?(?!\w))"
 
 def _priced(text: Column, pattern: str, shown: str) -> Column:
     """Rewrite the first hit of the pattern; decimal commas become dots."""
-    found = blank_to_null(F.regexp_extract(text, pattern, 0))
-    return F.regexp_replace(F.regexp_replace(found, pattern, shown), ",", ".")
+    return F.replace(
+        F.regexp_replace(first_match(text, pattern), pattern, shown), F.lit(","), F.lit(".")
+    )
 
 
 def price_label(normal_text: Column) -> Column:
@@ -146,33 +155,29 @@ def price_label(normal_text: Column) -> Column:
         _priced(flat, rf"€ *({_AMOUNT})", "$1€"),
     )
     return F.when(contains_any(normal_text, lexicon.FREE), F.lit(lexicon.PRICE_FREE)).when(
-        flat.rlike("[0-9]") & flat.rlike("€|eur"), paid
+        normal_text.rlike("€|eur"), paid
     )
 
 
 # ---------------------------------------------------------------- age
 
 
-def age_range(text: Column) -> Column:
-    """struct(age_min, age_max) of "6-10 ans", "5 à 8 ans", "dès 6 ans"; 5-10 otherwise."""
+def age_bounds(text: Column) -> Column:
+    """array(age_min, age_max) of "6-10 ans", "5 à 8 ans", "dès 6 ans"; 5-10 otherwise."""
     flat = single_spaces(F.lower(text))
-    between = blank_to_null(F.regexp_extract(flat, "[0-9]{1,2} *[-àa] *[0-9]{1,2} *ans", 0))
-    onward = blank_to_null(F.regexp_extract(flat, "d[eè]s +[0-9]{1,2} *ans", 0))
-
-    def number(found: Column, place: str) -> Column:
-        return F.regexp_extract(found, place, 1).cast("int")
-
-    def ages(low: Column, high: Column) -> Column:
-        return F.struct(low.alias("age_min"), high.alias("age_max"))
-
-    return (
-        F.when(
-            between.isNotNull(),
-            ages(number(between, "^([0-9]+)"), number(between, "([0-9]+) *ans$")),
-        )
-        .when(onward.isNotNull(), ages(number(onward, "([0-9]+)"), F.lit(lexicon.OPEN_AGE_MAX)))
-        .otherwise(ages(F.lit(lexicon.DEFAULT_AGE_MIN), F.lit(lexicon.DEFAULT_AGE_MAX)))
+    between, onward = "([0-9]{1,2}) *[-àa] *([0-9]{1,2}) *ans", "d[eè]s +([0-9]{1,2}) *ans"
+    found = F.coalesce(
+        F.regexp_replace(first_match(flat, between), between, "$1 $2"),
+        F.regexp_replace(first_match(flat, onward), onward, f"$1 {lexicon.OPEN_AGE_MAX}"),
+        F.lit(f"{lexicon.DEFAULT_AGE_MIN} {lexicon.DEFAULT_AGE_MAX}"),
     )
+    return F.split(found, " ").cast("array<int>")
+
+
+def age_range(text: Column) -> Column:
+    """``age_bounds`` as struct(age_min, age_max)."""
+    bounds = age_bounds(text)
+    return F.struct(F.get(bounds, F.lit(0)).alias("age_min"), F.get(bounds, F.lit(1)).alias("age_max"))
 
 
 def any_true(conditions: list[Column]) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from affiche.functions import lexicon
 from affiche.functions.matching import contains_any
-from affiche.functions.text import blank_to_null, strip
+from affiche.functions.text import strip
 
 _URI = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
 
@@ -85,27 +85,21 @@ def with_absolute_url(df: DataFrame, base: str, href: str, out: str) -> DataFram
         )
 
     h, b = F.col("__h"), F.col("__b")
-    h_scheme = F.coalesce(blank_to_null(h["scheme"]), b["scheme"])
-    foreign = (h_scheme != b["scheme"]) | ~h_scheme.isin(RELATIVE_SCHEMES)
-    own_site = h["authority"].isin("", "//")
+    h_scheme = F.when(h["scheme"] != "", h["scheme"]).otherwise(b["scheme"])
+    own_site, hosted = h["authority"].isin("", "//"), b["authority"] != ""
 
-    base_folder = F.regexp_replace(b["path"], "[^/]+$", "")
-    # An absolute link path is kept as it is; in a joined path doubled slashes collapse.
-    joined = F.when(h["path"].startswith("/"), h["path"]).otherwise(
-        F.regexp_replace(F.concat(base_folder, h["path"]), "(?<=.)/{2,}", "/")
-    )
-    rooted = F.when((b["authority"] != "") & ~joined.startswith("/"), F.concat(F.lit("/"), joined))
-    full_path = F.coalesce(rooted, joined)
-    has_dots = full_path.rlike(r"(?:^|/)\.\.?(?:/|$)")
-    # Resolving can eat the leading empty segment ("/..//x"), the slash is then put back.
-    resolved = F.array_join(_without_dots(F.split(full_path, "/", -1)), "/")
-    resolved = F.when(
-        (b["authority"] != "") & (resolved != "") & ~resolved.startswith("/"),
-        F.concat(F.lit("/"), resolved),
-    ).otherwise(F.coalesce(blank_to_null(resolved), F.lit("/")))
-    new_path = F.when(has_dots, resolved).otherwise(
-        F.coalesce(blank_to_null(full_path), F.lit("/"))
+    def rooted(part: Column) -> Column:
+        return F.when(hosted & ~part.startswith("/"), F.concat(F.lit("/"), part)).otherwise(part)
+
+    # An absolute link path stays as it is; in a joined path doubled slashes collapse.
+    folder = F.regexp_replace(b["path"], "[^/]+$", "")
+    path = F.when(h["path"].startswith("/"), h["path"]).otherwise(
+        F.regexp_replace(F.concat(folder, h["path"]), "(?<=.)/{2,}", "/")
     )
+    has_dots = F.col("__path").rlike(r"(?:^|/)\.\.?(?:/|$)")
+    plain = F.when(
+        has_dots, F.array_join(_without_dots(F.split("__path", "/", -1)), "/")
+    ).otherwise(F.col("__path"))
 
     def tail(part: Column) -> Column:  # a lone '?' or '#' is dropped
         return F.when(F.length(part) > 1, part).otherwise("")
@@ -114,20 +108,15 @@ def with_absolute_url(df: DataFrame, base: str, href: str, out: str) -> DataFram
         F.when(h_scheme != "", F.concat(h_scheme, F.lit(":"))).otherwise(""),
         F.when(own_site, b["authority"]).otherwise(h["authority"]),
     )
-    query = tail(h["query"])
-    absolute = (
-        F.when(~own_site, F.concat(front, h["path"], query, tail(h["fragment"])))
-        .when(
-            h["path"] == "",
-            F.concat(
-                front,
-                b["path"],
-                F.when(query == "", tail(b["query"])).otherwise(query),
-                tail(h["fragment"]),
-            ),
-        )
-        .otherwise(F.concat(front, new_path, query, tail(h["fragment"])))
+    no_path = own_site & (h["path"] == "")
+    inherited = no_path & (F.length(h["query"]) <= 1)
+    absolute = F.concat(
+        front,
+        F.when(~own_site, h["path"]).when(no_path, b["path"]).otherwise(F.col("__path")),
+        F.when(inherited, tail(b["query"])).otherwise(tail(h["query"])),
+        tail(h["fragment"]),
     )
+    foreign = (h_scheme != b["scheme"]) | ~h_scheme.isin(RELATIVE_SCHEMES)
     url = (
         F.when(F.col(href).isNull(), None)
         .when(F.coalesce(F.col(base), F.lit("")) == "", F.col(href))
@@ -135,9 +124,14 @@ def with_absolute_url(df: DataFrame, base: str, href: str, out: str) -> DataFram
         .when(foreign, F.col(href))
         .otherwise(absolute)
     )
+    # One step per reuse, so that no part is worked out twice.
     return (
-        df.withColumn("__h", cut(clean_url(F.col(href))))
-        .withColumn("__b", cut(clean_url(F.col(base))))
+        df.withColumns({"__h": cut(clean_url(F.col(href))), "__b": cut(clean_url(F.col(base)))})
+        .withColumn("__path", path)
+        .withColumn("__path", rooted(F.col("__path")))
+        .withColumn("__path", plain)
+        # Resolving can eat the leading empty segment ("/../x"): the slash is put back.
+        .withColumn("__path", F.when(F.col("__path") == "", "/").otherwise(rooted(F.col("__path"))))
         .withColumn(out, url)
-        .drop("__h", "__b")
+        .drop("__h", "__b", "__path")
     )

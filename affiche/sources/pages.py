@@ -23,6 +23,8 @@ PAGES = T.StructType(
         T.StructField("html", T.StringType()),
     ]
 )
+# A snapshot as stored by a crawl, with the HTTP status of its fetch.
+SNAPSHOT = T.StructType([*PAGES.fields, T.StructField("status", T.IntegerType())])
 SITEMAPS = "url string, xml string"
 
 _RANGE = "struct<start:int,stop:int>"
@@ -55,8 +57,7 @@ _RULES = {
 
 def read_pages(spark: SparkSession, location: str, fmt: str = "parquet") -> DataFrame:
     """Stored snapshots with a declared schema; failed fetches are left out if a status is kept."""
-    stored = spark.read.schema(PAGES.add("status", T.IntegerType())).format(fmt).load(location)
-    return successful(stored).drop("status")
+    return successful(spark.read.schema(SNAPSHOT).format(fmt).load(location)).drop("status")
 
 
 def successful(pages: DataFrame) -> DataFrame:
