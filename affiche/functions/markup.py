@@ -1,15 +1,33 @@
-"""One HTML page to flat facts: text pieces, links, candidate blocks.
+"""One HTML page to flat facts: text pieces, links, paragraphs, candidate blocks.
 
 The only Python that runs per page. It decides nothing: which links and blocks
 count is worked out by DataFrame steps on the facts listed here. A block names
 its text as a range of the page's pieces, so nested blocks repeat no text.
+
+Tags are cut with one compiled pattern; attributes are looked at only where a
+class or a link is wanted. That reads several times as many pages per second as
+the standard library's parser.
 """
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+import re
+from html import unescape
+from urllib.parse import urljoin
+
+# Comments and declarations, or a tag: (1) slash of an end tag, (2) name, (3) attributes.
+_TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>"
+    r"|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)>",
+    re.DOTALL,
+)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_ORIGIN = re.compile(r"https?://[^/?#\s]+")
+# A rooted link without dot segments and empty parts: origin + link, nothing to resolve.
+_ROOTED = re.compile(r"/(?!/)[^\s?#;]*(?:\?[^\s#]+)?(?:#\S+)?")
+_SCRIPT_END = {tag: re.compile(f"</{tag}[^>]*>", re.IGNORECASE) for tag in ("script", "style")}
 
-# Fixed values of HTML: elements without content, and without readable text.
+# Fixed values of HTML: elements without content, and those whose text is not read.
 VOID = frozenset(
     "area base br col embed frame hr img input link meta param source track wbr".split()
 )
@@ -39,100 +57,114 @@ _LEVEL = {
 
 
 class _Element:
+    """An open element and the first title, link and summary seen below it."""
+
     __slots__ = (
-        "tag", "classes", "ix", "first_piece", "first_para", "end_piece",
-        "href", "title", "summary", "heading", "zone", "nav_side", "kept",
+        "tag", "classes", "ix", "piece", "para", "zone", "nav_side",
+        "entry", "href", "title", "summary", "heading",
     )
 
-    def __init__(self, tag, classes, ix, first_piece, first_para, zone):
+    def __init__(self, tag, classes, ix, piece, para, zone):
         self.tag, self.classes, self.ix = tag, classes, ix
-        self.first_piece, self.first_para, self.zone = first_piece, first_para, zone
-        self.end_piece = self.href = self.title = self.summary = self.kept = None
+        self.piece, self.para, self.zone = piece, para, zone
+        self.entry = self.href = self.title = self.summary = None
         self.heading = self.nav_side = False
 
 
-class PageFacts(HTMLParser):
-    """Reads one page; ``rules`` names the tags and classes to look for."""
+class PageFacts:
+    """Facts of the page at ``url``; ``rules`` names the tags and classes to look for."""
 
-    def __init__(self, rules: dict):
-        super().__init__(convert_charrefs=True)
-        self.rules = rules
+    def __init__(self, url: str, html: str, rules: dict):
+        self.url, self.rules = url, rules
+        origin = _ORIGIN.match(url)
+        self.origin = origin and origin[0]
         self.pieces, self.paras, self.links, self.blocks = [], [], [], []
         self._lengths = [0]  # running text length after each piece
-        self._open, self._text, self._count = [], [], 0
-
-    # -- parser events
-    def handle_data(self, data):
-        if not (self._open and self._open[-1].tag in UNREAD):
-            self._text.append(data)
-
-    def handle_comment(self, data):
-        self._end_text()
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
+        self._open: list[_Element] = []
+        self._unread = 0
+        self._read(html)
+        while self._open:
+            self._close()
+        self.blocks.sort(key=lambda block: block["ix"])
 
-    def handle_starttag(self, tag, attrs):
-        self._end_text()
-        while self._open and tag in _ENDED_BY.get(self._open[-1].tag, ()):
+    def _read(self, html):
+        here = count = 0
+        tag = _TAG.search(html)
+        while tag:
+            self._add_text(html[here : tag.start()])
+            here, name = tag.end(), tag[2]
+            if name:
+                name = name.lower()
+                if tag[1]:
+                    self._end(name)
+                else:
+                    self._start(name, tag[3], count)
+                    count += 1
+                    if name in _SCRIPT_END:
+                        end = _SCRIPT_END[name].search(html, here)
+                        here = end.end() if end else len(html)
+                        self._close()
+            tag = _TAG.search(html, here)
+        self._add_text(html[here:])
+
+    def _add_text(self, text):
+        if text and not self._unread:
+            if "&" in text:
+                text = unescape(text)
+            text = text.strip()
+            if text:
+                self.pieces.append(text)
+                self._lengths.append(self._lengths[-1] + len(text))
+
+    def _start(self, tag, attributes, ix):
+        stack, rules = self._open, self.rules
+        while stack and tag in _ENDED_BY.get(stack[-1].tag, ()):
             self._close()
         found = {}
-        for name, value in attrs:
-            found.setdefault(name, value or "")
+        if attributes and "=" in attributes:
+            for name, *values in _ATTRIBUTE.findall(attributes):
+                found.setdefault(name.lower(), unescape(values[0] or values[1] or values[2]))
         classes = found["class"].split() if "class" in found else None
-        parent = self._open[-1] if self._open else None
-        node = _Element(
-            tag, classes, self._count, len(self.pieces), len(self.paras), self._zone(tag, classes, parent)
+        zone = stack[-1].zone if stack else 2  # 0 in nav or header, 1 in a menu container, 2 elsewhere
+        if tag in rules["zone_tags"]:
+            zone = 0
+        elif zone == 2 and tag in rules["zone_classed_tags"] and self._class_has(classes, "zone_parts"):
+            zone = 1
+        node = _Element(tag, classes, ix, len(self.pieces), len(self.paras), zone)
+        node.nav_side = tag in rules["nav_tags"] or (
+            classes is not None and not rules["nav_classes"].isdisjoint(classes)
         )
-        self._count += 1
-        rules = self.rules
-        node.nav_side = tag in rules["nav_tags"] or not rules["nav_classes"].isdisjoint(classes or ())
         if tag == "a" and "href" in found:
             node.href = found["href"]
-            self.links.append([len(self.links), node.href.strip(), None, node.zone])
-            node.kept = len(self.links) - 1
-        if tag == "p":
+            node.entry = len(self.links)
+            href = node.href.strip()
+            self.links.append([node.entry, href, self._absolute(href), None, zone])
+        elif tag == "p":
+            node.entry = len(self.paras)
             self.paras.append(None)
-            node.kept = len(self.paras) - 1
-        self._open.append(node)
+        elif tag in UNREAD:
+            self._unread += 1
+        stack.append(node)
         if tag in VOID:
             self._close()
 
-    def handle_endtag(self, tag):
-        self._end_text()
-        level = _LEVEL.get(tag, 100)
-        for depth in range(len(self._open) - 1, -1, -1):
-            if self._open[depth].tag == tag:
-                while len(self._open) > depth:
+    def _end(self, tag):
+        stack, level = self._open, _LEVEL.get(tag, 100)
+        for depth in range(len(stack) - 1, -1, -1):
+            if stack[depth].tag == tag:
+                while len(stack) > depth:
                     self._close()
                 return
-            if _LEVEL.get(self._open[depth].tag, 100) > level:
+            if _LEVEL.get(stack[depth].tag, 100) > level:
                 return
 
-    def finish(self):
-        self.close()
-        self._end_text()
-        while self._open:
-            self._close()
-        self.blocks.sort(key=lambda block: block["ix"])
-
-    # -- book-keeping
-    def _end_text(self):
-        if self._text:
-            piece = "".join(self._text).strip()
-            self._text = []
-            if piece:
-                self.pieces.append(piece)
-                self._lengths.append(self._lengths[-1] + len(piece))
-
-    def _zone(self, tag, classes, parent):
-        """0 inside nav or header, 1 inside a menu-like container, 2 elsewhere."""
-        zone = parent.zone if parent else 2
-        if tag in self.rules["zone_tags"]:
-            return 0
-        if zone == 2 and tag in self.rules["zone_classed_tags"] and self._class_has(classes, "zone_parts"):
-            return 1
-        return zone
+    def _absolute(self, href):
+        if self.origin and "/." not in href and _ROOTED.fullmatch(href):
+            return self.origin + href
+        try:
+            return urljoin(self.url, href)
+        except ValueError:  # not a URL at all
+            return None
 
     def _class_has(self, classes, rule):
         return bool(classes) and any(
@@ -140,60 +172,54 @@ class PageFacts(HTMLParser):
         )
 
     def _close(self):
-        node = self._open.pop()
-        node.end_piece = len(self.pieces)
-        rules = self.rules
-        if node.tag == "a" and node.kept is not None:
-            self.links[node.kept][2] = "".join(self.pieces[node.first_piece : node.end_piece]).lower()
-        if node.tag == "p":
-            chars = self._lengths[node.end_piece] - self._lengths[node.first_piece]
-            self.paras[node.kept] = {
-                "start": node.first_piece, "stop": node.end_piece, "chars": chars
-            }
-        if self._may_be_block(node):
-            self._add_block(node)
+        node, rules = self._open.pop(), self.rules
+        tag, classes, end = node.tag, node.classes, len(self.pieces)
+        if tag == "a" and node.entry is not None:
+            self.links[node.entry][3] = "".join(self.pieces[node.piece : end]).lower()
+        elif tag == "p":
+            chars = self._lengths[end] - self._lengths[node.piece]
+            self.paras[node.entry] = {"start": node.piece, "stop": end, "chars": chars}
+        elif tag in UNREAD:
+            self._unread -= 1
+        if tag in rules["plain_blocks"] or (
+            classes is not None
+            and (tag in rules["classed_blocks"] or not rules["block_classes"].isdisjoint(classes))
+        ):
+            self._add_block(node, end)
         if self._open:
-            parent, here = self._open[-1], (node.first_piece, node.end_piece)
-            is_summary = node.tag in rules["summary_tags"] and self._class_has(node.classes, "summary_parts")
+            parent = self._open[-1]
             if parent.title is None:
-                parent.title = here if node.tag in rules["title_tags"] else node.title
+                parent.title = (node.piece, end) if tag in rules["title_tags"] else node.title
             if parent.summary is None:
-                parent.summary = here if is_summary else node.summary
+                own = tag in rules["summary_tags"] and self._class_has(classes, "summary_parts")
+                parent.summary = (node.piece, end) if own else node.summary
             if parent.href is None and parent.tag != "a":
                 parent.href = node.href
-            parent.heading = parent.heading or node.heading or node.tag in rules["heading_tags"]
-
-    def _may_be_block(self, node):
-        rules = self.rules
-        if node.tag in rules["plain_blocks"]:
-            return True
-        return node.classes is not None and (
-            node.tag in rules["classed_blocks"] or not rules["block_classes"].isdisjoint(node.classes)
-        )
+            if node.heading or tag in rules["heading_tags"]:
+                parent.heading = True
+
+    def _add_block(self, node, end):
+        def span(where):
+            return where and {"start": where[0], "stop": where[1]}
 
-    def _add_block(self, node):
-        above = self._open[-self.rules["nav_levels"] :]
         href = node.href if node.tag != "a" else None
         self.blocks.append(
             {
                 "ix": node.ix,
                 "tag": node.tag,
                 "classes": node.classes,
-                "chars": self._lengths[node.end_piece] - self._lengths[node.first_piece],
-                "in_nav": any(parent.nav_side for parent in above),
+                "chars": self._lengths[end] - self._lengths[node.piece],
+                "in_nav": any(above.nav_side for above in self._open[-self.rules["nav_levels"] :]),
                 "has_heading": node.heading,
                 "has_link": href is not None,
-                "href": href,
-                "text": {"start": node.first_piece, "stop": node.end_piece},
-                "title": node.title and {"start": node.title[0], "stop": node.title[1]},
-                "summary": node.summary and {"start": node.summary[0], "stop": node.summary[1]},
-                "paras": {"start": node.first_para, "stop": len(self.paras)},
+                "link": None if href is None else self._absolute(href),
+                "text": span((node.piece, end)),
+                "title": span(node.title),
+                "summary": span(node.summary),
+                "paras": span((node.para, len(self.paras))),
             }
         )
 
 
-def read_page(html: str, rules: dict) -> PageFacts:
-    facts = PageFacts(rules)
-    facts.feed(html)
-    facts.finish()
-    return facts
+def read_page(url: str, html: str, rules: dict) -> PageFacts:
+    return PageFacts(url, html, rules)

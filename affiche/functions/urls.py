@@ -1,4 +1,4 @@
-"""URL parts, absolute URLs, and the tests that pick agenda links.
+"""URL parts, absolute URLs and the tests that pick agenda links.
 
 The parts are cut by the generic URI pattern instead of ``parse_url``, which
 rejects the spaces, accents and pipes found in real links.
@@ -6,18 +6,22 @@ rejects the spaces, accents and pipes found in real links.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import sys
+from urllib.parse import urljoin
+
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from affiche.functions import lexicon
 from affiche.functions.matching import contains_any
 from affiche.functions.text import strip
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _URI = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
 
-# Schemes whose links may be relative to a page.
-RELATIVE_SCHEMES = ["", "http", "https", "ftp", "file", "sftp", "svn", "svn+ssh", "ws", "wss"]
-
 
 def clean_url(url: Column) -> Column:
     """Drop tabs and line breaks anywhere, blanks and control characters in front."""
@@ -59,79 +63,17 @@ def on_same_site(link: Column, base: Column) -> Column:
     return (host(link) == host(base)) | (host(link) == "")
 
 
-def _without_dots(segments: Column) -> Column:
-    """Resolve '.' and '..' from left to right; a '..' with nothing to go back to is dropped."""
-    kept = F.aggregate(
-        segments,
-        F.array().cast("array<string>"),
-        lambda done, seg: F.when(seg == ".", done)
-        .when(seg == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
-        .otherwise(F.array_append(done, seg)),
-    )
-    ends_open = F.element_at(segments, -1).isin(".", "..")
-    return F.when(ends_open, F.array_append(kept, F.lit(""))).otherwise(kept)
-
-
-def with_absolute_url(df: DataFrame, base: str, href: str, out: str) -> DataFrame:
-    """Add ``out``: the link ``href`` made absolute against the page ``base``."""
-
-    def cut(url: Column) -> Column:
-        return F.struct(
-            scheme(url).alias("scheme"),
-            F.regexp_extract(url, _URI, 2).alias("authority"),
-            F.regexp_extract(url, _URI, 3).alias("path"),
-            F.regexp_extract(url, _URI, 4).alias("query"),
-            F.regexp_extract(url, _URI, 5).alias("fragment"),
-        )
-
-    h, b = F.col("__h"), F.col("__b")
-    h_scheme = F.when(h["scheme"] != "", h["scheme"]).otherwise(b["scheme"])
-    own_site, hosted = h["authority"].isin("", "//"), b["authority"] != ""
+def absolute(base: str, href: str) -> str | None:
+    """``href`` seen from the page ``base``; null where it is no URL at all."""
+    try:
+        return urljoin(base, href)
+    except ValueError:
+        return None
 
-    def rooted(part: Column) -> Column:
-        return F.when(hosted & ~part.startswith("/"), F.concat(F.lit("/"), part)).otherwise(part)
 
-    # An absolute link path stays as it is; in a joined path doubled slashes collapse.
-    folder = F.regexp_replace(b["path"], "[^/]+$", "")
-    path = F.when(h["path"].startswith("/"), h["path"]).otherwise(
-        F.regexp_replace(F.concat(folder, h["path"]), "(?<=.)/{2,}", "/")
-    )
-    has_dots = F.col("__path").rlike(r"(?:^|/)\.\.?(?:/|$)")
-    plain = F.when(
-        has_dots, F.array_join(_without_dots(F.split("__path", "/", -1)), "/")
-    ).otherwise(F.col("__path"))
-
-    def tail(part: Column) -> Column:  # a lone '?' or '#' is dropped
-        return F.when(F.length(part) > 1, part).otherwise("")
-
-    front = F.concat(
-        F.when(h_scheme != "", F.concat(h_scheme, F.lit(":"))).otherwise(""),
-        F.when(own_site, b["authority"]).otherwise(h["authority"]),
-    )
-    no_path = own_site & (h["path"] == "")
-    inherited = no_path & (F.length(h["query"]) <= 1)
-    absolute = F.concat(
-        front,
-        F.when(~own_site, h["path"]).when(no_path, b["path"]).otherwise(F.col("__path")),
-        F.when(inherited, tail(b["query"])).otherwise(tail(h["query"])),
-        tail(h["fragment"]),
-    )
-    foreign = (h_scheme != b["scheme"]) | ~h_scheme.isin(RELATIVE_SCHEMES)
-    url = (
-        F.when(F.col(href).isNull(), None)
-        .when(F.coalesce(F.col(base), F.lit("")) == "", F.col(href))
-        .when(F.col(href) == "", F.col(base))
-        .when(foreign, F.col(href))
-        .otherwise(absolute)
-    )
-    # One step per reuse, so that no part is worked out twice.
-    return (
-        df.withColumns({"__h": cut(clean_url(F.col(href))), "__b": cut(clean_url(F.col(base)))})
-        .withColumn("__path", path)
-        .withColumn("__path", rooted(F.col("__path")))
-        .withColumn("__path", plain)
-        # Resolving can eat the leading empty segment ("/../x"): the slash is put back.
-        .withColumn("__path", F.when(F.col("__path") == "", "/").otherwise(rooted(F.col("__path"))))
-        .withColumn(out, url)
-        .drop("__h", "__b", "__path")
+@F.pandas_udf(T.StringType())
+def absolute_url(base: pd.Series, href: pd.Series) -> pd.Series:
+    """``absolute`` for columns. The page reader resolves its own links; this is for other tables."""
+    return pd.Series(
+        [None if h is None else absolute(b or "", h) for b, h in zip(base, href)], dtype=object
     )

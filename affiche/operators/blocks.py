@@ -165,7 +165,7 @@ def _text(pieces: Column, where: Column, joint: str) -> Column:
 
 
 def item_columns(blocks: DataFrame) -> DataFrame:
-    """(page_id, url, way, item_ix, title, full_text, href, desc_text, para_text); untitled blocks left out.
+    """(page_id, url, way, item_ix, title, full_text, link, desc_text, para_text); untitled blocks left out.
 
     ``para_text`` is the first paragraph of some length that does not repeat the title. Lengths
     decide first, so hardly any paragraph but the chosen one is put together.
@@ -189,7 +189,7 @@ def item_columns(blocks: DataFrame) -> DataFrame:
         block["ix"].alias("item_ix"),
         "title",
         _text(pieces, block["text"], " ").alias("full_text"),
-        block["href"].alias("href"),
+        block["link"].alias("link"),
         _text(pieces, block["summary"], "").alias("desc_text"),
         _text(pieces, F.col("para"), "").alias("para_text"),
     )

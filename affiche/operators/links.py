@@ -10,7 +10,6 @@ from affiche.functions.urls import (
     on_same_site,
     path_matches_agenda,
     text_matches_agenda,
-    with_absolute_url,
 )
 from affiche.operators.dedup import first_per
 from affiche.sources.pages import page_links
@@ -18,10 +17,9 @@ from affiche.sources.pages import page_links
 ELSEWHERE = 2  # the zone outside navigation
 
 
-def absolute_links(pages: DataFrame) -> DataFrame:
-    """(page_id, url, link_ix, text, zone, link_url): followable links, made absolute."""
-    followable = page_links(pages).filter(is_followable(F.col("href")))
-    return with_absolute_url(followable, "url", "href", "link_url").drop("href")
+def followable_links(pages: DataFrame) -> DataFrame:
+    """``page_links`` without anchors, script calls and empty links."""
+    return page_links(pages).filter(is_followable(F.col("href")))
 
 
 def first_links(links: DataFrame) -> DataFrame:
@@ -31,7 +29,7 @@ def first_links(links: DataFrame) -> DataFrame:
 
 def nav_links(pages: DataFrame) -> DataFrame:
     """Links in navigation, and links elsewhere whose path names an agenda; each once per page."""
-    links = absolute_links(pages)
+    links = followable_links(pages)
     wanted = (F.col("zone") < ELSEWHERE) | path_matches_agenda(F.col("link_url"))
     return first_links(links.filter(wanted))
 

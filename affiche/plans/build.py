@@ -16,7 +16,6 @@ from affiche.functions.classify import (
     title_text,
 )
 from affiche.functions.text import age_bounds, clock_time, french_date, matching_form, price_label, strip
-from affiche.functions.urls import with_absolute_url
 from affiche.operators.blocks import event_items, summary
 from affiche.operators.dedup import CRAWL_ORDER, first_activities
 from affiche.operators.discovery import discover
@@ -73,8 +72,9 @@ def activity_rows(events: DataFrame) -> DataFrame:
 def page_events(pages: DataFrame, as_of: dt.date | None = None) -> DataFrame:
     """Family events of the given pages, one row per event block, without category and city."""
     events = family_events(event_items(pages), as_of)
-    events = events.withColumn("summary", summary(*map(F.col, ("title", "desc_text", "para_text"))))
-    return with_absolute_url(events, "url", "href", "link").withColumnRenamed("url", "source_url")
+    return events.withColumn(
+        "summary", summary(*map(F.col, ("title", "desc_text", "para_text")))
+    ).withColumnRenamed("url", "source_url")
 
 
 def found_activities(

@@ -27,12 +27,14 @@ PAGES = T.StructType(
 SNAPSHOT = T.StructType([*PAGES.fields, T.StructField("status", T.IntegerType())])
 SITEMAPS = "url string, xml string"
 
+SPLIT_BYTES = 128 << 20  # one scan task by default
+
 _RANGE = "struct<start:int,stop:int>"
 PARA = "struct<start:int,stop:int,chars:int>"
-LINK = "struct<link_ix:int,href:string,text:string,zone:int>"
+LINK = "struct<link_ix:int,href:string,link_url:string,text:string,zone:int>"
 BLOCK = (
     "struct<ix:int,tag:string,classes:array<string>,chars:int,in_nav:boolean,"
-    "has_heading:boolean,has_link:boolean,href:string,"
+    "has_heading:boolean,has_link:boolean,link:string,"
     f"text:{_RANGE},title:{_RANGE},summary:{_RANGE},paras:{_RANGE}>"
 )
 
@@ -68,7 +70,7 @@ def successful(pages: DataFrame) -> DataFrame:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(page_id, url, link_ix, href, text, zone): every ``<a href>`` of every page, in page order."""
+    """(page_id, url, link_ix, href, link_url, text, zone): every ``<a href>`` of every page, in page order."""
     facts = _read(pages, links=True)
     return facts.select("page_id", "url", F.inline("links"))
 
@@ -88,7 +90,20 @@ def _read(pages: DataFrame, links: bool) -> DataFrame:
         f"pieces array<string>, paras array<{PARA}>, blocks array<{BLOCK}>"
     )
     schema = T.StructType.fromDDL(f"page_id bigint, url string, {wanted}, error string")
-    return pages.select("page_id", "url", "html").mapInArrow(_reader(schema, links), schema)
+    narrow = spread_if_few(pages.select("page_id", "url", "html"))
+    return narrow.mapInArrow(_reader(schema, links), schema)
+
+
+def spread_if_few(pages: DataFrame) -> DataFrame:
+    """Spread the rows over all cores where the input is too small to give each core a split.
+
+    Reading a page costs far more than scanning it, so one small file must not end up
+    in one task. The size is the one Catalyst estimates for its own decisions; beyond
+    one split per core the pages stay where they are and no HTML is shuffled.
+    """
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    size = int(str(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return pages.repartition(cores) if size < SPLIT_BYTES * cores else pages
 
 
 def _reader(schema: T.StructType, links: bool):
@@ -103,12 +118,12 @@ def _reader(schema: T.StructType, links: bool):
                 for row in batch.slice(start, 64).to_pylist():
                     out = {"page_id": row["page_id"], "url": row["url"]}
                     try:
-                        facts = read_page(row["html"] or "", rules)
+                        facts = read_page(row["url"] or "", row["html"] or "", rules)
                     except Exception as problem:  # one bad page never fails the job
                         out["error"] = f"{type(problem).__name__}: {problem}"
                     else:
                         if links:
-                            names = ("link_ix", "href", "text", "zone")
+                            names = ("link_ix", "href", "link_url", "text", "zone")
                             out["links"] = [dict(zip(names, link)) for link in facts.links]
                         else:
                             out["pieces"], out["paras"] = facts.pieces, facts.paras

@@ -81,7 +81,8 @@ def not_stored(batch: DataFrame, stored: DataFrame, null_safe: bool = False) ->
         return b.join(s, same, "left_anti")
     undated = F.col("event_date").isNull()
     dated_keys = keys.filter(~undated)
-    return batch.filter(~undated).join(dated_keys, KEY, "left_anti").union(batch.filter(undated))
+    fresh = batch.filter(~undated).join(dated_keys, KEY, "left_anti")
+    return fresh.unionByName(batch.filter(undated))
 
 
 def insert_if_absent(

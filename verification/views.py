@@ -67,7 +67,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
             joined("samedi ", segment, " kermesse"),
             joined("Fête d\u2019hiver \u2013 ", name),
             joined("01 23 45 67 89 ", key % 100),
-            "  DANSE contemporaine ",
+            "  DANSE contemporaine\u00a0",
         ).alias("title"),
         pick(
             key,
