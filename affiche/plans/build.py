@@ -37,7 +37,8 @@ def family_events(items: DataFrame, as_of: dt.date | None = None) -> DataFrame:
         .withColumn("__normal_text", matching_form(F.col("full_text")))
     )
     searched = F.concat_ws("\n", "__normal_title", "__normal_text")
-    events = titled.filter(~is_institutional(searched) & is_punctual(searched) & is_family(searched))
+    # The shortest list first: a text it finds nothing in is not searched for the longer ones.
+    events = titled.filter(is_punctual(searched) & is_family(searched) & ~is_institutional(searched))
     dated = events.withColumn("event_date", french_date(F.col("full_text"))).filter(
         ~is_past(F.col("__normal_title"), F.col("event_date"), as_of)
     )
