@@ -41,13 +41,14 @@ def nfc(text: Column) -> Column:
 
 
 def matching_form(text: Column) -> Column:
-    """NFC, lower case, straight quotes and hyphens; null becomes ''."""
-    return F.coalesce(
-        F.translate(
-            F.lower(nfc(text)), lexicon.QUOTES_AND_DASHES, lexicon.PLAIN_QUOTES_AND_DASHES
-        ),
-        F.lit(""),
-    )
+    """NFC, lower case, straight quotes and hyphens; null becomes ''.
+
+    Six byte searches take half the time of one ``translate``, which builds every character anew.
+    """
+    form = F.lower(nfc(text))
+    for mark, plain in zip(lexicon.QUOTES_AND_DASHES, lexicon.PLAIN_QUOTES_AND_DASHES):
+        form = F.replace(form, F.lit(mark), F.lit(plain))
+    return F.coalesce(form, F.lit(""))
 
 
 def dedup_title(title: Column) -> Column:

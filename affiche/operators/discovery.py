@@ -41,10 +41,10 @@ def cap_pages(found: DataFrame, *site: str, n: int = lexicon.MAX_PAGES_PER_SITE)
     return first_per(found, list(site), ["page_url"], n)
 
 
-def fallback_pages(seeds: DataFrame, found: DataFrame) -> DataFrame:
-    """Seeds for which nothing was found stand for themselves."""
-    return seeds.join(found.select("seed").distinct(), "seed", "left_anti").select(
-        "seed", F.col("seed").alias("page_url")
+def with_fallback(seeds: DataFrame, found: DataFrame) -> DataFrame:
+    """(seed, page_url): the pages found; a seed for which there are none stands for itself."""
+    return seeds.join(found, "seed", "left").select(
+        "seed", F.coalesce("page_url", "seed").alias("page_url")
     )
 
 
@@ -66,5 +66,4 @@ def discover(sites: DataFrame, pages: DataFrame, sitemaps: DataFrame | None = No
         rooted = seeds.withColumn("root", sitemap_url(F.col("seed")))
         listed = cap_pages(sitemap_pages(sitemaps, rooted), "root")
         found = found.union(rooted.join(listed, "root").select("seed", "page_url")).distinct()
-    found = cap_pages(found, "seed")
-    return found.union(fallback_pages(seeds, found))
+    return with_fallback(seeds, cap_pages(found, "seed"))

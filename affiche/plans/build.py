@@ -20,6 +20,7 @@ from affiche.operators.blocks import event_items, summary
 from affiche.operators.dedup import CRAWL_ORDER, first_activities
 from affiche.operators.discovery import discover
 from affiche.schema import NEW_ACTIVITY
+from affiche.sources.settle import settled
 
 
 def family_events(items: DataFrame, as_of: dt.date | None = None) -> DataFrame:
@@ -81,8 +82,12 @@ def page_events(pages: DataFrame, as_of: dt.date | None = None) -> DataFrame:
 def found_activities(
     pages: DataFrame, sites: DataFrame, as_of: dt.date | None = None, sitemaps: DataFrame | None = None
 ) -> DataFrame:
-    """All activities found, a page being read once however many sites lead to it."""
-    agenda = discover(sites, pages, sitemaps)
+    """All activities found, a page being read once however many sites lead to it.
+
+    The agenda (at most 50 short rows per site) is settled: it picks the pages to
+    read and later names their sites, and site pages need not be read for both.
+    """
+    agenda = settled(discover(sites, pages, sitemaps))
     wanted = agenda.select(F.col("page_url").alias("url")).distinct()
     events = page_events(pages.join(wanted, "url", "left_semi"), as_of)
     by_site = sites.withColumnRenamed("url", "seed").join(agenda, "seed")

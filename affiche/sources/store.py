@@ -8,8 +8,6 @@ rows included. One writer at a time by contract.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -18,6 +16,7 @@ from pyspark.sql import types as T
 
 from affiche.operators.dedup import first_per
 from affiche.schema import ACTIVITY, KEY, NEW_ACTIVITY, REQUIRED
+from affiche.sources.settle import settled
 
 LOAD = "load_id"
 EMPTY_LOAD = "none"
@@ -25,19 +24,6 @@ STORED = T.StructType([*ACTIVITY.fields, T.StructField(LOAD, T.StringType())])
 CLUSTER = ["category", "city", "event_date", "id"]
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the session names; only a local session may get a folder of its own."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="affiche-checkpoint-")
-    context.setCheckpointDir(shared)
-
-
 def init_store(spark: SparkSession, path: str) -> None:
     """Create the table if the path holds none."""
     try:
@@ -59,39 +45,28 @@ def complete_rows(df: DataFrame) -> DataFrame:
     return df.na.drop(subset=REQUIRED)
 
 
-def new_in_batch(batch: DataFrame, null_safe: bool = False, order: list[str] | None = None) -> DataFrame:
-    """First row of each key within the batch. Undated rows never count as equal unless ``null_safe``."""
-    order = order or [name for name in NEW_ACTIVITY.names if name not in KEY]
-    if null_safe:
-        return first_per(batch, KEY, order)
-    undated = F.col("event_date").isNull()
-    return first_per(batch.filter(~undated), KEY, order).union(batch.filter(undated))
-
-
-def not_stored(batch: DataFrame, stored: DataFrame, null_safe: bool = False) -> DataFrame:
-    """Rows whose key is not stored yet.
+def insert_if_absent(
+    batch: DataFrame, stored: DataFrame, null_safe: bool = False, order: list[str] | None = None
+) -> DataFrame:
+    """What an ignoring insert of ``batch`` would add to ``stored``: first row per key, if not stored.
 
-    Undated rows stay out of the join: with plain equality they can match nothing,
-    and they would pile up on the partitions of their titles.
+    An undated row equals no other row unless ``null_safe``. Undated rows therefore
+    pass by the dedup and the join, where they would pile up on the partitions of
+    their titles. Both ways read the batch, so hand in a settled one if it is costly.
     """
+    batch = complete_rows(batch)
+    order = order or [name for name in NEW_ACTIVITY.names if name not in KEY]
     keys = stored.select(*KEY)
     if null_safe:
-        b, s = batch.alias("b"), keys.alias("s")
+        b, s = first_per(batch, KEY, order).alias("b"), keys.alias("s")
         same = [F.col(f"b.{name}").eqNullSafe(F.col(f"s.{name}")) for name in KEY]
         return b.join(s, same, "left_anti")
     undated = F.col("event_date").isNull()
-    dated_keys = keys.filter(~undated)
-    fresh = batch.filter(~undated).join(dated_keys, KEY, "left_anti")
+    dated = first_per(batch.filter(~undated), KEY, order)
+    fresh = dated.join(keys.filter(~undated), KEY, "left_anti")
     return fresh.unionByName(batch.filter(undated))
 
 
-def insert_if_absent(
-    batch: DataFrame, stored: DataFrame, null_safe: bool = False, order: list[str] | None = None
-) -> DataFrame:
-    """What an ignoring insert of ``batch`` would add to ``stored``."""
-    return not_stored(new_in_batch(complete_rows(batch), null_safe, order), stored, null_safe)
-
-
 def with_ids(batch: DataFrame, last_id: int) -> DataFrame:
     """Dense ids after ``last_id``, in partition order. ``batch`` must be materialised.
 
@@ -116,21 +91,21 @@ def with_ids(batch: DataFrame, last_id: int) -> DataFrame:
 def append(path: str, batch: DataFrame, load_id: str, null_safe: bool = False) -> int:
     """Store the new rows of a batch under ``load_id``; returns how many were stored.
 
-    The batch is worked out once and checkpointed, so ids and the date window below
-    rest on the same rows even when executors are lost.
+    The batch is worked out once and settled, so ids and the date window below rest
+    on the same rows even when executors are lost. Rows that turn out to be stored
+    already leave gaps in the ids.
     """
     spark = batch.sparkSession
-    ensure_checkpoint_dir(spark)
     init_store(spark, path)
     others = spark.read.schema(STORED).parquet(path).filter(F.col(LOAD) != load_id)
-    once = new_in_batch(complete_rows(batch), null_safe).select(*NEW_ACTIVITY.names).checkpoint()
+    rows = settled(complete_rows(batch).select(*NEW_ACTIVITY.names))
 
-    first_day, last_day = once.agg(F.min("event_date"), F.max("event_date")).first()
+    first_day, last_day = rows.agg(F.min("event_date"), F.max("event_date")).first()
     # Only stored rows of the same days can hold the same key: older files are skipped.
     in_window = F.col("event_date").between(first_day, last_day)
     rivals = others.filter((in_window | F.col("event_date").isNull()) if null_safe else in_window)
     last_id = others.agg(F.max("id")).first()[0] or 0
-    fresh = not_stored(with_ids(once, last_id), rivals, null_safe)
+    fresh = insert_if_absent(with_ids(rows, last_id), rivals, null_safe)
 
     target = f"{path}/{LOAD}={load_id}"
     (

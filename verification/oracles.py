@@ -443,8 +443,8 @@ ORACLES = {
     + first_rows(
         "(SELECT DISTINCT city, source_url || '/' || row_id AS page_url FROM listings)", "city", "page_url", "city, page_url", 50
     ),
-    "fallback_pages": "SELECT url AS seed, url AS page_url FROM pages p WHERE NOT EXISTS "
-    "(SELECT 1 FROM labels l WHERE l.doc_id = p.page_id AND l.quality = 1)",
+    "fallback_pages": "SELECT url AS seed, CASE WHEN EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = p.page_id "
+    "AND l.quality = 1) THEN url || '/agenda' ELSE url END AS page_url FROM pages p",
     "discover_pages": f"WITH {DISCOVERED} SELECT seed, page_url FROM discovered",
     "sitemap_locs": f"""SELECT {_BASE} || '/sitemap.xml' AS url, CAST(ix AS INTEGER) AS loc_ix,
         CASE ix WHEN 0 THEN {_BASE} || '/pages.XML' WHEN 1 THEN {_BASE} || '/saison?a=1&b=2' ELSE {_BASE} || '/contact' END AS loc

@@ -13,7 +13,7 @@ from affiche.operators import blocks, dedup, discovery, filters, links, paging,
 from affiche.plans import build, crawl
 from affiche.schema import NEW_ACTIVITY
 from affiche.sources import pages as page_source
-from affiche.sources import registry, store
+from affiche.sources import registry, settle, store
 from affiche.streaming.incremental import load_snapshots
 from verification import views
 from verification.views import DATE_AS_OF, YEAR_AS_OF, listings, table
@@ -29,7 +29,7 @@ def query(function: Query) -> Query:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder next to the checkpoints, shared by all executors."""
-    store.ensure_checkpoint_dir(spark)
+    settle.ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/check-{uuid.uuid4().hex}"
 
 
@@ -423,8 +423,10 @@ def page_cap(spark, sf_dir):
 def fallback_pages(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     good = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("page_id"))
-    found = pages.join(good, "page_id", "left_semi").select(F.col("url").alias("seed"))
-    return discovery.fallback_pages(pages.select(F.col("url").alias("seed")), found)
+    found = pages.join(good, "page_id", "left_semi").select(
+        F.col("url").alias("seed"), F.concat("url", F.lit("/agenda")).alias("page_url")
+    )
+    return discovery.with_fallback(pages.select(F.col("url").alias("seed")), found)
 
 
 @query
