@@ -107,9 +107,12 @@ def french_date(text: Column) -> Column:
 
 
 def as_day(event_date: Column) -> Column:
-    """The date of a yyyy-mm-dd text, null for any other text and for impossible days."""
-    well_formed = event_date.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & ~event_date.startswith("0000")
-    return F.when(well_formed, event_date.try_cast("date"))
+    """The date of a yyyy-mm-dd text, null for any other text and for impossible days.
+
+    Names its input once: a filter on the result is pushed below the parsing of the
+    date and would repeat that for every mention.
+    """
+    return first_match(event_date, "^(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2}$").try_cast("date")
 
 
 # ---------------------------------------------------------------- time

@@ -34,10 +34,12 @@ def family_events(items: DataFrame, as_of: dt.date | None = None) -> DataFrame:
     titled = (
         items.withColumn("__title", title_text(F.col("title")))
         .withColumn("__normal_title", matching_form(F.col("title")))
-        .filter(looks_like_event_title(F.col("__title"), strip(F.col("__normal_title"))))
+        .withColumn("__stripped_title", strip(F.col("__normal_title")))
+        .filter(looks_like_event_title(F.col("__title"), F.col("__stripped_title")))
         .withColumn("__normal_text", matching_form(F.col("full_text")))
+        .withColumn("__searched", F.concat_ws("\n", "__normal_title", "__normal_text"))
     )
-    searched = F.concat_ws("\n", "__normal_title", "__normal_text")
+    searched = F.col("__searched")
     # The shortest list first: a text it finds nothing in is not searched for the longer ones.
     events = titled.filter(is_punctual(searched) & is_family(searched) & ~is_institutional(searched))
     dated = events.withColumn("event_date", french_date(F.col("full_text"))).filter(
@@ -48,7 +50,7 @@ def family_events(items: DataFrame, as_of: dt.date | None = None) -> DataFrame:
         .withColumn("price", price_label(F.col("__normal_text")))
         .withColumn("__ages", age_bounds(F.col("full_text")))
         .withColumns({"age_min": F.get("__ages", F.lit(0)), "age_max": F.get("__ages", F.lit(1))})
-        .drop("__title", "__normal_title", "__normal_text", "__ages")
+        .drop("__title", "__normal_title", "__stripped_title", "__normal_text", "__searched", "__ages")
     )
 
 

@@ -94,16 +94,16 @@ def _read(pages: DataFrame, links: bool) -> DataFrame:
     return narrow.mapInArrow(_reader(schema, links), schema)
 
 
-def spread_if_few(pages: DataFrame) -> DataFrame:
+def spread_if_few(df: DataFrame) -> DataFrame:
     """Spread the rows over all cores where the input is too small to give each core a split.
 
-    Reading a page costs far more than scanning it, so one small file must not end up
-    in one task. The size is the one Catalyst estimates for its own decisions; beyond
-    one split per core the pages stay where they are and no HTML is shuffled.
+    Reading a page or a text costs far more than scanning it, so one small file must
+    not end up in one task. The size is the one Catalyst estimates for its own
+    decisions; beyond one split per core the rows stay where they are, unshuffled.
     """
-    cores = pages.sparkSession.sparkContext.defaultParallelism
-    size = int(str(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return pages.repartition(cores) if size < SPLIT_BYTES * cores else pages
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SPLIT_BYTES * cores else df
 
 
 def _reader(schema: T.StructType, links: bool):

@@ -6,17 +6,19 @@ import os
 
 from pyspark.sql import SparkSession
 
+from affiche.settings import SETTINGS
+
 
 def local_session(cpus: str | None = None, app: str = "affiche") -> SparkSession:
     cpus = cpus or os.environ.get("BENCH_CPUS", "8")
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.sql.adaptive.enabled", "true")
-        .getOrCreate()
+        .config("spark.sql.shuffle.partitions", cpus)
     )
+    for name, value in SETTINGS.items():
+        builder = builder.config(name, value)
+    return builder.getOrCreate()

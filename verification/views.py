@@ -14,13 +14,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affiche.functions.text import age_range, clock_time, french_date, matching_form, price_label
+from affiche.sources.pages import spread_if_few
 
 DATE_AS_OF = dt.date(1998, 6, 1)
 YEAR_AS_OF = dt.date(2026, 12, 1)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. Small ones are a single file, so their rows are spread over the cores."""
+    return spread_if_few(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def pick(key: Column, *texts: Column | str) -> Column:
