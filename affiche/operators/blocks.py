@@ -62,7 +62,7 @@ def class_groups(elements: DataFrame, *page: str) -> DataFrame:
 
 def best_class_group(groups: DataFrame, *page: str) -> DataFrame:
     """The top-scoring class group of each page, the first one on the page among equals."""
-    ranked = W.partitionBy(*page).orderBy(F.desc("score"), "first_ix")
+    ranked = W.partitionBy(*page).orderBy(F.desc("score"), "first_ix", "class_key")
     return groups.withColumn("rank", F.row_number().over(ranked)).filter("rank = 1").drop("rank")
 
 

@@ -502,3 +502,26 @@ ORACLES = {
 }
 # One load into an empty table stores what the build finds.
 ORACLES["incremental_load"] = ORACLES["build_activities"]
+
+
+def json_fields(columns: str) -> str:
+    """A JSON object of the columns, nulls left out, numbers bare; no value here needs escaping."""
+    parts = []
+    for name in columns.split(", "):
+        value = f"CAST({name} AS VARCHAR)" if name in ("id", "age_min", "age_max") else f"'\"' || {name} || '\"'"
+        parts.append(f"'\"{name}\":' || {value}")
+    return "'{' || concat_ws(',', " + ", ".join(parts) + ") || '}'"
+
+
+_IN_ORDER = "event_date NULLS FIRST, event_time NULLS FIRST, id"
+ORACLES["response_envelope"] = A + f"""
+  SELECT '[' || string_agg(j, ',' ORDER BY {_IN_ORDER}) || ']' AS activities,
+    (SELECT count(*) FROM activities WHERE city = 'NATION_7') AS total, 3 AS page, 50 AS per_page
+  FROM (SELECT *, {json_fields(READ)} AS j FROM activities WHERE city = 'NATION_7'
+    ORDER BY {_IN_ORDER} LIMIT 50 OFFSET 100) q"""
+ORACLES["status_report"] = A + """
+  SELECT (SELECT count(*) FROM activities) AS total_activities,
+    (SELECT '{' || string_agg('"' || category || '":' || n, ',' ORDER BY category) || '}' FROM
+      (SELECT category, count(*) AS n FROM activities GROUP BY 1) a) AS by_category,
+    (SELECT '{' || string_agg('"' || city || '":' || n, ',' ORDER BY city) || '}' FROM
+      (SELECT city, count(*) AS n FROM activities GROUP BY 1) b) AS by_city"""

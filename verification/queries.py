@@ -93,7 +93,8 @@ def read_view(spark, sf_dir):
 
 @query
 def response_envelope(spark, sf_dir):
-    return paging.response(views.activities(spark, sf_dir), page=3, per_page=50, city="NATION_7")
+    answer = paging.response(views.activities(spark, sf_dir), page=3, per_page=50, city="NATION_7")
+    return answer.withColumn("activities", F.to_json("activities"))
 
 
 # ---------------------------------------------------------------- lists and counts
@@ -136,7 +137,8 @@ def status_counts(spark, sf_dir):
 
 @query
 def status_report(spark, sf_dir):
-    return rollups.status_report(views.activities(spark, sf_dir))
+    report = rollups.status_report(views.activities(spark, sf_dir))
+    return report.withColumns({name: F.to_json(name) for name in ("by_category", "by_city")})
 
 
 # ---------------------------------------------------------------- text
