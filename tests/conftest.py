@@ -18,6 +18,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.driver.memory", "4g")
+        .config("spark.sql.maxMetadataStringLength", "5000")
     )
     for name, value in SETTINGS.items():
         builder = builder.config(name, value)

@@ -515,7 +515,7 @@ def json_fields(columns: str) -> str:
 
 _IN_ORDER = "event_date NULLS FIRST, event_time NULLS FIRST, id"
 ORACLES["response_envelope"] = A + f"""
-  SELECT '[' || string_agg(j, ',' ORDER BY {_IN_ORDER}) || ']' AS activities,
+  SELECT '[' || coalesce(string_agg(j, ',' ORDER BY {_IN_ORDER}), '') || ']' AS activities,
     (SELECT count(*) FROM activities WHERE city = 'NATION_7') AS total, 3 AS page, 50 AS per_page
   FROM (SELECT *, {json_fields(READ)} AS j FROM activities WHERE city = 'NATION_7'
     ORDER BY {_IN_ORDER} LIMIT 50 OFFSET 100) q"""
