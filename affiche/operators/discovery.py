@@ -12,28 +12,31 @@ from affiche.operators.links import agenda_links, nav_links
 from affiche.sources.pages import sitemap_locations, sitemap_url
 
 
-def sitemap_pages(sitemaps: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, page_url): agenda pages named by each root sitemap or by the sitemaps it points to."""
-    locations = sitemap_locations(
-        sitemaps.join(roots.select(F.col("root").alias("url")).distinct(), "url", "left_semi")
-    ).select(F.col("url").alias("root"), "loc")
-    below = child_locations(sitemaps, locations)
-    return (
-        locations.unionByName(below)
-        .filter(~is_sub_sitemap(F.col("loc")) & path_matches_agenda(F.col("loc")))
-        .select("root", F.col("loc").alias("page_url"))
-        .distinct()
-    )
+def sitemap_pages(sitemaps: DataFrame, roots: DataFrame, n: int | None = None) -> DataFrame:
+    """(root, page_url): agenda pages named by each root sitemap or by the sitemaps it points to.
+
+    With ``n`` no more than the first ``n`` pages of a listed sitemap are followed. That is
+    exact where the first ``n`` by URL are asked for in the end, and a sitemap listed by
+    many others is then not multiplied by its whole length.
+    """
 
+    def agenda_pages(locations: DataFrame) -> DataFrame:
+        loc = F.col("loc")
+        named = locations.filter(~is_sub_sitemap(loc) & path_matches_agenda(loc))
+        return named.drop("loc_ix").withColumnRenamed("loc", "page_url")
 
-def child_locations(sitemaps: DataFrame, locations: DataFrame) -> DataFrame:
-    """(root, loc) one level down: what the sitemaps listed in ``locations`` contain."""
+    wanted = roots.select(F.col("root").alias("url")).distinct()
+    locations = sitemap_locations(sitemaps.join(wanted, "url", "left_semi")).withColumnRenamed("url", "root")
     children = (
         locations.filter(is_sub_sitemap(F.col("loc"))).select("root", F.col("loc").alias("url")).distinct()
     )
     # Each child is read once, then handed to every root that lists it.
-    texts = sitemap_locations(sitemaps.join(children.select("url").distinct(), "url", "left_semi"))
-    return children.join(texts, "url").select("root", "loc")
+    read = sitemaps.join(children.select("url").distinct(), "url", "left_semi")
+    listed = agenda_pages(sitemap_locations(read))
+    if n:
+        listed = cap_pages(listed.distinct(), "url", n=n)
+    below = children.join(listed, "url").select("root", "page_url")
+    return agenda_pages(locations).union(below).distinct()
 
 
 def cap_pages(found: DataFrame, *site: str, n: int = lexicon.MAX_PAGES_PER_SITE) -> DataFrame:
@@ -64,6 +67,7 @@ def discover(sites: DataFrame, pages: DataFrame, sitemaps: DataFrame | None = No
     )
     if sitemaps is not None:
         rooted = seeds.withColumn("root", sitemap_url(F.col("seed")))
-        listed = cap_pages(sitemap_pages(sitemaps, rooted), "root")
+        n = lexicon.MAX_PAGES_PER_SITE
+        listed = cap_pages(sitemap_pages(sitemaps, rooted, n), "root", n=n)
         found = found.union(rooted.join(listed, "root").select("seed", "page_url")).distinct()
     return with_fallback(seeds, cap_pages(found, "seed"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from affiche.functions.classify import (
@@ -99,7 +99,18 @@ def found_activities(
 
 
 def build_activities(
-    pages: DataFrame, sites: DataFrame, as_of: dt.date | None = None, sitemaps: DataFrame | None = None
+    pages: DataFrame,
+    sites: DataFrame,
+    as_of: dt.date | None = None,
+    sitemaps: DataFrame | None = None,
+    counts: tuple[Observation, Observation] | None = None,
 ) -> DataFrame:
-    """Activities found on all sites, each title once per city and category."""
-    return first_activities(found_activities(pages, sites, as_of, sitemaps))
+    """Activities found on all sites, each title once per city and category.
+
+    ``counts`` takes two observations: rows found, and rows left after the dedup.
+    """
+    found = found_activities(pages, sites, as_of, sitemaps)
+    if counts is None:
+        return first_activities(found)
+    row = F.count(F.lit(1)).alias("rows")
+    return first_activities(found.observe(counts[0], row)).observe(counts[1], row)

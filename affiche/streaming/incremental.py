@@ -7,9 +7,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from affiche.plans.build import build_activities
-from affiche.sources.pages import SNAPSHOT, successful
-from affiche.sources.store import append
+from affiche.plans.load import load_activities
+from affiche.sources.pages import SNAPSHOT
 
 
 def load_snapshots(
@@ -30,8 +29,7 @@ def load_snapshots(
     stream = spark.readStream.schema(SNAPSHOT).format("parquet").load(snapshots)
 
     def load(pages: DataFrame, batch_id: int) -> None:
-        batch = build_activities(successful(pages), sites, as_of, sitemaps)
-        append(store, batch, load_id=f"batch-{batch_id:09d}")
+        load_activities(pages, sites, store, f"batch-{batch_id:09d}", as_of, sitemaps)
 
     return (
         stream.writeStream.foreachBatch(load)

@@ -1,3 +1,4 @@
+import datetime as dt
 import itertools
 import random
 
@@ -5,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from affiche.operators import filters, paging, rollups
+from affiche.plans.load import load_activities
 from affiche.schema import ACTIVITY, NEW_ACTIVITY, READ_COLUMNS
 from affiche.sources import registry, store
+from affiche.sources.pages import read_pages
 from affiche.streaming.incremental import load_snapshots
 
 DEFAULTS = dict(
@@ -213,6 +216,24 @@ def test_rollups_of_an_empty_table(spark):
     assert rollups.total(frame).first()["total"] == 0
 
 
+# ---- whole runs
+
+
+def test_load_counts(spark, path, tmp_path):
+    event = "<article class='event'><h2>{0}</h2><p>le 11/5/2026 pour tous, en famille</p></article>"
+    home = '<nav><a href="/agenda">Agenda</a></nav>'
+    body = "".join(map(event.format, ["Spectacle du soir", "Spectacle DU soir", "Conte du matin"]))
+    rows = [(1, "https://a.fr/", home, 200), (2, "https://a.fr/agenda", body, 200), (3, "https://b.fr/", body, 404)]
+    folder = str(tmp_path / "pages")
+    spark.createDataFrame(rows, "page_id long, url string, html string, status int").write.json(folder)
+    pages = read_pages(spark, folder, "json")
+    assert pages.count() == 2
+    sites = spark.createDataFrame([("mjc", "Ici", "https://a.fr/", 0, 0), ("mjc", "Là", "https://b.fr/", 0, 1)], registry.SITE_SCHEMA)
+    day = dt.date(2026, 3, 1)
+    assert load_activities(pages, sites, path, "1", day) == (3, 2, 2)
+    assert load_activities(pages, sites, path, "2", day) == (3, 2, 0)
+
+
 # ---- incremental load
 
 
@@ -227,7 +248,7 @@ def test_incremental_load(spark, tmp_path):
         body = "".join(event.format(n) for n in numbers)
         rows = [(next(ids), "https://a.fr/", home, 200), (next(ids), "https://a.fr/agenda", body, status)]
         spark.createDataFrame(rows, "page_id long, url string, html string, status int").write.mode("append").parquet(folder)
-        load_snapshots(spark, folder, sites, target, progress, as_of=__import__("datetime").date(2026, 3, 1)).awaitTermination()
+        load_snapshots(spark, folder, sites, target, progress, as_of=dt.date(2026, 3, 1)).awaitTermination()
         return sorted(r["title"][-1] for r in stored(spark, target).collect())
 
     assert crawl(1, 2) == ["1", "2"]
