@@ -15,23 +15,26 @@ import re
 from html import unescape
 from urllib.parse import urljoin
 
-# Comments and declarations, or a tag: (1) slash of an end tag, (2) name, (3) attributes.
+# A whole script or style, a comment or declaration, or a tag: (1) script or style,
+# (2) slash of an end tag, (3) name, (4) attributes. No tag reaches over the next "<" outside
+# quotes, so a page full of unclosed tags is still read in one go.
+_ATTRIBUTES = r"(?:[^<>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+"
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>"
-    r"|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)>",
-    re.DOTALL,
+    rf"<(script|style)\b{_ATTRIBUTES}>.*?(?:</\1[^>]*+>|\Z)|<!--.*?(?:-->|\Z)|<[!?][^<>]*+>"
+    rf"|<(/?)([A-Za-z][^\s/>]*+)({_ATTRIBUTES})>",
+    re.DOTALL | re.IGNORECASE,
 )
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _ORIGIN = re.compile(r"https?://[^/?#\s]+")
 # A rooted link without dot segments and empty parts: origin + link, nothing to resolve.
 _ROOTED = re.compile(r"/(?!/)[^\s?#;]*(?:\?[^\s#]+)?(?:#\S+)?")
-_SCRIPT_END = {tag: re.compile(f"</{tag}[^>]*>", re.IGNORECASE) for tag in ("script", "style")}
 
-# Fixed values of HTML: elements without content, and those whose text is not read.
+# Fixed values of HTML: elements without content, and one (besides script and style) whose
+# text is not read.
 VOID = frozenset(
     "area base br col embed frame hr img input link meta param source track wbr".split()
 )
-UNREAD = frozenset(["script", "style", "template"])
+UNREAD = frozenset(["template"])
 # Fixed values of HTML 4: start tags that end an open paragraph or list entry.
 _BLOCK_STARTS = frozenset(
     "address blockquote center dd dir div dl dt fieldset form h1 h2 h3 h4 h5 h6 hr li menu ol p "
@@ -81,6 +84,7 @@ class PageFacts:
         self.pieces, self.paras, self.links, self.blocks = [], [], [], []
         self._lengths = [0]  # running text length after each piece
         self._open: list[_Element] = []
+        self._open_by_tag: dict[str, int] = {}
         self._unread = 0
         self._read(html)
         while self._open:
@@ -89,22 +93,20 @@ class PageFacts:
 
     def _read(self, html):
         here = count = 0
-        tag = _TAG.search(html)
-        while tag:
-            self._add_text(html[here : tag.start()])
-            here, name = tag.end(), tag[2]
+        for tag in _TAG.finditer(html):
+            start = tag.start()
+            if start > here:
+                self._add_text(html[here:start])
+            here = tag.end()
+            name = tag[3]
             if name:
-                name = name.lower()
-                if tag[1]:
-                    self._end(name)
+                if tag[2]:
+                    self._end(name.lower())
                 else:
-                    self._start(name, tag[3], count)
+                    self._start(name.lower(), tag[4], count)
                     count += 1
-                    if name in _SCRIPT_END:
-                        end = _SCRIPT_END[name].search(html, here)
-                        here = end.end() if end else len(html)
-                        self._close()
-            tag = _TAG.search(html, here)
+            elif tag[1]:
+                count += 1  # a script is an element too
         self._add_text(html[here:])
 
     def _add_text(self, text):
@@ -145,10 +147,13 @@ class PageFacts:
         elif tag in UNREAD:
             self._unread += 1
         stack.append(node)
+        self._open_by_tag[tag] = self._open_by_tag.get(tag, 0) + 1
         if tag in VOID:
             self._close()
 
     def _end(self, tag):
+        if not self._open_by_tag.get(tag):
+            return
         stack, level = self._open, _LEVEL.get(tag, 100)
         for depth in range(len(stack) - 1, -1, -1):
             if stack[depth].tag == tag:
@@ -174,6 +179,7 @@ class PageFacts:
     def _close(self):
         node, rules = self._open.pop(), self.rules
         tag, classes, end = node.tag, node.classes, len(self.pieces)
+        self._open_by_tag[tag] -= 1
         if tag == "a" and node.entry is not None:
             self.links[node.entry][3] = "".join(self.pieces[node.piece : end]).lower()
         elif tag == "p":

@@ -111,6 +111,19 @@ def test_broken_pages(spark):
     assert page_source.page_blocks(frame).count() == 6
 
 
+@pytest.mark.parametrize("bit", ["<!", "<a ", "<a b='", '<a b="', "<p><b>", "<div class=x>", "<script>", "<!--", "</p>", "<a href=x>", "<b></i>"])
+def test_hostile_pages_take_linear_time(bit):
+    import time
+
+    def seconds(n):
+        start = time.perf_counter()
+        page_source.markup.read_page("https://s.fr/", bit * n, page_source._RULES)
+        return time.perf_counter() - start
+
+    small, large = max(seconds(2_000), 0.002), seconds(20_000)
+    assert large < 40 * small
+
+
 def test_bad_page_is_reported_not_fatal(spark, monkeypatch):
     def failing(url, html, rules):
         raise ValueError("no")

@@ -17,12 +17,14 @@ from affiche.functions.text import age_range, clock_time, french_date, matching_
 from affiche.sources.pages import spread_if_few
 
 DATE_AS_OF = dt.date(1998, 6, 1)
+WORKED_ON = ("orders", "documents", "conversations")
 YEAR_AS_OF = dt.date(2026, 12, 1)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. Small ones are a single file, so their rows are spread over the cores."""
-    return spread_if_few(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    """A given table. Where much work follows per row, small single files are spread over the cores."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_if_few(rows) if name in WORKED_ON else rows
 
 
 def pick(key: Column, *texts: Column | str) -> Column:
