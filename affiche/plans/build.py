@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from affiche.functions import lexicon
 from affiche.functions.classify import (
     is_family,
     is_institutional,
@@ -62,8 +63,8 @@ def activity_rows(events: DataFrame) -> DataFrame:
         strip(F.col("summary")).alias("summary"),
         "link",
         "category",
-        F.coalesce("age_min", F.lit(5)).alias("age_min"),
-        F.coalesce("age_max", F.lit(10)).alias("age_max"),
+        F.coalesce("age_min", F.lit(lexicon.DEFAULT_AGE_MIN)).alias("age_min"),
+        F.coalesce("age_max", F.lit(lexicon.DEFAULT_AGE_MAX)).alias("age_max"),
         "event_date",
         "event_time",
         "price",

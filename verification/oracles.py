@@ -300,7 +300,6 @@ _RULES = title_rules("s", "n")
 _CONFIGURED_CITIES = ", ".join(f"({text(c)})" for c in CITIES)
 _CONFIGURED_CATEGORIES = ", ".join(f"({text(c)})" for c in SITES)
 _FLAGS = ", ".join(f"CAST({rule} AS BOOLEAN) AS {name}" for name, rule in _RULES.items())
-_LATER = "o.o_orderdate >= TIMESTAMP '1998-01-01'"
 
 
 def first_rows(source: str, keys: str, order: str, columns: str, n: int = 1) -> str:
