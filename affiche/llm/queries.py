@@ -8,13 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affiche.llm import bpe, language, packing, rules, sharding
+from affiche.llm import bpe, language, neighbours, packing, rules, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest rows of every hundredth vector."""
+    rows = neighbours.usable(table(spark, sf_dir, "embeddings"))
+    return neighbours.search(rows, rows.where(F.col("vec_id") % 100 == 0), 10)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
@@ -58,6 +64,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_one_bit_neighbours": op1_one_bit_neighbours,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_sharding": op4_sharding,
     "op5_byte_bpe": op5_byte_bpe,
