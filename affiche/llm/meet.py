@@ -151,6 +151,9 @@ def meet(df: DataFrame, entries: Callable[[pa.RecordBatch], Iterator[Entries]],
         owners, places = owners.view(np.int64), places.view(np.int64)
         order = np.lexsort((places, owners))
         owners, places, keys = owners[order], places[order], keys[order]
+        new = np.ones(len(owners), bool)  # rows that repeat an owner may tell of one place twice
+        new[1:] = (owners[1:] != owners[:-1]) | (places[1:] != places[:-1])
+        owners, places, keys = owners[new], places[new], keys[new]
         start, _ = runs(owners)
         ends = np.append(start[1:], len(owners))
         return pa.table(
