@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affiche.llm import bpe, language, neighbours, packing, passages, rules, sharding
+from affiche.llm import bpe, language, long_repeats, near_duplicates, neighbours, packing, passages, rules, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op1_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(rows, rows.where(F.col("vec_id") % 100 == 0), 10)
 
 
+def op2_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the component of near duplicates it is in."""
+    return near_duplicates.joined(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
@@ -54,6 +59,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_long_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the strings of 400 bytes that start elsewhere too."""
+    return long_repeats.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -70,10 +80,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_one_bit_neighbours": op1_one_bit_neighbours,
+    "op2_shingle_join": op2_shingle_join,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_sharding": op4_sharding,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_quality_rules": op6_quality_rules,
+    "op7_long_repeats": op7_long_repeats,
     "op8_language_id": op8_language_id,
     "op9_substring_dedup": op9_substring_dedup,
 }

@@ -14,7 +14,7 @@ CHUNK = 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 3)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[ord(c) for c in SPACES]] = True
-_VALUE = np.random.default_rng(20260301).integers(1, 1 << 64, 256, dtype=np.uint64)
+VALUES = np.random.default_rng(20260301).integers(1, 1 << 64, 256, dtype=np.uint64)
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 _powers: dict[str, np.ndarray] = {}
@@ -78,7 +78,7 @@ class Words:
         self.hash = np.zeros(0, np.uint64)
         if len(self.start):
             up, down = powers(n)
-            value = _VALUE[_LOWER] if lower else _VALUE.copy()
+            value = VALUES[_LOWER] if lower else VALUES.copy()
             value[_IS_SPACE] = 0
             sums = np.add.reduceat(value[data] * up, self.start)
             self.hash = mix(sums * down[self.start])

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affiche.llm import language, packing, rules
+from affiche.llm import language, near_duplicates, packing, passages, rules
 from affiche.llm.queries import table
 from affiche.llm.shared import settled
 
@@ -27,6 +27,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rules.judged(docs, learned).where("kept").select(docs.columns)
 
 
+def near_duplicate_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates, the one with the smallest doc_id."""
+    return near_duplicates.one_of_each(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages that an earlier document has; documents that are nothing else go."""
+    return passages.deduplicated(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of at most 2048 tokens."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 2048)
@@ -35,6 +45,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language ID", language_id),
     ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicate_join),
+    ("substring dedup", substring_dedup),
     ("best-fit packing", packed),
 ]
 ORACLE_SQL = None
