@@ -19,28 +19,40 @@ from affiche.llm.shared import partitions
 
 Entries = tuple[np.ndarray, np.ndarray, np.ndarray]  # owners (int64), keys (uint64), places (int64)
 #: Entries that a task holds before it sends messages.
-FLUSH = 1_000_000
+FLUSH = 1_500_000
 OTHER, ANY, SMALLER = "another owner", "another entry", "a smaller owner"
 _MESSAGE = "part int, kind int, payload binary"
 
 
-def pack(columns: list[np.ndarray], flags: np.ndarray) -> bytes:
-    """64-bit columns and flags as bytes, byte by byte of all numbers, so that equal high bytes compress well."""
+def pack(owners: np.ndarray, columns: list[np.ndarray], flags: np.ndarray) -> bytes:
+    """Owners, 64-bit columns and flags as compressed bytes.
+
+    Owners are numbered, columns become differences, and both are laid out byte by byte of all
+    numbers, so that high bytes, which hardly vary, cost next to nothing.
+    """
     n = len(flags)
-    return b"".join(
-        [np.int64(n).tobytes(), flags.astype(np.uint8).tobytes()]
-        + [np.diff(c.view(np.uint64), prepend=np.uint64(0)).view(np.uint8).reshape(n, 8).T.tobytes() for c in columns]
-    )
+    different, number = np.unique(owners, return_inverse=True)
+    numbered = [different.astype(np.int64).view(np.uint64), number.astype(np.uint64)]
+    numbered[0] = np.diff(numbered[0], prepend=np.uint64(0))
+    numbered += [np.diff(c.view(np.uint64), prepend=np.uint64(0)) for c in columns]
+    planes = [c.view(np.uint8).reshape(len(c), 8).T.tobytes() for c in numbered]
+    raw = b"".join([np.array([n, len(different)], np.int64).tobytes(), flags.astype(np.uint8).tobytes(), *planes])
+    return np.int64(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def unpack(payload: bytes, width: int) -> tuple[list[np.ndarray], np.ndarray]:
-    n = int(np.frombuffer(payload, np.int64, 1)[0])
-    flags = np.frombuffer(payload, np.uint8, n, 8).astype(bool)
-    out = []
-    for k in range(width):
-        planes = np.frombuffer(payload, np.uint8, 8 * n, 8 + n + 8 * n * k).reshape(8, n)
-        out.append(np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(n), dtype=np.uint64))
-    return out, flags
+    """The owners and the columns after them, ``width`` in all, and the flags."""
+    size = int(np.frombuffer(payload, np.int64, 1)[0])
+    raw = pa.decompress(payload[8:], decompressed_size=size, codec="zstd", asbytes=True)
+    n, n_owners = np.frombuffer(raw, np.int64, 2).tolist()
+    flags = np.frombuffer(raw, np.uint8, n, 16).astype(bool)
+    at, out = 16 + n, []
+    for length in (n_owners, *[n] * width):
+        planes = np.frombuffer(raw, np.uint8, 8 * length, at).reshape(8, length)
+        out.append(np.ascontiguousarray(planes.T).view(np.uint64).reshape(length))
+        at += 8 * length
+    owners = np.cumsum(out[0], dtype=np.uint64)[out[1].astype(np.int64)]
+    return [owners, *[np.cumsum(c, dtype=np.uint64) for c in out[2:]]], flags
 
 
 def unpack_all(payloads: list[bytes], width: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -97,21 +109,21 @@ def meet(df: DataFrame, entries: Callable[[pa.RecordBatch], Iterator[Entries]],
     entry of the same key, ``SMALLER`` one of a smaller owner. Keys are told apart by their 64 bits. Owners
     without such entries have no row.
     """
-    parts = 2 * partitions(df.sparkSession)
+    parts = partitions(df.sparkSession)
 
     def send(owners: np.ndarray, keys: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
         owners, keys, places, known = ordered(owners, keys, places, rule)
         here, stands = met(owners, keys, known, rule)
         rows: list[tuple[int, int, bytes]] = []
         if here.any():  # they are told at once, by way of any part
-            rows.append((int(keys[here][0] % np.uint64(parts)), 1, pack([owners[here].view(np.uint64), places[here].view(np.uint64), keys[here]], here[here])))
+            rows.append((int(keys[here][0] % np.uint64(parts)), 1, pack(owners[here], [places[here], keys[here]], here[here])))
         at = np.flatnonzero(stands)
         part = ((keys[at] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         cuts = np.searchsorted(part, np.arange(parts + 1))
         for p in range(parts):
             own = at[cuts[p] : cuts[p + 1]]
             if len(own):
-                rows.append((p, 0, pack([owners[own].view(np.uint64), keys[own], places[own].view(np.uint64)], here[own])))
+                rows.append((p, 0, pack(owners[own], [keys[own], places[own]], here[own])))
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["part", "kind", "payload"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,16 +155,16 @@ def meet(df: DataFrame, entries: Callable[[pa.RecordBatch], Iterator[Entries]],
         for q in range(parts):
             own = order[cuts[q] : cuts[q + 1]]
             if len(own):
-                rows.append((q, pack([owners[own].view(np.uint64), places[own].view(np.uint64), keys[own]], np.zeros(len(own)))))
+                rows.append((q, pack(owners[own], [places[own], keys[own]], np.zeros(len(own)))))
         return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "payload": pa.array([r[1] for r in rows], pa.binary())})
 
     def gather(table: pa.Table) -> pa.Table:
         (owners, places, keys), _ = unpack_all(table["payload"].to_pylist(), 3)
         owners, places = owners.view(np.int64), places.view(np.int64)
-        order = np.lexsort((places, owners))
+        order = np.lexsort((keys, places, owners))
         owners, places, keys = owners[order], places[order], keys[order]
         new = np.ones(len(owners), bool)  # rows that repeat an owner may tell of one place twice
-        new[1:] = (owners[1:] != owners[:-1]) | (places[1:] != places[:-1])
+        new[1:] = (owners[1:] != owners[:-1]) | (places[1:] != places[:-1]) | (keys[1:] != keys[:-1])
         owners, places, keys = owners[new], places[new], keys[new]
         start, _ = runs(owners)
         ends = np.append(start[1:], len(owners))

@@ -18,6 +18,8 @@ from affiche.llm.text import Words, chunks, utf8
 #: Words in a shingle; two sets link when SHARE_TOP * union <= SHARE_OF * intersection.
 SHINGLE = 5
 SHARE_TOP, SHARE_OF = 75, 100
+#: The bits of a shingle's hash that are sent and compared: enough to tell apart the shingles of two documents.
+KEY = np.uint64(0xFFFFFFFFFFFF0000)
 #: Members of a group that one task searches at once; larger groups are split into blocks.
 BLOCK = 1024
 
@@ -55,6 +57,11 @@ def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
         yield low, docs[new], hashes[new]
 
 
+def shingles(packed: bytes) -> np.ndarray:
+    """Packed keys of shingles as sorted numbers."""
+    return (np.frombuffer(packed, np.uint64) >> np.uint64(16)).astype(np.int64)
+
+
 def class_of(sorted_hashes: np.ndarray) -> int:
     """A number for a whole set, the same for equal sets."""
     return int.from_bytes(hashlib.blake2b(sorted_hashes.tobytes(), digest_size=8).digest(), "little") >> 1
@@ -92,7 +99,7 @@ def class_shingles(batch: pa.RecordBatch) -> Iterator[Entries]:
     """Every shingle of every set, as an entry of the set's class."""
     for low, owners, hashes in shingle_sets(batch["text"]):
         _, classes = _classes(owners, hashes, _run_length(batch, low))
-        yield classes[owners], hashes, hashes.view(np.int64)
+        yield classes[owners], hashes & KEY, np.zeros(len(hashes), np.int64)
 
 
 def candidates(docs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -101,7 +108,7 @@ def candidates(docs: DataFrame, sets: DataFrame) -> DataFrame:
     A shingle that only one set has is in no intersection, so the shared ones are all that ever need
     comparing, and a set needs ``least_overlap`` of them. Sets are named by their smallest document.
     """
-    shared = meet(docs.select("text"), class_shingles, OTHER).select(F.col("owner").alias("class"), F.col("places").alias("shared"))
+    shared = meet(docs.select("text"), class_shingles, OTHER).select(F.col("owner").alias("class"), F.col("keys").alias("shared"))
     named = sets.groupBy("class").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"))
     enough = F.octet_length("shared") / 8 * SHARE_OF >= F.col("n") * SHARE_TOP
     return named.where(F.col("id").isNotNull()).join(shared, "class").where(enough).select("id", "n", "shared")
@@ -127,7 +134,7 @@ def frequent(sets: DataFrame, share: float = 0.01, least: int = 16) -> np.ndarra
 
         for batch in batches:
             for packed in batch["shared"].to_pylist():
-                held.append(np.frombuffer(packed, np.int64))
+                held.append(shingles(packed))
                 total += 1
             if sum(map(len, held)) > 1_000_000:
                 tokens, seen = merged(tokens, seen, held)
@@ -155,7 +162,7 @@ def prefixes(sets: DataFrame, rare_last: np.ndarray) -> DataFrame:
         for batch in batches:
             ids, tokens = [], []
             for key, n, packed in zip(batch["id"].to_pylist(), batch["n"].to_pylist(), batch["shared"].to_pylist(), strict=True):
-                own = np.frombuffer(packed, np.int64)
+                own = shingles(packed)
                 late = np.isin(own, sent.value)
                 first = n - least_overlap(n) + 1 - (n - len(own))
                 own = np.concatenate([own[~late], own[late]])[:first]
@@ -191,7 +198,7 @@ def against_leaders(routed: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             n, m = batch["n_own"].to_numpy(), batch["n_lead"].to_numpy()
             both = [
-                common(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64))
+                common(shingles(a), shingles(b))
                 for a, b in zip(batch["own"].to_pylist(), batch["lead"].to_pylist(), strict=True)
             ]
             yield pa.record_batch([batch["id"], batch["leader"], pa.array(links(n, m, np.array(both, np.int64)), pa.bool_())], names=["id", "leader", "linked"])
@@ -246,10 +253,10 @@ def searched(asking: pa.Table, held: pa.Table) -> pa.Table:
     a, b = [], []
     if asking.num_rows and held.num_rows:
         ids = held["id"].to_numpy()
-        lists = Lists(ids, held["n"].to_numpy(), [np.frombuffer(s, np.int64) for s in held["shared"].to_pylist()])
+        lists = Lists(ids, held["n"].to_numpy(), [shingles(s) for s in held["shared"].to_pylist()])
         joined = np.arange(len(ids))
         for key, n, packed in zip(asking["id"].to_pylist(), asking["n"].to_pylist(), asking["shared"].to_pylist(), strict=True):
-            found = lists.search(n, np.frombuffer(packed, np.int64))
+            found = lists.search(n, shingles(packed))
             found = found[ids[found] != key]
             if len(found):
                 groups, first = np.unique(joined[found], return_index=True)
