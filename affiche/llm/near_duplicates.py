@@ -58,8 +58,16 @@ def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
 
 
 def shingles(packed: bytes) -> np.ndarray:
-    """Packed keys of shingles as sorted numbers."""
-    return (np.frombuffer(packed, np.uint64) >> np.uint64(16)).astype(np.int64)
+    """Packed shingles as sorted numbers."""
+    planes = np.zeros((8, len(packed) // 6), np.uint8)
+    planes[:6] = np.frombuffer(packed, np.uint8).reshape(6, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.int64).reshape(-1))
+
+
+def packed_shingles(keys: bytes) -> bytes:
+    """Keys of shingles (64 bits, of which 48 count) as differences, byte by byte of all of them: 6 bytes each at most."""
+    numbers = (np.frombuffer(keys, np.uint64) >> np.uint64(16)).astype(np.int64)
+    return np.ascontiguousarray(np.diff(numbers, prepend=0).view(np.uint8).reshape(-1, 8).T[:6]).tobytes()
 
 
 def class_of(sorted_hashes: np.ndarray) -> int:
@@ -111,7 +119,14 @@ def candidates(docs: DataFrame, sets: DataFrame) -> DataFrame:
     shared = meet(docs.select("text"), class_shingles, OTHER).select(F.col("owner").alias("class"), F.col("keys").alias("shared"))
     named = sets.groupBy("class").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"))
     enough = F.octet_length("shared") / 8 * SHARE_OF >= F.col("n") * SHARE_TOP
-    return named.where(F.col("id").isNotNull()).join(shared, "class").where(enough).select("id", "n", "shared")
+    found = named.where(F.col("id").isNotNull()).join(shared, "class").where(enough).select("id", "n", "shared")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = pa.array([packed_shingles(k) for k in batch["shared"].to_pylist()], pa.binary())
+            yield pa.record_batch([batch["id"], batch["n"], packed], names=["id", "n", "shared"])
+
+    return found.mapInArrow(run, "id long, n long, shared binary")
 
 
 def frequent(sets: DataFrame, share: float = 0.01, least: int = 16) -> np.ndarray:
@@ -189,10 +204,19 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def against_leaders(routed: DataFrame, sets: DataFrame) -> DataFrame:
-    """id, leader and linked: each set compared with its leaders."""
+    """id, leader and linked: each set compared with its leaders; sizes too far apart need no comparing."""
     own = sets.select("id", F.col("n").alias("n_own"), F.col("shared").alias("own"))
     lead = sets.select(F.col("id").alias("leader"), F.col("n").alias("n_lead"), F.col("shared").alias("lead"))
-    pairs = routed.where(F.col("id") != F.col("leader")).join(own, "id").join(lead, "leader")
+    sizes = sets.select("id", "n")
+    sized = (
+        routed.where(F.col("id") != F.col("leader"))
+        .join(sizes, "id")
+        .join(sizes.select(F.col("id").alias("leader"), F.col("n").alias("_n")), "leader")
+        .withColumn("near", SHARE_OF * F.least("n", "_n") >= SHARE_TOP * F.greatest("n", "_n"))
+        .select("id", "leader", "near")
+    )
+    pairs = sized.where("near").select("id", "leader").join(own, "id").join(lead, "leader")
+    far = sized.where(~F.col("near")).select("id", "leader", F.lit(False).alias("linked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,7 +227,7 @@ def against_leaders(routed: DataFrame, sets: DataFrame) -> DataFrame:
             ]
             yield pa.record_batch([batch["id"], batch["leader"], pa.array(links(n, m, np.array(both, np.int64)), pa.bool_())], names=["id", "leader", "linked"])
 
-    return pairs.mapInArrow(run, "id long, leader long, linked boolean")
+    return pairs.mapInArrow(run, "id long, leader long, linked boolean").union(far)
 
 
 class Lists:
