@@ -87,50 +87,71 @@ def weights(lines: DataFrame, templates: dict[str, str] = TEMPLATES) -> Weights:
     return Weights(idf, math.log(n + 1) + 1, vectors)
 
 
-def cosines(line_tokens: Column, known: Weights) -> Column:
-    """For a line its cosine to each template, as an array of (score, licence)."""
+def times(line_tokens: Column, term: Column | str) -> Column:
+    """How often a term stands in a line."""
+    return F.size(F.filter(line_tokens, lambda w: w == term)).cast("double")
+
+
+def dots(line_tokens: Column, known: Weights) -> Column:
+    """Inner products of a line (not yet of length 1) and each template, as an array of (dot, licence)."""
+    return F.array(
+        *[
+            F.struct(
+                sum([times(line_tokens, t) * F.lit(w * known.idf[t]) for t, w in vector.items()], F.lit(0.0)).alias("dot"),
+                F.lit(name).alias("licence"),
+            )
+            for name, vector in sorted(known.templates.items())
+        ]
+    )
+
+
+def length(line_tokens: Column, known: Weights) -> Column:
+    """The length of a line as a vector."""
     idf = F.create_map(*[F.lit(x) for t, w in known.idf.items() for x in (t, w)])
 
-    def times(term: str) -> Column:
-        return F.size(F.filter(line_tokens, lambda w: w == term)).cast("double")
+    def weight(term: Column) -> Column:
+        return F.coalesce(idf[term], F.lit(known.unseen)) * times(line_tokens, term)
 
     terms = F.array_distinct(line_tokens)
-    squares = F.aggregate(
-        terms,
-        F.lit(0.0),
-        lambda total, term: total
-        + F.pow(F.coalesce(idf[term], F.lit(known.unseen)) * F.size(F.filter(line_tokens, lambda w: w == term)), F.lit(2.0)),
-    )
-    out = []
-    for name, vector in known.templates.items():
-        dot = sum([times(t) * F.lit(w * known.idf[t]) for t, w in vector.items()], F.lit(0.0))
-        out.append(F.struct(F.round(dot / F.sqrt(squares), 9).alias("score"), F.lit(name).alias("licence")))
-    return F.array(*out)
+    return F.sqrt(F.aggregate(terms, F.lit(0.0), lambda total, term: total + weight(term) * weight(term)))
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns by a generator of one row, so that later filters do not work them out again."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
 def lines_of(files: DataFrame, *columns: str) -> DataFrame:
     """The lines of every whole text with their tokens; lines without any are left out."""
-    lines = files.select(*columns, F.posexplode(F.split(text_or_empty(), "\n", -1)).alias("line", "_text"))
-    return lines.select(*columns, "line", tokens(F.col("_text")).alias("tokens")).where(F.size("tokens") > 0)
+    parts = F.transform(
+        F.split(text_or_empty(), "\n", -1), lambda text, k: F.struct(k.alias("line"), tokens(text).alias("tokens"))
+    )
+    return files.select(*columns, F.inline(parts)).where(F.size("tokens") > 0)
 
 
 def stated(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """path, licence, score, line and first: the licence that each file states itself, where it does.
+    """path, licence, score and line: the licence that each file states itself, where it does.
 
-    The line with the highest cosine counts; of equals the first line, then the licence first by name.
-    ``first`` says that the file begins with it: no line before it has a word.
+    The line with the highest cosine counts; of equals the first line, then the licence last by name. Whole lines
+    are compared, but most are ruled out before that: they hold common terms only, or so many terms that no
+    template has that they are too long for the threshold.
     """
     lines = lines_of(files, "path")
     known = weights(lines, templates)
     telling = sorted(set(known.idf) - known.common(threshold))
     near = lines.where(F.arrays_overlap("tokens", F.array(*[F.lit(t) for t in telling])))
-    longest = 4 * max(len(_words(t)) for t in templates.values())
-    best = F.array_max(cosines(F.col("tokens"), known)).alias("best")
-    del longest
-    scored = near.select("path", "line", best).where(F.col("best.score") >= threshold)
-    top = Window.partitionBy("path").orderBy(F.desc("best.score"), "line", "best.licence")
+    vocabulary = F.array(*[F.lit(t) for t in sorted(known.idf)])
+    near = once(
+        near,
+        best=F.array_max(dots(F.col("tokens"), known)),
+        strange=F.size(F.array_except("tokens", vocabulary)).cast("double"),
+    )
+    near = near.where(F.col("best.dot") >= (threshold - 1e-6) * known.unseen * F.sqrt("strange"))
+    near = once(near, score=F.round(F.col("best.dot") / length(F.col("tokens"), known), 9))
+    scored = near.where(F.col("score") >= threshold).select("path", "line", "score", F.col("best.licence").alias("licence"))
+    top = Window.partitionBy("path").orderBy(F.desc("score"), "line", "licence")
     found = scored.withColumn("_rank", F.row_number().over(top)).where(F.col("_rank") == 1)
-    return found.select("path", F.col("best.licence").alias("licence"), F.col("best.score").alias("score"), "line")
+    return found.select("path", "licence", "score", "line")
 
 
 def directory(path: Column) -> Column:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affiche.llm import bpe, language, long_repeats, near_duplicates, neighbours, packing, passages, rules, sharding
+from affiche.llm import bpe, language, licences, long_repeats, near_duplicates, neighbours, packing, passages, rules, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,21 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.digests(table(spark, sf_dir, "documents"))
 
 
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document, its own or that of the nearest directory above it.
+
+    Documents lie in directories by source, language and thousand of ids; each may be the licence file of its
+    directory, the first by path that states a licence is.
+    """
+    docs = table(spark, sf_dir, "documents").where(F.col("doc_id").isNotNull())
+    folder = [F.coalesce(F.col(c).cast("string"), F.lit("none")) for c in ("source", "lang")]
+    path = F.concat_ws("/", *folder, F.floor(F.col("doc_id") / 1000).cast("string"), F.col("doc_id").cast("string"))
+    files = docs.select(path.alias("path"), "text", F.lit(True).alias("is_licence"))
+    return licences.scan(files).select(
+        F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "path", "licence", "score", "origin", "source"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_one_bit_neighbours": op1_one_bit_neighbours,
     "op2_shingle_join": op2_shingle_join,
@@ -88,5 +103,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_long_repeats": op7_long_repeats,
     "op8_language_id": op8_language_id,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_licence_scan": op10_licence_scan,
 }
 ORACLES: dict[str, str] = {}
