@@ -85,6 +85,8 @@ def contexts(rows: DataFrame, left_out: np.ndarray) -> DataFrame:
                 keys, at = numbers(batch["keys"][row].as_py()), numbers(batch["places"][row].as_py())
                 kept = ~np.isin(keys, sent.value) & (at + GRAM <= len(text))
                 keys, at = keys[kept], at[kept]
+                if not len(at):
+                    continue
                 order = np.lexsort((at, keys))
                 keys, at = keys[order], at[order]
                 low, high = np.maximum(at - side, 0), np.minimum(at + LENGTH, len(text))
@@ -93,7 +95,7 @@ def contexts(rows: DataFrame, left_out: np.ndarray) -> DataFrame:
                 starts = np.flatnonzero(first)
                 ends = np.append(starts[1:], len(at)) - 1
                 for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-                    if len(at) and high[b] - low[a] >= LENGTH:
+                    if high[b] - low[a] >= LENGTH:
                         out.append((int(keys[a]), owner, int(low[a]), text[low[a] : high[b]].tobytes()))
                         held += len(out[-1][3])
                 if held > 8 << 20:
