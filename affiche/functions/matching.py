@@ -15,6 +15,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column
 
+
 def _tree(words: Iterable[str]) -> str:
     by_head: dict[str, list[str]] = {}
     for word in words:
@@ -25,14 +26,17 @@ def _tree(words: Iterable[str]) -> str:
     return arms[0] if len(arms) == 1 else "(?:" + "|".join(arms) + ")"
 
 
+def _pattern(needed: list[str]) -> str:
+    positions = zip(*needed)  # as many as the shortest word has characters
+    classes = ["[" + "".join(sorted(map(re.escape, set(chars)))) + "]" for chars in positions]
+    return f"(?={''.join(classes)}){_tree(needed)}"
+
+
 def any_of(words: Iterable[str]) -> str:
     """Pattern that finds any of the words as a substring."""
     words = sorted(set(words))
     # A word that contains another one can add no hit.
-    needed = [w for w in words if not any(other != w and other in w for other in words)]
-    positions = zip(*needed)  # as many as the shortest word has characters
-    classes = ["[" + "".join(sorted(map(re.escape, set(chars)))) + "]" for chars in positions]
-    return f"(?={''.join(classes)}){_tree(needed)}"
+    return _pattern([w for w in words if not any(other != w and other in w for other in words)])
 
 
 def contains_any(text: Column, words: Iterable[str]) -> Column:
@@ -40,4 +44,6 @@ def contains_any(text: Column, words: Iterable[str]) -> Column:
 
 
 def starts_with_any(text: Column, words: Iterable[str]) -> Column:
-    return text.rlike("^" + any_of(words))
+    words = sorted(set(words))
+    # Here only a word that begins with another one can add no hit.
+    return text.rlike("^" + _pattern([w for w in words if not any(other != w and w.startswith(other) for other in words)]))

@@ -92,8 +92,8 @@ def append(path: str, batch: DataFrame, load_id: str, null_safe: bool = False) -
     """Store the new rows of a batch under ``load_id``; returns how many were stored.
 
     The batch is worked out once and settled, so ids and the date window below rest
-    on the same rows even when executors are lost. Rows that turn out to be stored
-    already leave gaps in the ids.
+    on the same rows even when executors are lost. Of rows with one key the first of the
+    batch is stored. Rows that turn out to be stored already leave gaps in the ids.
     """
     spark = batch.sparkSession
     init_store(spark, path)
@@ -105,7 +105,7 @@ def append(path: str, batch: DataFrame, load_id: str, null_safe: bool = False) -
     in_window = F.col("event_date").between(first_day, last_day)
     rivals = others.filter((in_window | F.col("event_date").isNull()) if null_safe else in_window)
     last_id = others.agg(F.max("id")).first()[0] or 0
-    fresh = insert_if_absent(with_ids(rows, last_id), rivals, null_safe)
+    fresh = insert_if_absent(with_ids(rows, last_id), rivals, null_safe, order=["id"])  # the first row of the batch wins
 
     target = f"{path}/{LOAD}={load_id}"
     (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -24,12 +25,15 @@ def load_snapshots(
 
     One run is one crawl: all new files form one micro-batch, so site pages and the
     agenda pages they lead to meet in it. The first run over an empty store is the
-    backfill. A batch replayed after a failure rewrites its own load (see ``store``).
+    backfill. A batch replayed after a failure rewrites its own load (see ``store``); loads are named by the
+    stream's own id, which Spark keeps in the checkpoint, so another stream or a fresh checkpoint
+    never writes over what is stored.
     """
     stream = spark.readStream.schema(SNAPSHOT).format("parquet").load(snapshots)
 
     def load(pages: DataFrame, batch_id: int) -> None:
-        load_activities(pages, sites, store, f"batch-{batch_id:09d}", as_of, sitemaps)
+        stream_id = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+        load_activities(pages, sites, store, f"{stream_id}-{batch_id:09d}", as_of, sitemaps)
 
     return (
         stream.writeStream.foreachBatch(load)

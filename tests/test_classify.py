@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from affiche.functions import classify, display, text
+from affiche.functions import classify, display, lexicon, matching, text
 from affiche.plans.build import family_events
 
 FIRST_REASON = {
@@ -156,3 +156,14 @@ def test_counter(spark):
         (20, True, "20 sur 45 activités"),
         (45, False, "45 sur 45 activités"),
     ]
+
+
+def test_every_fragment_start_rejects(spark):
+    titles = [start + " suite du titre" for start in lexicon.FRAGMENT_STARTS]
+    rows = spark.createDataFrame([(t,) for t in titles], "title string")
+    hits = rows.where(matching.starts_with_any(F.col("title"), lexicon.FRAGMENT_STARTS)).collect()
+    assert {r["title"] for r in hits} == set(titles)
+    inside = spark.createDataFrame([("le " + t,) for t in titles], "title string")
+    missed = inside.where(~matching.starts_with_any(F.col("title"), lexicon.FRAGMENT_STARTS)).collect()
+    wanted = {t for t in ("le " + t for t in titles) if not any(t.startswith(s) for s in lexicon.FRAGMENT_STARTS)}
+    assert {r["title"] for r in missed} == wanted

@@ -94,6 +94,12 @@ def test_first_row_of_a_key_wins(spark, path):
     assert {(r["city"], r["price"]) for r in stored(spark, path).collect()} == {("Lyon", "5€"), ("Metz", "9€")}
 
 
+def test_first_row_of_a_batch_wins(spark, path):
+    batch = rows_of(spark, {"title": "A", "summary": "zz first"}, {"title": "A", "summary": "aa second"}).coalesce(1)
+    assert store.append(path, batch, "1") == 1
+    assert [r["summary"] for r in stored(spark, path).collect()] == ["zz first"]
+
+
 def test_ids_are_unique_and_grow(spark, path):
     def batch(word, n):
         return rows_of(spark, *[{"title": f"{word} {i}"} for i in range(n)]).repartition(3)
@@ -254,3 +260,5 @@ def test_incremental_load(spark, tmp_path):
     assert crawl(1, 2) == ["1", "2"]
     assert crawl(2, 3) == ["1", "2", "3"]
     assert crawl(4, 5, status=500) == ["1", "2", "3"]
+    progress = str(tmp_path / "fresh progress")  # starts again at batch 0, which must not replace the stored one
+    assert crawl(6, 7) == ["1", "2", "3", "6", "7"]
