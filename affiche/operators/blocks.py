@@ -2,23 +2,22 @@
 
 A page may show its events in one of three ways: blocks hit by a known
 selector, blocks that share their classes, or plain articles and cards. Each
-way gives candidate groups; the winner of a page is picked by one ordering.
-Everything of a page meets in one shuffle on ``page_id``, which carries the
-page text once and light block rows beside it.
+way gives candidate groups, the first way with a group of some size wins.
+A page arrives as one row with all its blocks, so the choice is made on that
+row: no shuffle, and two snapshots that share an id stay apart.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from affiche.functions import lexicon
 from affiche.functions.text import blank_to_null, strip, summary_cut
-from affiche.sources.pages import BLOCK, page_blocks
+from affiche.sources.pages import page_blocks
 
-# The three ways in the order they are tried, and the row that holds the page text.
-SELECTOR, SHARED_CLASSES, FALLBACK, PAGE_TEXT = 1, 2, 3, 0
+# The three ways in the order they are tried.
+SELECTOR, SHARED_CLASSES, FALLBACK = 1, 2, 3
 
 
 def class_key(classes: Column) -> Column:
@@ -40,30 +39,63 @@ def group_score(n: Column, avg_chars: Column, has_heading: Column, has_link: Col
     )
 
 
-def class_groups(elements: DataFrame, *page: str) -> DataFrame:
-    """Statistics of the kept elements per page and class key; groups of one are left out.
+def class_group_array(elements: Column) -> Column:
+    """The groups of one page: an array of structs (below, first_ix, group), the best group being the smallest.
 
-    ``elements``: page columns, class_key, ix, chars, in_nav, has_heading, has_link.
+    ``elements``: the kept elements as an array of structs with class_key, ix, chars, has_heading, has_link.
+    Groups of one are left out. ``below`` is the negated score; of equal scores the first on the page is
+    the better one, then the smaller class key.
     """
+
+    def measured(members: Column) -> Column:
+        chars = F.aggregate(members, F.lit(0).cast("long"), lambda total, e: total + e["chars"])
+        return F.struct(
+            F.get(members, F.lit(0))["class_key"].alias("class_key"),
+            F.size(members).cast("long").alias("n"),
+            (chars / F.size(members)).alias("avg_chars"),
+            F.exists(members, lambda e: e["has_heading"]).alias("has_heading"),
+            F.exists(members, lambda e: e["has_link"]).alias("has_link"),
+            F.array_min(F.transform(members, lambda e: e["ix"])).alias("first_ix"),
+            members.alias("members"),
+        )
+
+    def scored(group: Column) -> Column:
+        score = group_score(*[group[c] for c in ("n", "avg_chars", "has_heading", "has_link")])
+        return F.struct((-score).alias("below"), group["first_ix"].alias("first_ix"), group.alias("group"))
+
+    keys = F.array_distinct(F.transform(elements, lambda e: e["class_key"]))
+    by_key = F.transform(keys, lambda key: F.filter(elements, lambda e: e["class_key"] == key))
+    several = F.filter(by_key, lambda members: F.size(members) >= lexicon.MIN_BLOCKS)
+    return F.transform(F.transform(several, measured), scored)
+
+
+def _page_groups(elements: DataFrame, *page: str) -> DataFrame:
+    """One row per page with its class groups; the elements of one page meet in one row, as in a page snapshot."""
+    kept = F.struct("class_key", "ix", "chars", "has_heading", "has_link")
     return (
         elements.filter(is_kept(F.col("chars"), F.col("in_nav")))
-        .groupBy(*page, "class_key")
-        .agg(
-            F.count("*").alias("n"),
-            F.avg("chars").alias("avg_chars"),
-            F.max("has_heading").alias("has_heading"),
-            F.max("has_link").alias("has_link"),
-            F.min("ix").alias("first_ix"),
-        )
-        .filter(F.col("n") >= lexicon.MIN_BLOCKS)
-        .withColumn("score", group_score(*map(F.col, ("n", "avg_chars", "has_heading", "has_link"))))
+        .groupBy(*page)
+        .agg(F.collect_list(kept).alias("__elements"))
+        .select(*page, class_group_array(F.col("__elements")).alias("__groups"))
     )
 
 
-def best_class_group(groups: DataFrame, *page: str) -> DataFrame:
+_GROUP_FIELDS = ("class_key", "n", "avg_chars", "has_heading", "has_link", "first_ix")
+
+
+def class_groups(elements: DataFrame, *page: str) -> DataFrame:
+    """Statistics of the kept elements per page and class key; groups of one are left out.
+
+    ``elements``: page columns, class_key, ix, chars, in_nav, has_heading, has_link.
+    """
+    each = _page_groups(elements, *page).select(*page, F.explode("__groups").alias("g"))
+    return each.select(*page, *[F.col(f"g.group.{c}").alias(c) for c in _GROUP_FIELDS], (-F.col("g.below")).alias("score"))
+
+
+def best_class_group(elements: DataFrame, *page: str) -> DataFrame:
     """The top-scoring class group of each page, the first one on the page among equals."""
-    ranked = W.partitionBy(*page).orderBy(F.desc("score"), "first_ix", "class_key")
-    return groups.withColumn("rank", F.row_number().over(ranked)).filter("rank = 1").drop("rank")
+    best = _page_groups(elements, *page).select(*page, F.array_min("__groups").alias("g")).filter("g is not null")
+    return best.select(*page, *[F.col(f"g.group.{c}").alias(c) for c in _GROUP_FIELDS], (-F.col("g.below")).alias("score"))
 
 
 def _selector_hit(block: Column, selector: str) -> Column:
@@ -76,88 +108,41 @@ def _selector_hit(block: Column, selector: str) -> Column:
     return tests[0] if len(tests) == 1 else tests[0] & tests[1]
 
 
-def _memberships(block: Column) -> Column:
-    """Every candidate group a block may belong to, as structs (way, rank, key), null where it does not.
-
-    The row without a block belongs to the page text.
-    """
-
-    def group(way: int, rank: int, key: Column | str = "") -> Column:
-        key = F.lit(key) if isinstance(key, str) else key
-        return F.struct(F.lit(way).alias("way"), F.lit(rank).alias("rank"), key.alias("key"))
-
-    page_text = F.when(block.isNull(), group(PAGE_TEXT, 0))
-    by_selector = [
-        F.when(_selector_hit(block, s), group(SELECTOR, rank))
-        for rank, s in enumerate(lexicon.BLOCK_SELECTORS)
-    ]
-    by_classes = F.when(
-        block["tag"].isin(lexicon.GROUPED_TAGS) & block["classes"].isNotNull(),
-        group(SHARED_CLASSES, 0, class_key(block["classes"])),
-    )
-    fallback = [
-        F.when(_selector_hit(block, s), group(FALLBACK, rank))
-        for rank, s in enumerate(lexicon.FALLBACK_SELECTORS)
-    ]
-    return F.array(page_text, *by_selector, by_classes, *fallback)
-
-
 def event_blocks(pages: DataFrame) -> DataFrame:
     """(page_id, url, pieces, paras, way, block): the blocks of the winning group of each page."""
-    facts = page_blocks(pages)
-    # One row per block, plus a row without a block that alone carries the page text.
-    no_block = F.array(F.lit(None).cast(BLOCK))
-    page_row = F.col("block").isNull()
-    rows = (
-        facts.select(
-            "page_id",
-            "url",
-            "pieces",
-            "paras",
-            F.explode(F.concat(no_block, F.coalesce("blocks", F.array()))).alias("block"),
-        )
-        .filter(page_row | is_kept(F.col("block.chars"), F.col("block.in_nav")))
-        .select(
-            "page_id", *[F.when(page_row, F.col(c)).alias(c) for c in ("url", "pieces", "paras")], "block"
-        )
+    page = ["page_id", "url", "pieces", "paras"]
+    kept = page_blocks(pages).select(
+        *page,
+        F.filter(F.coalesce("blocks", F.array()), lambda b: is_kept(b["chars"], b["in_nav"])).alias("kept"),
     )
-    members = rows.select("*", F.explode(_memberships(F.col("block"))).alias("group")).filter(
-        F.col("group").isNotNull()
+    classed = F.filter("kept", lambda b: b["tag"].isin(lexicon.GROUPED_TAGS) & b["classes"].isNotNull())
+    element = F.transform(
+        classed,
+        lambda b: F.struct(
+            class_key(b["classes"]).alias("class_key"),
+            *[b[c].alias(c) for c in ("ix", "chars", "has_heading", "has_link")],
+            b.alias("block"),
+        ),
     )
 
-    groups = (
-        members.repartition("page_id")
-        .groupBy("page_id", "group.way", "group.rank", "group.key")
-        .agg(
-            F.count("block").alias("n"),
-            F.avg("block.chars").alias("avg_chars"),
-            F.max("block.has_heading").alias("has_heading"),
-            F.max("block.has_link").alias("has_link"),
-            F.min("block.ix").alias("first_ix"),
-            F.collect_list("block").alias("blocks"),  # bounded by the blocks of one page
-            *[F.max_by(c, F.col(c).isNotNull()).alias(c) for c in ("url", "pieces", "paras")],
-        )
-        .filter((F.col("way") == PAGE_TEXT) | (F.col("n") >= lexicon.MIN_BLOCKS))
+    def by_selectors(way: int, selectors: list[str]) -> list[Column]:
+        def hits(selector: str) -> Column:
+            return F.filter("kept", lambda b: _selector_hit(b, selector))
+
+        return [F.struct(F.lit(way).alias("way"), hits(s).alias("blocks")) for s in selectors]
+
+    shared = F.transform(F.col("best")["group"]["members"], lambda e: e["block"])
+    tries = F.array(
+        *by_selectors(SELECTOR, lexicon.BLOCK_SELECTORS),
+        F.struct(F.lit(SHARED_CLASSES).alias("way"), shared.alias("blocks")),
+        *by_selectors(FALLBACK, lexicon.FALLBACK_SELECTORS),
     )
-    score = F.when(
-        F.col("way") == SHARED_CLASSES,
-        group_score(*map(F.col, ("n", "avg_chars", "has_heading", "has_link"))),
-    ).otherwise(0.0)
-    # The page text sorts first, then the groups from the first choice on.
-    order = W.partitionBy("page_id").orderBy("way", "rank", F.desc("score"), "first_ix")
     chosen = (
-        groups.withColumn("score", score)
-        .withColumn("place", F.row_number().over(order))
-        .filter("place <= 2")
-        .groupBy("page_id")
-        .agg(
-            *[F.max_by(c, F.col("way") == PAGE_TEXT).alias(c) for c in ("url", "pieces", "paras")],
-            F.max("way").alias("way"),
-            F.max_by("blocks", "way").alias("blocks"),
-        )
-        .filter(F.col("way") != PAGE_TEXT)
+        kept.withColumn("elements", element)
+        .withColumn("best", F.array_min(class_group_array(F.col("elements"))))
+        .select(*page, F.get(F.filter(tries, lambda t: F.size(t["blocks"]) >= lexicon.MIN_BLOCKS), F.lit(0)).alias("chosen"))
     )
-    return chosen.select("page_id", "url", "pieces", "paras", "way", F.explode("blocks").alias("block"))
+    return chosen.select(*page, F.col("chosen.way").alias("way"), F.explode("chosen.blocks").alias("block"))
 
 
 def _text(pieces: Column, where: Column, joint: str) -> Column:

@@ -10,6 +10,9 @@ from affiche.functions.urls import is_sub_sitemap, path_matches_agenda
 from affiche.operators.dedup import first_per
 from affiche.operators.links import agenda_links, nav_links
 from affiche.sources.pages import sitemap_locations, sitemap_url
+from affiche.sources.settle import written
+
+AGENDA = "seed string, page_url string, seen_at timestamp"
 
 
 def sitemap_pages(sitemaps: DataFrame, roots: DataFrame, n: int | None = None) -> DataFrame:
@@ -39,9 +42,9 @@ def sitemap_pages(sitemaps: DataFrame, roots: DataFrame, n: int | None = None) -
     return agenda_pages(locations).union(below).distinct()
 
 
-def cap_pages(found: DataFrame, *site: str, n: int = lexicon.MAX_PAGES_PER_SITE) -> DataFrame:
-    """The first ``n`` pages of each site by URL."""
-    return first_per(found, list(site), ["page_url"], n)
+def cap_pages(found: DataFrame, *site: str, n: int | None = lexicon.MAX_PAGES_PER_SITE) -> DataFrame:
+    """The first ``n`` pages of each site by URL; all of them if ``n`` is None."""
+    return found if n is None else first_per(found, list(site), ["page_url"], n)
 
 
 def with_fallback(seeds: DataFrame, found: DataFrame) -> DataFrame:
@@ -51,11 +54,16 @@ def with_fallback(seeds: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def discover(sites: DataFrame, pages: DataFrame, sitemaps: DataFrame | None = None) -> DataFrame:
-    """(seed, page_url): at most 50 agenda pages per site URL.
+def discover(
+    sites: DataFrame,
+    pages: DataFrame,
+    sitemaps: DataFrame | None = None,
+    max_pages: int | None = lexicon.MAX_PAGES_PER_SITE,
+) -> DataFrame:
+    """(seed, page_url): at most ``max_pages`` agenda pages per site URL, the first by URL; all with ``None``.
 
-    Only site pages are parsed here. Sitemap pages are cut to 50 per sitemap before
-    they meet the sites: the first 50 of a union lie within the first 50 of its parts,
+    Only site pages are parsed here. Sitemap pages are cut to ``max_pages`` per sitemap before
+    they meet the sites: the first ones of a union lie within the first ones of its parts,
     and a host shared by many sites is not multiplied by its whole sitemap.
     """
     seeds = sites.select(F.col("url").alias("seed")).distinct()
@@ -67,7 +75,32 @@ def discover(sites: DataFrame, pages: DataFrame, sitemaps: DataFrame | None = No
     )
     if sitemaps is not None:
         rooted = seeds.withColumn("root", sitemap_url(F.col("seed")))
-        n = lexicon.MAX_PAGES_PER_SITE
-        listed = cap_pages(sitemap_pages(sitemaps, rooted, n), "root", n=n)
+        listed = cap_pages(sitemap_pages(sitemaps, rooted, max_pages), "root", n=max_pages)
         found = found.union(rooted.join(listed, "root").select("seed", "page_url")).distinct()
-    return with_fallback(seeds, cap_pages(found, "seed"))
+    return with_fallback(seeds, cap_pages(found, "seed", n=max_pages))
+
+
+def known_agenda(
+    path: str,
+    load_id: str,
+    pages: DataFrame,
+    sites: DataFrame,
+    sitemaps: DataFrame | None = None,
+    max_pages: int | None = lexicon.MAX_PAGES_PER_SITE,
+) -> DataFrame:
+    """(seed, page_url): agenda pages of each site, from its site page now or from the last one seen before.
+
+    What the site pages of this load lead to is kept under ``path``, one folder per load; a load that is run
+    again writes its own folder anew and does not read it. A site whose page is among ``pages`` goes by that page alone.
+    """
+    spark = pages.sparkSession
+    now = written(discover(sites, pages, sitemaps, max_pages))
+    seen = pages.select(F.col("url").alias("seed")).join(sites.select(F.col("url").alias("seed")), "seed", "left_semi")
+    seen = written(seen.distinct())
+    kept = now.join(seen, "seed", "left_semi").withColumn("seen_at", F.current_timestamp())
+    kept.write.mode("overwrite").parquet(f"{path}/load_id={load_id}")
+    stored = spark.read.schema(f"{AGENDA}, load_id string").parquet(path).filter(F.col("load_id") != load_id)
+    last = stored.groupBy("seed").agg(F.max("seen_at").alias("seen_at"))
+    before = stored.join(last, ["seed", "seen_at"]).join(seen, "seed", "left_anti").select("seed", "page_url")
+    # Capped once more: a site without its page may still have pages from a sitemap.
+    return written(cap_pages(now.union(before).distinct(), "seed", n=max_pages))

@@ -17,9 +17,9 @@ from affiche.sources.pages import page_links
 ELSEWHERE = 2  # the zone outside navigation
 
 
-def followable_links(pages: DataFrame) -> DataFrame:
+def followable_links(pages: DataFrame, partitions: int | None = None) -> DataFrame:
     """``page_links`` without anchors, script calls and empty links."""
-    return page_links(pages).filter(is_followable(F.col("href")))
+    return page_links(pages, partitions).filter(is_followable(F.col("href")))
 
 
 def first_links(links: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affiche.operators.filters import PER_PAGE, check_arguments, filter_activities, read_view
@@ -11,72 +11,29 @@ from affiche.schema import READ_COLUMNS
 
 # Undated rows first; the id settles ties.
 ORDER = ["event_date", "event_time", "id"]
-# Up to this many rows a top-k is the cheapest plan; beyond it the start of the page is sought.
-SHALLOW_ROWS = 10_000
-ID_SLICES = 1_000
 
 
-def page_rows(df: DataFrame, page: int = 1, per_page: int = PER_PAGE, shallow: int = SHALLOW_ROWS) -> DataFrame:
+def page_rows(df: DataFrame, page: int = 1, per_page: int = PER_PAGE) -> DataFrame:
     """Rows (page-1)*per_page .. page*per_page of the ordered read; none past the end.
 
-    A top-k keeps offset + k rows in one task, so for a deep page the row that opens
-    it is found by counting and the page is a top-k of ``per_page`` rows from there.
+    One plan at every depth: a top-k of offset + per_page rows, which Spark itself turns into a sort where
+    that is many. Who reads on and on, or far down, should use ``rows_after``, whose cost does not grow.
     """
-    offset = (page - 1) * per_page
-    if offset + per_page <= shallow:
-        return df.orderBy(*ORDER).offset(offset).limit(per_page)
-    start = _row_at(df, offset, shallow)
-    if start is None:
-        return df.limit(0)
-    return df.filter(_not_before(start)).orderBy(*ORDER).limit(per_page)
+    return df.orderBy(*ORDER).offset((page - 1) * per_page).limit(per_page)
 
 
-def _row_at(df: DataFrame, position: int, shallow: int) -> Row | None:
-    """The order columns of the row at a position, by counts per year, day, time, id range.
-
-    Each level brings one count per year / day / time of day to the driver, or
-    per one of a thousand id ranges: sizes that do not grow with the table.
-    """
-    rest, skip, held = df.select(*ORDER), position, None
-    year = F.substring("event_date", 1, 4)
-    for level in (year, F.col("event_date"), F.col("event_time")):
-        counts = rest.groupBy(level.alias("v")).agg(F.count("*").alias("n")).orderBy("v").collect()
-        hit = _locate([(row["v"], row["n"]) for row in counts], skip)
-        if hit is None:
-            return None
-        value, skip, held = hit
-        rest = rest.filter(level.eqNullSafe(value))
-        if held <= shallow:
-            break
-    while held > shallow:
-        low, high = rest.agg(F.min("id"), F.max("id")).first()
-        width = (high - low) // ID_SLICES + 1
-        cell = F.floor((F.col("id") - low) / width)
-        counts = rest.groupBy(cell.alias("v")).agg(F.count("*").alias("n")).orderBy("v").collect()
-        cell_no, skip, held = _locate([(row["v"], row["n"]) for row in counts], skip)
-        first = low + cell_no * width
-        rest = rest.filter(F.col("id").between(first, first + width - 1))
-    return rest.orderBy(*ORDER).offset(skip).limit(1).first()
-
-
-def _locate(counts: list[tuple], skip: int):
-    """The group that holds a position: (value, position inside, size)."""
-    for value, n in counts:
-        if skip < n:
-            return value, skip, n
-        skip -= n
-    return None
-
-
-def _not_before(start: Row) -> Column:
-    """Rows from ``start`` on, nulls first like the order itself."""
+def rows_after(
+    df: DataFrame, event_date: str | None, event_time: str | None, id: int, per_page: int = PER_PAGE
+) -> DataFrame:
+    """The next ``per_page`` rows after the row with these order values, which is the last one of a page."""
     later, same = F.lit(False), F.lit(True)
-    for name in ORDER:
-        column, value = F.col(name), start[name]
+    for name, value in zip(ORDER, (event_date, event_time, id)):
+        column = F.col(name)
+        # Nulls come first, like in the order itself.
         after = column.isNotNull() if value is None else F.coalesce(column > value, F.lit(False))
         later = later | (same & after)
-        same = same & column.eqNullSafe(value)
-    return later | same
+        same = same & column.eqNullSafe(F.lit(value))
+    return df.filter(later).orderBy(*ORDER).limit(per_page)
 
 
 def read_page(

@@ -21,7 +21,7 @@ from affiche.operators.blocks import event_items, summary
 from affiche.operators.dedup import CRAWL_ORDER, first_activities
 from affiche.operators.discovery import discover
 from affiche.schema import NEW_ACTIVITY
-from affiche.sources.settle import settled
+from affiche.sources.settle import written
 
 
 def family_events(items: DataFrame, as_of: dt.date | None = None) -> DataFrame:
@@ -83,14 +83,21 @@ def page_events(pages: DataFrame, as_of: dt.date | None = None) -> DataFrame:
 
 
 def found_activities(
-    pages: DataFrame, sites: DataFrame, as_of: dt.date | None = None, sitemaps: DataFrame | None = None
+    pages: DataFrame,
+    sites: DataFrame,
+    as_of: dt.date | None = None,
+    sitemaps: DataFrame | None = None,
+    max_pages: int | None = lexicon.MAX_PAGES_PER_SITE,
+    agenda: DataFrame | None = None,
 ) -> DataFrame:
     """All activities found, a page being read once however many sites lead to it.
 
-    The agenda (at most 50 short rows per site) is settled: it picks the pages to
-    read and later names their sites, and site pages need not be read for both.
+    The agenda (short rows, at most ``max_pages`` per site) is written: it picks the pages to
+    read and later names their sites, and site pages need not be read for both. Its size is then
+    known, so a small one is broadcast and no HTML is shuffled. ``agenda`` is one that is known already.
     """
-    agenda = settled(discover(sites, pages, sitemaps))
+    if agenda is None:
+        agenda = written(discover(sites, pages, sitemaps, max_pages))
     wanted = agenda.select(F.col("page_url").alias("url")).distinct()
     events = page_events(pages.join(wanted, "url", "left_semi"), as_of)
     by_site = sites.withColumnRenamed("url", "seed").join(agenda, "seed")
@@ -105,12 +112,14 @@ def build_activities(
     as_of: dt.date | None = None,
     sitemaps: DataFrame | None = None,
     counts: tuple[Observation, Observation] | None = None,
+    max_pages: int | None = lexicon.MAX_PAGES_PER_SITE,
+    agenda: DataFrame | None = None,
 ) -> DataFrame:
     """Activities found on all sites, each title once per city and category.
 
     ``counts`` takes two observations: rows found, and rows left after the dedup.
     """
-    found = found_activities(pages, sites, as_of, sitemaps)
+    found = found_activities(pages, sites, as_of, sitemaps, max_pages, agenda)
     if counts is None:
         return first_activities(found)
     row = F.count(F.lit(1)).alias("rows")

@@ -29,8 +29,6 @@ PAGES = T.StructType(
 SNAPSHOT = T.StructType([*PAGES.fields, T.StructField("status", T.IntegerType())])
 SITEMAPS = "url string, xml string"
 
-SPLIT_BYTES = 128 << 20  # one scan task by default
-
 _RANGE = "struct<start:int,stop:int>"
 PARA = "struct<start:int,stop:int,chars:int>"
 LINK = "struct<link_ix:int,href:string,link_url:string,text:string,zone:int>"
@@ -71,9 +69,12 @@ def successful(pages: DataFrame) -> DataFrame:
     return pages.filter(F.col("status").isNull() | F.col("status").between(200, 299))
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    """(page_id, url, link_ix, href, link_url, text, zone): every ``<a href>`` of every page, in page order."""
-    facts = _read(pages, links=True)
+def page_links(pages: DataFrame, partitions: int | None = None) -> DataFrame:
+    """(page_id, url, link_ix, href, link_url, text, zone): every ``<a href>`` of every page, in page order.
+
+    Pages are read where they are scanned. ``partitions`` deals them anew first, for a few large files.
+    """
+    facts = _read(pages.repartition(partitions) if partitions else pages, links=True)
     return facts.select("page_id", "url", F.inline("links"))
 
 
@@ -92,20 +93,7 @@ def _read(pages: DataFrame, links: bool) -> DataFrame:
         f"pieces array<string>, paras array<{PARA}>, blocks array<{BLOCK}>"
     )
     schema = T.StructType.fromDDL(f"page_id bigint, url string, {wanted}, error string")
-    narrow = spread_if_few(pages.select("page_id", "url", "html"))
-    return narrow.mapInArrow(_reader(schema, links), schema)
-
-
-def spread_if_few(df: DataFrame) -> DataFrame:
-    """Spread the rows over all cores where the input is too small to give each core a split.
-
-    Reading a page or a text costs far more than scanning it, so one small file must
-    not end up in one task. The size is the one Catalyst estimates for its own
-    decisions; beyond one split per core the rows stay where they are, unshuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < SPLIT_BYTES * cores else df
+    return pages.select("page_id", "url", "html").mapInArrow(_reader(schema, links), schema)
 
 
 def _reader(schema: T.StructType, links: bool):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 SITE_SCHEMA = "category string, city string, url string, category_ord int, city_ord int"
@@ -75,9 +76,13 @@ def categories(spark: SparkSession) -> DataFrame:
 
 def sites(spark: SparkSession, registry: dict[str, dict[str, str]] = SITES) -> DataFrame:
     """The registry as a table. A new category is a new entry, no code."""
-    spark_rows = [
+    rows = [
         (category, city, url, category_ord, CITIES.index(city) if city in CITIES else len(CITIES) + place)
         for category_ord, (category, by_city) in enumerate(registry.items())
         for place, (city, url) in enumerate(by_city.items())
     ]
-    return spark.createDataFrame(spark_rows, SITE_SCHEMA)
+    # An Arrow table becomes a relation of known size, so joins with page snapshots are planned as broadcasts.
+    names = ["category", "city", "url", "category_ord", "city_ord"]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()]
+    columns = zip(*rows) if rows else [[]] * len(names)
+    return spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=names), SITE_SCHEMA)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,16 @@ def settled(df: DataFrame) -> DataFrame:
     """The rows of ``df``, worked out once and kept where a lost executor cannot take them."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` as a Parquet table in the shared folder.
+
+    Unlike a checkpoint it has a size that Spark knows when it plans, so a small one is broadcast by
+    Spark's own check and a large one is not. Rows come back in no fixed order.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

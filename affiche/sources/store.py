@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from affiche.operators.dedup import first_per
+from affiche.operators.dedup import CRAWL_ORDER, first_per
 from affiche.schema import ACTIVITY, KEY, NEW_ACTIVITY, REQUIRED
 from affiche.sources.settle import settled
 
@@ -88,24 +88,31 @@ def with_ids(batch: DataFrame, last_id: int) -> DataFrame:
     )
 
 
-def append(path: str, batch: DataFrame, load_id: str, null_safe: bool = False) -> int:
+def append(
+    path: str, batch: DataFrame, load_id: str, null_safe: bool = False, order: list[str] | None = None
+) -> int:
     """Store the new rows of a batch under ``load_id``; returns how many were stored.
 
     The batch is worked out once and settled, so ids and the date window below rest
-    on the same rows even when executors are lost. Of rows with one key the first of the
-    batch is stored. Rows that turn out to be stored already leave gaps in the ids.
+    on the same rows even when executors are lost. Of rows with one key the first is stored, by the
+    ``order`` columns of the batch (the crawl order where it has one), then by place in the batch. Rows that turn out to be stored already leave gaps in the ids.
     """
     spark = batch.sparkSession
     init_store(spark, path)
     others = spark.read.schema(STORED).parquet(path).filter(F.col(LOAD) != load_id)
-    rows = settled(complete_rows(batch).select(*NEW_ACTIVITY.names))
+    if order is None:
+        order = CRAWL_ORDER if set(CRAWL_ORDER) <= set(batch.columns) else []
+    beside = [name for name in order if name not in NEW_ACTIVITY.names]
+    rows = settled(complete_rows(batch).select(*NEW_ACTIVITY.names, *beside))
 
     first_day, last_day = rows.agg(F.min("event_date"), F.max("event_date")).first()
     # Only stored rows of the same days can hold the same key: older files are skipped.
     in_window = F.col("event_date").between(first_day, last_day)
     rivals = others.filter((in_window | F.col("event_date").isNull()) if null_safe else in_window)
     last_id = others.agg(F.max("id")).first()[0] or 0
-    fresh = insert_if_absent(with_ids(rows, last_id), rivals, null_safe, order=["id"])  # the first row of the batch wins
+    # Numbers follow the place in the batch, so they settle what the order leaves open.
+    numbered = with_ids(rows, last_id).withColumnRenamed("id", "__id")
+    fresh = insert_if_absent(numbered, rivals, null_safe, order=[*order, "__id"]).withColumnRenamed("__id", "id")
 
     target = f"{path}/{LOAD}={load_id}"
     (

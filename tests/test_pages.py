@@ -261,3 +261,16 @@ def test_default_day_is_today(spark):
     from affiche.plans.build import family_events
 
     assert [r["title"] for r in family_events(frame).collect()] == [f"Festival {year} en famille"]
+
+
+def test_snapshots_that_share_an_id_stay_apart(spark):
+    def page(word):
+        return "".join(f"<article><h2>{word} numéro {n}</h2><p>{word} et encore un texte de {word}</p></article>" for n in (1, 2))
+
+    rows = [(7, "https://a.fr/", page("ALPHA")), (7, "https://b.fr/", page("BETA"))]
+    items = blocks.event_items(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r["url"], r["title"]) for r in items) == [
+        ("https://a.fr/", "ALPHA numéro 1"), ("https://a.fr/", "ALPHA numéro 2"),
+        ("https://b.fr/", "BETA numéro 1"), ("https://b.fr/", "BETA numéro 2"),
+    ]
+    assert all(r["full_text"].startswith(r["title"]) for r in items)

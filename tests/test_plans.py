@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from affiche.operators import blocks, dedup, discovery, filters, paging, rollups
-from affiche.plans.build import family_events
+from affiche.plans.build import family_events, found_activities
 from affiche.schema import NEW_ACTIVITY
-from affiche.sources import store
+from affiche.sources import registry, store
+from affiche.sources.pages import read_pages
+from affiche.sources.settle import written
 
 
 @pytest.fixture(scope="module")
@@ -49,13 +51,31 @@ def test_status_counts_the_table_once(activities, plan_of):
     assert plan.index("Expand") < plan.index("HashAggregate", plan.index("Expand"))
 
 
-def test_page_blocks_meet_in_one_shuffle(spark, plan_of):
+def test_page_blocks_need_no_shuffle(spark, plan_of):
     pages = spark.createDataFrame([(1, "u", "h")], "page_id long, url string, html string")
     plan = plan_of(blocks.event_items(pages))
-    assert plan.count("Exchange hashpartitioning") == 1
+    assert "Exchange" not in plan and "Sort" not in plan
     assert plan.count("MapInArrow") == 1
 
 
+@pytest.mark.parametrize("many_sites", [False, True])
+def test_html_is_not_shuffled(spark, plan_of, tmp_path, many_sites):
+    rows = [(n, f"https://s{n}.fr/", "<nav><a href='/agenda'>Agenda</a></nav>") for n in range(50)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages"))
+    pages = read_pages(spark, str(tmp_path / "pages"))
+    sites = registry.sites(spark)
+    if many_sites:
+        urls = spark.range(10_000).select(F.concat(F.lit("https://s"), "id", F.lit(".fr/")).alias("url"))
+        sites = written(urls.select(F.lit("mjc").alias("category"), F.lit("Ici").alias("city"), "url", F.lit(0).alias("category_ord"), F.lit(0).alias("city_ord")))
+    for plan in (plan_of(discovery.discover(sites, pages)), plan_of(found_activities(pages, sites))):
+        lines = plan.splitlines()
+        scan = next(n for n, line in enumerate(lines) if "FileScan" in line and "html" in line)
+        reader = max(n for n in range(scan) if "MapInArrow" in lines[n])
+        indent = lines[scan].index("FileScan")
+        above = [line for line in lines[reader:scan] if re.search(r"[A-Z]", line) and re.search(r"[A-Z]", line).start() < indent]
+        assert not any("Exchange" in line for line in above), plan
+
+
 def test_item_rules_stay_on_the_jvm(spark, plan_of):
     items = spark.createDataFrame([("t", "x")], "title string, full_text string")
     plan = plan_of(family_events(items))
@@ -66,12 +86,3 @@ def test_undated_rows_stay_out_of_the_join(activities, plan_of):
     fresh = store.insert_if_absent(activities.select(*NEW_ACTIVITY.names), activities)
     plan = plan_of(fresh)
     assert "LeftAnti" in plan and "Cartesian" not in plan and "NestedLoop" not in plan
-
-
-def test_small_inputs_are_spread_large_ones_left(spark, monkeypatch):
-    from affiche.sources import pages as source
-
-    frame = spark.range(10).select(F.col("id").alias("page_id"))
-    assert "Repartition" in source.spread_if_few(frame)._jdf.queryExecution().optimizedPlan().toString()
-    monkeypatch.setattr(source, "SPLIT_BYTES", 1)
-    assert source.spread_if_few(frame) is frame

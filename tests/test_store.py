@@ -100,6 +100,15 @@ def test_first_row_of_a_batch_wins(spark, path):
     assert [r["summary"] for r in stored(spark, path).collect()] == ["zz first"]
 
 
+def test_crawl_order_decides_within_a_batch(spark, path):
+    rows = rows_of(spark, {"title": "A", "summary": "late"}, {"title": "A", "summary": "early"})
+    ordered = rows.withColumns(
+        {"category_ord": F.when(F.col("summary") == "late", 2).otherwise(1), "city_ord": F.lit(0), "item_ix": F.lit(0)}
+    )
+    assert store.append(path, ordered, "1") == 1
+    assert [r["summary"] for r in stored(spark, path).collect()] == ["early"]
+
+
 def test_ids_are_unique_and_grow(spark, path):
     def batch(word, n):
         return rows_of(spark, *[{"title": f"{word} {i}"} for i in range(n)]).repartition(3)
@@ -172,18 +181,16 @@ def test_filters(spark, chosen):
     assert [r["id"] for r in page.collect()] == want[30:60]
 
 
-def test_deep_pages_equal_top_k(spark):
+def test_pages_at_every_depth(spark):
     frame, rows = table(spark)
-    want = [r["id"] for r in in_order(rows)]
-    for number in (1, 3, 11, 29, 50, 51, 90):
-        deep = paging.page_rows(frame, number, 10, shallow=5)
-        assert [r["id"] for r in deep.collect()] == want[(number - 1) * 10 : number * 10], number
-
-
-def test_deep_page_within_one_moment(spark, monkeypatch):
-    monkeypatch.setattr(paging, "ID_SLICES", 4)
-    frame = spark.range(0, 3000, 3).select("id", F.lit(None).cast("string").alias("event_date"), F.lit("10:00").alias("event_time"))
-    assert [r["id"] for r in paging.page_rows(frame, 80, 10, shallow=5).collect()] == list(range(2370, 2400, 3))
+    want = in_order(rows)
+    for number in (1, 29, 50, 51):
+        page = [r["id"] for r in paging.page_rows(frame, number, 10).collect()]
+        assert page == [r["id"] for r in want[(number - 1) * 10 : number * 10]], number
+    for place in (0, 9, 180, 320, 499):  # null and known dates and times
+        last = want[place]
+        after = paging.rows_after(frame, last["event_date"], last["event_time"], last["id"], 10)
+        assert [r["id"] for r in after.collect()] == [r["id"] for r in want[place + 1 : place + 11]], place
 
 
 def test_response(spark):
@@ -262,3 +269,27 @@ def test_incremental_load(spark, tmp_path):
     assert crawl(4, 5, status=500) == ["1", "2", "3"]
     progress = str(tmp_path / "fresh progress")  # starts again at batch 0, which must not replace the stored one
     assert crawl(6, 7) == ["1", "2", "3", "6", "7"]
+
+
+def test_agenda_pages_of_a_later_run(spark, tmp_path):
+    event = "<article class='event'><h2>Spectacle numéro {0}</h2><p>le 1{0}/5/2026 pour tous, en famille</p></article>"
+    pages = {
+        "https://a.fr/": '<nav><a href="/agenda">Agenda</a></nav>' + event.format(8) + event.format(9),
+        "https://a.fr/agenda": event.format(1) + event.format(2),
+        "https://a.fr/agenda/ete": event.format(3) + event.format(4),
+    }
+    sites = spark.createDataFrame([("mjc", "Ici", "https://a.fr/", 0, 0)], registry.SITE_SCHEMA)
+    folder, target, progress = (str(tmp_path / n) for n in ("in", "store", "progress"))
+
+    def crawl(*urls, home=None):
+        rows = [(n, u, home or pages[u], 200) for n, u in enumerate(urls)]
+        spark.createDataFrame(rows, "page_id long, url string, html string, status int").write.mode("append").parquet(folder)
+        load_snapshots(spark, folder, sites, target, progress, as_of=dt.date(2026, 3, 1)).awaitTermination()
+        return sorted(r["title"][-1] for r in stored(spark, target).collect())
+
+    assert crawl("https://a.fr/") == []
+    assert crawl("https://a.fr/agenda", "https://a.fr/agenda/ete") == ["1", "2"]
+    # the site page now leads elsewhere: the earlier agenda page counts no more
+    assert crawl("https://a.fr/", home='<nav><a href="/agenda/ete">Agenda</a></nav>') == ["1", "2"]
+    pages["https://a.fr/agenda"] = event.format(5) + event.format(6)
+    assert crawl("https://a.fr/agenda", "https://a.fr/agenda/ete") == ["1", "2", "3", "4"]

@@ -336,6 +336,9 @@ ORACLES = {
     "AND (event_date >= '1997-01-01' OR event_date IS NULL) AND age_min <= 7 AND age_max >= 7",
     "deep_page": A
     + f"SELECT {READ} FROM activities ORDER BY event_date NULLS FIRST, event_time NULLS FIRST, id LIMIT 100 OFFSET 10000",
+    "rows_after": A
+    + f"SELECT {READ} FROM activities WHERE event_date > '1996-05-01' OR (event_date = '1996-05-01' AND (event_time > '14:30' "
+    "OR (event_time = '14:30' AND id > 1000))) ORDER BY event_date, event_time NULLS FIRST, id LIMIT 200",
     "filter_category": A + "SELECT id, category FROM activities WHERE category = 'mjc'",
     "filter_city": A + "SELECT id, city FROM activities WHERE city = 'NATION_3'",
     "filter_dates": A
@@ -495,12 +498,22 @@ ORACLES = {
     "insert_into_store": A
     + """SELECT title, event_date, event_time, price, city, source_url, category, age_min, age_max FROM (
       SELECT *, row_number() OVER (PARTITION BY title, event_date, city, source_url
-        ORDER BY summary NULLS FIRST, category, age_min, age_max, event_time NULLS FIRST, price NULLS FIRST) AS rn
+        ORDER BY id) AS rn
       FROM activities WHERE event_date IS NOT NULL
       UNION ALL SELECT *, 1 FROM activities WHERE event_date IS NULL) q WHERE rn = 1""",
+    "insert_twice": A
+    + """, aged AS (SELECT a.*, CASE WHEN o_orderdate < DATE '1996-01-01' THEN 1 ELSE 2 END AS load
+        FROM activities a JOIN orders ON o_orderkey = a.id)
+      SELECT title, event_date, event_time, price, city, source_url, category, age_min, age_max FROM (
+      SELECT *, row_number() OVER (PARTITION BY title, event_date, city, source_url ORDER BY load, id) AS rn
+      FROM aged WHERE event_date IS NOT NULL
+      UNION ALL SELECT *, 1 FROM aged WHERE event_date IS NULL
+      UNION ALL SELECT *, 1 FROM aged WHERE event_date IS NULL AND load = 1) q WHERE rn = 1""",
 }
 # One load into an empty table stores what the build finds.
 ORACLES["incremental_load"] = ORACLES["build_activities"]
+# Sites whose agenda is the site page itself have their events in neither run.
+ORACLES["incremental_late_page"] = ORACLES["build_activities"]
 
 
 def json_fields(columns: str) -> str:

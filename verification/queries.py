@@ -60,9 +60,15 @@ def activities_total(spark, sf_dir):
 
 @query
 def deep_page(spark, sf_dir):
-    """Page 101 of a stored table, found by counting instead of a top-k of 10,100 rows."""
-    stored = settle.settled(filters.read_view(views.activities(spark, sf_dir)))
-    return paging.page_rows(stored, page=101, per_page=100, shallow=1_000)
+    """Page 101 of the table."""
+    return paging.page_rows(filters.read_view(views.activities(spark, sf_dir)), page=101, per_page=100)
+
+
+@query
+def rows_after(spark, sf_dir):
+    """The 200 rows after a given one: a page far down without an offset."""
+    rows = filters.read_view(views.activities(spark, sf_dir))
+    return paging.rows_after(rows, "1996-05-01", "14:30", 1_000, per_page=200)
 
 
 @query
@@ -353,15 +359,28 @@ def insert_if_absent_null_safe(spark, sf_dir):
     return _insert(spark, sf_dir, null_safe=True)
 
 
+_STORED = ["title", "event_date", "event_time", "price", "city", "source_url", "category", "age_min", "age_max"]
+
+
 @query
 def insert_into_store(spark, sf_dir):
-    """Written twice under two loads: dated rows once, undated rows of the first load shown."""
+    """One load into an empty store: dated rows once per key, the one with the smallest id; undated rows all."""
+    path = scratch(spark)
+    store.append(path, views.activities(spark, sf_dir).withColumnRenamed("id", "row_id"), "first", order=["row_id"])
+    return store.read_store(spark, path).select(*_STORED)
+
+
+@query
+def insert_twice(spark, sf_dir):
+    """Orders before 1996 are stored, then everything is offered: undated rows of the first load come again."""
     path = scratch(spark)
-    batch = views.activities(spark, sf_dir).select(*NEW_ACTIVITY.names)
-    store.append(path, batch, "first")
-    return store.read_store(spark, path).select(
-        "title", "event_date", "event_time", "price", "city", "source_url", "category", "age_min", "age_max"
+    offered = views.activities(spark, sf_dir).withColumnRenamed("id", "row_id")
+    early = table(spark, sf_dir, "orders").filter("o_orderdate < '1996-01-01'").select(
+        F.col("o_orderkey").alias("row_id")
     )
+    store.append(path, offered.join(early, "row_id", "left_semi"), "first", order=["row_id"])
+    store.append(path, offered, "second", order=["row_id"])
+    return store.read_store(spark, path).select(*_STORED)
 
 
 # ---------------------------------------------------------------- crawl
@@ -378,7 +397,8 @@ def crawl_plan(spark, sf_dir):
 
 @query
 def page_links(spark, sf_dir):
-    return links.followable_links(table(spark, sf_dir, "pages")).select(
+    found = links.followable_links(table(spark, sf_dir, "pages"), spark.sparkContext.defaultParallelism)
+    return found.select(
         "page_id", "link_ix", "link_url", "text", "zone"
     )
 
@@ -457,9 +477,9 @@ def discover_with_sitemaps(spark, sf_dir):
 # ---------------------------------------------------------------- blocks and items
 
 
-def _groups(spark, sf_dir) -> DataFrame:
+def _elements(spark, sf_dir) -> DataFrame:
     """Line items stand in for page elements: the order for the page, the return flag for the class."""
-    elements = table(spark, sf_dir, "lineitem").select(
+    return table(spark, sf_dir, "lineitem").select(
         "l_orderkey",
         F.col("l_returnflag").alias("class_key"),
         F.col("l_linenumber").alias("ix"),
@@ -468,17 +488,16 @@ def _groups(spark, sf_dir) -> DataFrame:
         (F.col("l_linestatus") == "O").alias("has_heading"),
         (F.col("l_discount") > 0.05).alias("has_link"),
     )
-    return blocks.class_groups(elements, "l_orderkey")
 
 
 @query
 def class_groups(spark, sf_dir):
-    return _groups(spark, sf_dir).drop("score").withColumn("avg_chars", F.round("avg_chars", 6))
+    return blocks.class_groups(_elements(spark, sf_dir), "l_orderkey").drop("score").withColumn("avg_chars", F.round("avg_chars", 6))
 
 
 @query
 def class_group_best(spark, sf_dir):
-    best = blocks.best_class_group(_groups(spark, sf_dir), "l_orderkey")
+    best = blocks.best_class_group(_elements(spark, sf_dir), "l_orderkey")
     return best.select("l_orderkey", "class_key", "n", "first_ix", F.round("score", 4).alias("score"))
 
 
@@ -535,6 +554,19 @@ def incremental_load(spark, sf_dir):
     return store.read_store(spark, f"{folder}/store").select(*NEW_ACTIVITY.names)
 
 
+@query
+def incremental_late_page(spark, sf_dir):
+    """Site pages come in one run, the agenda pages they lead to in the next, which starts from a fresh checkpoint."""
+    folder = scratch(spark)
+    sites = views.order_sites(spark, sf_dir)
+    for name, pages in (("entry", views.entry_pages(spark, sf_dir)), ("agenda", views.agenda_pages(spark, sf_dir))):
+        pages.withColumn("status", F.lit(200)).write.parquet(f"{folder}/{name}")
+        load_snapshots(
+            spark, f"{folder}/{name}", sites, f"{folder}/store", f"{folder}/progress-{name}", DATE_AS_OF
+        ).awaitTermination()
+    return store.read_store(spark, f"{folder}/store").select(*NEW_ACTIVITY.names)
+
+
 # ---------------------------------------------------------------- display
 
 
