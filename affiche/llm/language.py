@@ -114,7 +114,7 @@ def chosen(docs: DataFrame, rows: int) -> DataFrame:
     sizes = known.groupBy("lang").agg(F.count("*").alias("_n"))
     return (
         known.join(sizes, "lang")
-        .where(F.col("_hash") * F.col("_n") < F.lit(float(1 << 40) * (2 * rows + 200)))
+        .where(F.col("_hash").cast("double") * F.col("_n") < F.lit(float(1 << 40) * (2 * rows + 200)))
         .drop("_n")
         .withColumn("_rank", F.row_number().over(order))
         .where(F.col("_rank") <= rows)
