@@ -137,9 +137,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, order: list[str] | None = None
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 class WordTokens:
@@ -147,10 +145,13 @@ class WordTokens:
 
     The tokenizer drops white space and never joins across it, and lower-cases, so a text's ids are
     those of its words one after the other. Words are told apart by 64-bit hashes of their lower-cased bytes.
+    Special tokens are found before that, in their exact spelling and also inside a word: a text with one
+    is tokenized whole.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
         self.path, self.most = path, most
+        self.special = [t.content.encode() for t in _tokenizer(path).get_added_tokens_decoder().values()]
         self.hashes = np.zeros(0, np.uint64)
         self.starts = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
@@ -178,8 +179,39 @@ class WordTokens:
         self.ids = np.concatenate(ids)[ranges(starts[:-1][order], counts[order])]
         self.starts = np.concatenate([[0], np.cumsum(counts[order])]).astype(np.int64)
 
+    def with_special(self, raw: bytes, offsets: np.ndarray) -> list[int]:
+        """The documents in which a special token stands."""
+        found = set()
+        for spelling in self.special:
+            at = raw.find(spelling)
+            while at >= 0:
+                doc = int(np.searchsorted(offsets, at, "right")) - 1
+                inside = at + len(spelling) <= offsets[doc + 1]
+                if inside:
+                    found.add(doc)
+                at = raw.find(spelling, int(offsets[doc + 1]) if inside else at + 1)
+        return sorted(found)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents, end to end, and the offsets between them."""
+        raw = data.tobytes()
+        whole = self.with_special(raw, offsets)
+        if not whole:
+            return self.by_words(data, offsets)
+        data = data.copy()
+        own = []
+        for k in whole:
+            text = raw[offsets[k] : offsets[k + 1]].decode()
+            own.append(np.array(_tokenizer(self.path).encode(text, add_special_tokens=False).ids, np.uint32))
+            data[offsets[k] : offsets[k + 1]] = ord(" ")
+        ids, at = self.by_words(data, offsets)
+        sizes = np.zeros(len(offsets), np.int64)
+        sizes[np.array(whole) + 1] = [len(x) for x in own]
+        ids = np.insert(ids, np.repeat(at[whole], sizes[np.array(whole) + 1]), np.concatenate(own))
+        return ids, at + np.cumsum(sizes)
+
+    def by_words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for documents without special tokens."""
         words = Words(data, offsets, lower=True)
         if not len(words.start):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)

@@ -188,6 +188,31 @@ def test_packing_fills_sequences(spark, texts):
     assert used <= packing.lower_bound(histogram, 64) * 1.05 + 1
 
 
+def test_packing_special_tokens_as_the_library_does(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [
+        "a <|endoftext|> b",
+        "Word<|endoftext|>word's <|startoftext|><|endoftext|>",
+        "<|ENDOFTEXT|> <|EndOfText|> <|endoftext |>",
+        "<|endoftext|>",
+        "one <|endof",
+        "text|> two",
+        None,
+        "<|startoftext|>É a <|STARTOFTEXT|>\n<|endoftext|",
+        "<|endoftext|> A b " * 40,
+        "a b",
+    ]
+    rows = list(enumerate(texts))
+    tokenizer = Tokenizer.from_file(path)
+    want = {}
+    for i, text in rows:
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        for k in range(0, len(ids), 64):
+            want[i, k // 64] = (k, len(ids[k : k + 64]), zlib.crc32(np.array(ids[k : k + 64], "<u4").tobytes()))
+    out = packing.pack_documents(documents(spark, rows).coalesce(1), path, 64).collect()
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in out} == want
+
+
 def test_fullest_is_the_best_subset():
     rng = random.Random(2)
     for _ in range(40):
