@@ -1,4 +1,5 @@
-"""Licence scans: sparse TF-IDF cosine of lines to templates, and inheritance from the nearest directory.
+"""Licence scans: sparse TF-IDF cosine of lines, windows and whole files to templates, and inheritance from
+the nearest directory.
 
 DataFrame operations only: no Python runs on an executor.
 """
@@ -7,7 +8,10 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import lru_cache
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +26,55 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MPL-2.0": "Licensed under the Mozilla Public License, version 2.0.",
 }
-#: A line states a licence if its cosine to the template is at least this.
+#: The notices that stand at the head of a file.
+HEADERS = [
+    (
+        "Apache-2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in '
+        "compliance with the License. You may obtain a copy of the License at "
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
+        'software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR '
+        "CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing "
+        "permissions and limitations under the License.",
+    ),
+    (
+        "BSD-3-Clause",
+        "All rights reserved. Use of this source code is governed by a BSD-style license that can be found in the "
+        "LICENSE file.",
+    ),
+    (
+        "CC-BY-NC-4.0",
+        "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License. To "
+        "view a copy of this license, visit http://creativecommons.org/licenses/by-nc/4.0/ or send a letter to "
+        "Creative Commons, PO Box 1866, Mountain View, CA 94042, USA.",
+    ),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    (
+        "GPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+        "option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY "
+        "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
+        "GNU General Public License for more details. You should have received a copy of the GNU General Public "
+        "License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    ),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
+        "not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ),
+]
+#: A line, window or file states a licence if its cosine to the template is at least this.
 THRESHOLD = 0.75
+#: Windows of a template begin at every so-manieth part of its length.
+STEPS = 16
+
+
+@lru_cache(maxsize=1)
+def longer() -> tuple[tuple[str, str], ...]:
+    """(licence, text) of the headers and of the whole texts that are kept beside this module."""
+    kept = sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))
+    return (*HEADERS, *[(p.name.removesuffix(".txt"), p.read_text()) for p in kept])
 
 
 def tokens(text: Column) -> Column:
@@ -66,22 +117,26 @@ class Weights:
         return out
 
 
-def weights(lines: DataFrame, templates: dict[str, str] = TEMPLATES) -> Weights:
-    """Document frequencies of the template terms over all lines (a column ``tokens``), and what follows from them.
+def counted(lines: DataFrame, terms: list[str]) -> tuple[int, dict[str, int]]:
+    """How many lines (a column ``tokens``) there are, and how many have each of the terms.
 
-    Only the template terms are counted, one number each comes back. A term that no template has
-    weighs as much as one that no line has.
+    Only the given terms come back, one number each.
     """
+    known = F.array_distinct(F.filter("tokens", lambda t: t.isin(terms)))
+    each = lines.select(F.explode(F.array_append(known, F.lit(""))).alias("term"))
+    counts = {r[0]: r[1] for r in each.groupBy("term").agg(F.count("*")).collect()}
+    return counts.pop("", 0), counts
+
+
+def weights(n: int, counts: dict[str, int], templates: dict) -> Weights:
+    """What follows from document frequencies over n lines. A term that no template has weighs as much as one
+    that no line has."""
     terms = sorted({w for t in templates.values() for w in _words(t)})
-    counted = lines.agg(
-        F.count("*"), *[F.sum(F.array_contains("tokens", t).cast("long")) for t in terms]
-    ).first()
-    n = counted[0]
-    idf = {t: math.log((n + 1) / ((c or 0) + 1)) + 1 for t, c in zip(terms, counted[1:], strict=True)}
+    idf = {t: math.log((n + 1) / (counts.get(t, 0) + 1)) + 1 for t in terms}
     vectors = {}
     for name, text in templates.items():
         words = _words(text)
-        raw = {w: words.count(w) * idf[w] for w in words}
+        raw = {w: words.count(w) * idf[w] for w in dict.fromkeys(words)}
         length = math.sqrt(sum(x * x for x in raw.values()))
         vectors[name] = {w: x / length for w, x in raw.items()}
     return Weights(idf, math.log(n + 1) + 1, vectors)
@@ -129,15 +184,12 @@ def lines_of(files: DataFrame, *columns: str) -> DataFrame:
     return files.select(*columns, F.inline(parts)).where(F.size("tokens") > 0)
 
 
-def stated(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """path, licence, score and line: the licence that each file states itself, where it does.
+def by_line(lines: DataFrame, known: Weights, threshold: float) -> DataFrame:
+    """path, line, score and licence of the lines that are near a template.
 
-    The line with the highest cosine counts; of equals the first line, then the licence last by name. Whole lines
-    are compared, but most are ruled out before that: they hold common terms only, or so many terms that no
-    template has that they are too long for the threshold.
+    Whole lines are compared, but most are ruled out before that: they hold common terms only, or so many terms
+    that no template has that they are too long for the threshold.
     """
-    lines = lines_of(files, "path")
-    known = weights(lines, templates)
     telling = sorted(set(known.idf) - known.common(threshold))
     near = lines.where(F.arrays_overlap("tokens", F.array(*[F.lit(t) for t in telling])))
     vocabulary = F.array(*[F.lit(t) for t in sorted(known.idf)])
@@ -148,7 +200,106 @@ def stated(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: f
     )
     near = near.where(F.col("best.dot") >= (threshold - 1e-6) * known.unseen * F.sqrt("strange"))
     near = once(near, score=F.round(F.col("best.dot") / length(F.col("tokens"), known), 9))
-    scored = near.where(F.col("score") >= threshold).select("path", "line", "score", F.col("best.licence").alias("licence"))
+    return near.where(F.col("score") >= threshold).select("path", "line", "score", F.col("best.licence").alias("licence"))
+
+
+def cosine(weighed: Column) -> Column:
+    """The cosine to a template of an array of (term, sq, gain): each place's squared weight, and what it adds to
+    the inner product. Equal terms lie together after sorting, the k-th of them adds 2k - 1 squares."""
+    start = F.struct(F.lit("").alias("term"), F.lit(0.0).alias("k"), F.lit(0.0).alias("sq"), F.lit(0.0).alias("dot"))
+
+    def add(total: Column, x: Column) -> Column:
+        k = F.when(total["term"] == x["term"], total["k"] + 1.0).otherwise(F.lit(1.0))
+        return F.struct(
+            x["term"].alias("term"),
+            k.alias("k"),
+            (total["sq"] + (2.0 * k - 1.0) * x["sq"]).alias("sq"),
+            (total["dot"] + x["gain"]).alias("dot"),
+        )
+
+    return F.aggregate(F.array_sort(weighed), start, add, lambda t: F.round(t["dot"] / F.sqrt(t["sq"]), 9))
+
+
+def by_window(files: DataFrame, known: Weights, threshold: float) -> DataFrame:
+    """path, line, score and licence of the best window of every file for each template that it is near to.
+
+    Windows have as many tokens as the template, over line ends, and begin at every ``STEPS``-th part of that
+    (at every token for statements) and at the end of the file; the whole file is one more. The templates that
+    a file is scored for are found by its terms joined with theirs: no part of a file has a cosine above the
+    length of the template within the terms of the file.
+    """
+    spark = files.sparkSession
+    names = sorted(known.templates)
+    telling = sorted({
+        t
+        for n in names
+        for t in set(known.templates[n]) - Weights(
+            {t: known.idf[t] for t in known.templates[n]}, known.unseen, {n: known.templates[n]}
+        ).common(threshold)
+    })
+    parts = F.transform(F.split(text_or_empty(), "\n", -1), tokens)
+    whole = once(files.select("path", F.xxhash64(text_or_empty()).alias("key"), "text"), parts=parts)
+    whole = once(whole.drop("text"), tokens=F.flatten("parts"), sizes=F.transform("parts", F.size)).drop("parts")
+    near = whole.where(F.exists("tokens", lambda t: t.isin(telling)))
+    entries = [(k, t, w * w) for k, n in enumerate(names) for t, w in known.templates[n].items()]
+    kinds = [pa.int32(), pa.string(), pa.float64()]
+    columns = [pa.array(c, t) for c, t in zip(zip(*entries, strict=True), kinds, strict=True)]
+    terms = spark.createDataFrame(pa.table(columns, names=["template", "term", "mass"]))
+    held = near.select("path", "key", F.explode(F.array_distinct("tokens")).alias("term")).join(terms, "term")
+    mass = held.groupBy("path", "key", "template").agg(F.sum("mass").alias("mass"))
+    wanted = mass.where(F.col("mass") >= threshold * threshold - 1e-6).select("path", "key", "template")
+    wanted = settled(wanted, "licence-candidates")
+    one = pa.map_(pa.string(), pa.float64())
+    vectors = spark.createDataFrame(
+        pa.table(
+            {
+                "template": pa.array(range(len(names)), pa.int32()),
+                "licence": pa.array([n[0] for n in names]),
+                "n": pa.array([n[1] for n in names], pa.int32()),
+                "idf": pa.array([list(known.idf.items())] * len(names), one),
+                "gain": pa.array([[(t, w * known.idf[t]) for t, w in known.templates[n].items()] for n in names], one),
+            }
+        )
+    )
+    files_once = whole.join(wanted.select("path", "key").distinct(), ["path", "key"], "left_semi").dropDuplicates(["path", "key"])
+    rows = files_once.join(wanted, ["path", "key"]).join(vectors, "template")
+
+    def weigh(t: Column) -> Column:
+        idf = F.coalesce(F.col("idf")[t], F.lit(known.unseen))
+        return F.struct(t.alias("term"), (idf * idf).alias("sq"), F.coalesce(F.col("gain")[t], F.lit(0.0)).alias("gain"))
+
+    rows = once(rows, weighed=F.transform("tokens", weigh), last=F.greatest(F.size("tokens") - F.col("n"), F.lit(0)))
+    step = F.greatest(F.floor(F.col("n") / STEPS).cast("int"), F.lit(1))
+    starts = F.array_distinct(F.array_append(F.sequence(F.lit(0), F.col("last"), step), F.col("last")))
+    scores = F.transform(
+        starts, lambda s: F.struct(cosine(F.slice("weighed", s + 1, F.col("n"))).alias("score"), (-s).alias("at"))
+    )
+    everything = F.struct(cosine(F.col("weighed")).alias("score"), F.lit(0).alias("at"))
+    rows = once(rows, best=F.array_max(F.array_append(scores, everything)))
+    rows = rows.where(F.col("best.score") >= threshold)
+    start = F.struct(F.lit(0).alias("seen"), F.lit(0).alias("line"))
+
+    def passed(total: Column, n: Column) -> Column:
+        seen = total["seen"] + n
+        over = F.when(seen <= -F.col("best.at"), 1).otherwise(0)
+        return F.struct(seen.alias("seen"), (total["line"] + over).alias("line"))
+
+    line = F.aggregate("sizes", start, passed, lambda t: t["line"])
+    return rows.select("path", line.alias("line"), F.col("best.score").alias("score"), "licence")
+
+
+def stated(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """path, licence, score and line: the licence that each file states itself, where it does.
+
+    The line, window or whole file with the highest cosine counts; of equals the one that begins on the first
+    line, then the licence first by name. Lines are compared with the statements, windows and whole files with
+    statements, headers and whole licence texts.
+    """
+    lines = lines_of(files, "path")
+    every = {(name, len(_words(text)), k): text for k, (name, text) in enumerate([*templates.items(), *longer()])}
+    n, counts = counted(lines, sorted({w for t in every.values() for w in _words(t)}))
+    scored = by_line(lines, weights(n, counts, templates), threshold)
+    scored = scored.unionByName(by_window(files, weights(n, counts, every), threshold))
     top = Window.partitionBy("path").orderBy(F.desc("score"), "line", "licence")
     found = scored.withColumn("_rank", F.row_number().over(top)).where(F.col("_rank") == 1)
     return found.select("path", "licence", "score", "line")
@@ -193,7 +344,7 @@ def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: flo
     """The licence of every file (path, text, is_licence), its own or an inherited one.
 
     Null text states nothing; files without a path are left out; of files that repeat a path the best
-    line of either counts, and the path has one row.
+    line or window of either counts, and the path has one row.
     """
     named = files.where(F.col("path").isNotNull()).select("path", "text", "is_licence")
     own = settled(stated(named, templates, threshold), "licences")

@@ -426,6 +426,35 @@ def test_licences_own_and_inherited(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_licences_in_longer_lines_over_lines_and_as_whole_texts(spark):
+    full, headers = dict(licences.longer()), {n: t for n, t in reversed(licences.HEADERS)}
+    prose = "the house stands at the end of a long road and nobody has seen who lives in it since the winter"
+    wrapped = "\n".join(f" * {part}" for part in headers["GPL-3.0"].replace("; ", ";\n").replace(", ", ",\n").split("\n"))
+    rows = [
+        ("a/x", "Copyright 2020 Foo Inc. All rights reserved. Licensed under the Apache License, Version 2.0.", "Apache-2.0", 0),
+        ("b/x", f"{prose}\n{prose} Released under the MIT License. {prose}", "MIT", 1),
+        ("c/x", "# Licensed under the\n# Mozilla Public\n# License, version 2.0.\n", "MPL-2.0", 0),
+        ("d/x", full["MIT"], "MIT", 0),
+        ("e/x", prose + " " + full["MIT"].replace("\n", " ") + " " + prose, "MIT", 0),
+        ("f/x", full["BSD-3-Clause"], "BSD-3-Clause", 0),
+        ("g/x", full["GPL-3.0"], "GPL-3.0", 0),
+        ("h/x", full["MPL-2.0"], "MPL-2.0", 0),
+        ("i/x", full["Apache-2.0"], "Apache-2.0", 0),
+        ("j/x", f"/*\n{wrapped}\n */\n{prose}", "GPL-3.0", 1),
+        ("k/x", headers["CC-BY-NC-4.0"] + " " + prose, "CC-BY-NC-4.0", 0),
+        ("l/x", f"{prose}\n" * 50, None, None),
+        ("m/x", "this software is free and the public may use the general terms of a license in this work", None, None),
+    ]
+    files = spark.createDataFrame([(p, t, False) for p, t, *_ in rows], "path string, text string, is_licence boolean")
+    # A corpus of other lines, so that frequencies are not those of licence texts alone.
+    files = files.union(files.sparkSession.range(400).selectExpr("concat('z/', id)", f"concat('{prose} ', id)", "false"))
+    out = licences.stated(files)
+    got = {r["path"]: (r["licence"], r["line"]) for r in out.collect()}
+    assert {p: (n, got[p][1] if n and p in "d/x g/x h/x i/x f/x" else k) for p, _, n, k in rows if n} == got
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 @pytest.mark.parametrize(
     "run",
     [
