@@ -226,17 +226,14 @@ def by_window(files: DataFrame, known: Weights, threshold: float) -> DataFrame:
     Windows have as many tokens as the template, over line ends, and begin at every ``STEPS``-th part of that
     (at every token for statements) and at the end of the file; the whole file is one more. The templates that
     a file is scored for are found by its terms joined with theirs: no part of a file has a cosine above the
-    length of the template within the terms of the file.
+    length of the template within the terms of the file. Windows without any telling term of the template are
+    left out, they cannot reach the threshold.
     """
     spark = files.sparkSession
     names = sorted(known.templates)
-    telling = sorted({
-        t
-        for n in names
-        for t in set(known.templates[n]) - Weights(
-            {t: known.idf[t] for t in known.templates[n]}, known.unseen, {n: known.templates[n]}
-        ).common(threshold)
-    })
+    alone = [Weights({t: known.idf[t] for t in known.templates[n]}, known.unseen, {n: known.templates[n]}) for n in names]
+    tells = [sorted(set(w.idf) - w.common(threshold)) for w in alone]
+    telling = sorted({t for ts in tells for t in ts})
     parts = F.transform(F.split(text_or_empty(), "\n", -1), tokens)
     whole = once(files.select("path", F.xxhash64(text_or_empty()).alias("key"), "text"), parts=parts)
     whole = once(whole.drop("text"), tokens=F.flatten("parts"), sizes=F.transform("parts", F.size)).drop("parts")
@@ -256,6 +253,7 @@ def by_window(files: DataFrame, known: Weights, threshold: float) -> DataFrame:
                 "template": pa.array(range(len(names)), pa.int32()),
                 "licence": pa.array([n[0] for n in names]),
                 "n": pa.array([n[1] for n in names], pa.int32()),
+                "tells": pa.array(tells, pa.list_(pa.string())),
                 "idf": pa.array([list(known.idf.items())] * len(names), one),
                 "gain": pa.array([[(t, w * known.idf[t]) for t, w in known.templates[n].items()] for n in names], one),
             }
@@ -265,12 +263,27 @@ def by_window(files: DataFrame, known: Weights, threshold: float) -> DataFrame:
     rows = files_once.join(wanted, ["path", "key"]).join(vectors, "template")
 
     def weigh(t: Column) -> Column:
-        idf = F.coalesce(F.col("idf")[t], F.lit(known.unseen))
-        return F.struct(t.alias("term"), (idf * idf).alias("sq"), F.coalesce(F.col("gain")[t], F.lit(0.0)).alias("gain"))
-
-    rows = once(rows, weighed=F.transform("tokens", weigh), last=F.greatest(F.size("tokens") - F.col("n"), F.lit(0)))
-    step = F.greatest(F.floor(F.col("n") / STEPS).cast("int"), F.lit(1))
-    starts = F.array_distinct(F.array_append(F.sequence(F.lit(0), F.col("last"), step), F.col("last")))
+        idf = F.when(t.isin(vocabulary), F.coalesce(F.col("idf")[t], F.lit(known.unseen))).otherwise(F.lit(known.unseen))
+        gain = F.when(t.isin(vocabulary), F.coalesce(F.col("gain")[t], F.lit(0.0))).otherwise(F.lit(0.0))
+        return F.struct(t.alias("term"), (idf * idf).alias("sq"), gain.alias("gain"))
+
+    def around(p: Column) -> Column:
+        low = F.ceil(F.greatest(p - F.col("n") + 1, F.lit(0)) / F.col("step")).cast("int") * F.col("step")
+        high = F.least(p, F.col("last"))
+        return F.when(low <= high, F.sequence(low, high, F.col("step"))).otherwise(F.array().cast("array<int>"))
+
+    vocabulary = sorted(known.idf)
+    rows = once(
+        rows,
+        weighed=F.transform("tokens", weigh),
+        last=F.greatest(F.size("tokens") - F.col("n"), F.lit(0)),
+        step=F.greatest(F.floor(F.col("n") / STEPS).cast("int"), F.lit(1)),
+        told=F.filter(
+            F.sequence(F.lit(0), F.size("tokens") - 1),
+            lambda p: F.get("tokens", p).isin(telling) & F.array_contains("tells", F.get("tokens", p)),
+        ),
+    )
+    starts = F.array_distinct(F.array_append(F.flatten(F.transform("told", around)), F.col("last")))
     scores = F.transform(
         starts, lambda s: F.struct(cosine(F.slice("weighed", s + 1, F.col("n"))).alias("score"), (-s).alias("at"))
     )
