@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affiche.llm import bpe, language, licences, long_repeats, near_duplicates, neighbours, packing, passages, rules, sharding
+from affiche.llm import (
+    bpe,
+    language,
+    licences,
+    lines,
+    long_repeats,
+    near_duplicates,
+    neighbours,
+    packing,
+    passages,
+    resampling,
+    rules,
+    sharding,
+    spellings,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +107,21 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines of 20 characters and more that 3 documents hold, but in the last of them."""
+    return lines.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with its near words, its form and its root."""
+    return spellings.grouped(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its weight towards the benchmark texts, and a tenth of them drawn."""
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_one_bit_neighbours": op1_one_bit_neighbours,
     "op2_shingle_join": op2_shingle_join,
@@ -104,5 +133,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_licence_scan": op10_licence_scan,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_importance_resampling": op13_importance_resampling,
+}
+ORACLES: dict[str, str] = {
+    "op11_line_dedup": """
+        WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+        lines AS (
+            SELECT doc_id, i AS place, parts[i] AS line,
+                translate(
+                    trim(parts[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'
+                ) AS line_key
+            FROM split, unnest(range(1, len(parts) + 1)) AS t(i)
+        ),
+        repeated AS (
+            SELECT line_key, max(doc_id) AS last_doc FROM lines WHERE length(line_key) >= 20
+            GROUP BY line_key HAVING count(DISTINCT doc_id) >= 3
+        ),
+        judged AS (
+            SELECT doc_id, place, line, coalesce(doc_id < last_doc, false) AS gone
+            FROM lines LEFT JOIN repeated USING (line_key)
+        )
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+        FROM judged GROUP BY doc_id
+    """,
 }
-ORACLES: dict[str, str] = {}
