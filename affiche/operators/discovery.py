@@ -15,31 +15,36 @@ from affiche.sources.settle import written
 AGENDA = "seed string, page_url string, seen_at timestamp"
 
 
-def sitemap_pages(sitemaps: DataFrame, roots: DataFrame, n: int | None = None) -> DataFrame:
-    """(root, page_url): agenda pages named by each root sitemap or by the sitemaps it points to.
+def sitemap_pages(sitemaps: DataFrame, roots: DataFrame, n: int | None = None, levels: int = 1) -> DataFrame:
+    """(root, page_url): agenda pages named by each root sitemap or by the sitemaps listed below it.
 
-    With ``n`` no more than the first ``n`` pages of a listed sitemap are followed. That is
+    ``levels`` says how many levels of listed sitemaps are followed (0: only the roots). Each level is one step
+    over pairs (root, sitemap) that were not reached before, so sitemaps that list each other, or are
+    listed many times, end there; every sitemap is read once, whichever roots lead to it.
+
+    With ``n`` no more than the first ``n`` pages of a sitemap are followed. That is
     exact where the first ``n`` by URL are asked for in the end, and a sitemap listed by
     many others is then not multiplied by its whole length.
     """
-
-    def agenda_pages(locations: DataFrame) -> DataFrame:
-        loc = F.col("loc")
-        named = locations.filter(~is_sub_sitemap(loc) & path_matches_agenda(loc))
-        return named.drop("loc_ix").withColumnRenamed("loc", "page_url")
-
-    wanted = roots.select(F.col("root").alias("url")).distinct()
-    locations = sitemap_locations(sitemaps.join(wanted, "url", "left_semi")).withColumnRenamed("url", "root")
-    children = (
-        locations.filter(is_sub_sitemap(F.col("loc"))).select("root", F.col("loc").alias("url")).distinct()
-    )
-    # Each child is read once, then handed to every root that lists it.
-    read = sitemaps.join(children.select("url").distinct(), "url", "left_semi")
-    listed = agenda_pages(sitemap_locations(read))
-    if n:
-        listed = cap_pages(listed.distinct(), "url", n=n)
-    below = children.join(listed, "url").select("root", "page_url")
-    return agenda_pages(locations).union(below).distinct()
+    loc = F.col("loc")
+    frontier = written(roots.select("root", F.col("root").alias("url")).distinct())
+    reached, locations = frontier, None
+    for level in range(levels + 1):
+        wanted = frontier.select("url").distinct()
+        if locations is not None:
+            wanted = wanted.join(read, "url", "left_anti")
+        here = written(sitemap_locations(sitemaps.join(wanted, "url", "left_semi")).drop("loc_ix"))
+        read = wanted if locations is None else read.union(wanted)
+        locations = here if locations is None else locations.union(here)
+        if level == levels:
+            break
+        below = frontier.join(locations.filter(is_sub_sitemap(loc)), "url").select("root", loc.alias("url")).distinct()
+        frontier = written(below.join(reached, ["root", "url"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        reached = reached.union(frontier)
+    named = locations.filter(~is_sub_sitemap(loc) & path_matches_agenda(loc)).select("url", loc.alias("page_url")).distinct()
+    return reached.join(cap_pages(named, "url", n=n), "url").select("root", "page_url").distinct()
 
 
 def cap_pages(found: DataFrame, *site: str, n: int | None = lexicon.MAX_PAGES_PER_SITE) -> DataFrame:
@@ -59,14 +64,16 @@ def discover(
     pages: DataFrame,
     sitemaps: DataFrame | None = None,
     max_pages: int | None = lexicon.MAX_PAGES_PER_SITE,
+    sitemap_levels: int = 1,
 ) -> DataFrame:
     """(seed, page_url): at most ``max_pages`` agenda pages per site URL, the first by URL; all with ``None``.
 
-    Only site pages are parsed here. Sitemap pages are cut to ``max_pages`` per sitemap before
+    The site URLs are written, so that Spark knows their size and broadcasts them if they are small, however
+    the site table came about. Only site pages are parsed here. Sitemap pages are cut to ``max_pages`` per sitemap before
     they meet the sites: the first ones of a union lie within the first ones of its parts,
     and a host shared by many sites is not multiplied by its whole sitemap.
     """
-    seeds = sites.select(F.col("url").alias("seed")).distinct()
+    seeds = written(sites.select(F.col("url").alias("seed")).distinct())
     site_pages = pages.join(seeds.select(F.col("seed").alias("url")), "url", "left_semi")
     found = (
         agenda_links(nav_links(site_pages))
@@ -75,7 +82,7 @@ def discover(
     )
     if sitemaps is not None:
         rooted = seeds.withColumn("root", sitemap_url(F.col("seed")))
-        listed = cap_pages(sitemap_pages(sitemaps, rooted, max_pages), "root", n=max_pages)
+        listed = cap_pages(sitemap_pages(sitemaps, rooted, max_pages, sitemap_levels), "root", n=max_pages)
         found = found.union(rooted.join(listed, "root").select("seed", "page_url")).distinct()
     return with_fallback(seeds, cap_pages(found, "seed", n=max_pages))
 

@@ -29,7 +29,11 @@ def status_counts(df: DataFrame) -> DataFrame:
     The table is counted once per (category, city); the grouping sets run on that
     small result, so no row of the table is tripled. An empty table has no counts.
     """
-    cells = df.groupBy("category", "city").agg(F.count("*").alias("n"))
+    return counts_of_cells(df.groupBy("category", "city").agg(F.count("*").alias("n")))
+
+
+def counts_of_cells(cells: DataFrame) -> DataFrame:
+    """The same from the counts (category, city, n), as a store keeps them with each load."""
     sets = cells.groupingSets([[], ["category"], ["city"]], "category", "city").agg(
         F.sum("n").alias("cnt"),
         F.grouping("category").alias("all_categories"),
@@ -48,13 +52,18 @@ def status_report(df: DataFrame) -> DataFrame:
 
     The maps hold one entry per category and per city, never per activity.
     """
+    return report_of_counts(status_counts(df))
+
+
+def report_of_counts(counts: DataFrame) -> DataFrame:
+    """The same row from (scope, name, cnt)."""
 
     def as_map(scope: str):
         # collect_list leaves out the nulls of the other scopes
         entry = F.when(F.col("scope") == scope, F.struct("name", "cnt"))
         return F.map_from_entries(F.sort_array(F.collect_list(entry)))
 
-    return status_counts(df).agg(
+    return counts.agg(
         F.coalesce(F.max(F.when(F.col("scope") == "total", F.col("cnt"))), F.lit(0)).alias(
             "total_activities"
         ),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Observation
 from affiche.functions import lexicon
 from affiche.operators.discovery import known_agenda
 from affiche.plans.build import build_activities
-from affiche.sources.pages import successful
+from affiche.sources.pages import newest, successful
 from affiche.sources.store import append, init_store
 
 
@@ -34,12 +34,13 @@ def load_activities(
 ) -> LoadCounts:
     """Build the activities of a crawl and store what is new; the counts come with the same pass.
 
+    Of a page that was fetched several times (``fetched_at``) the newest successful snapshot counts.
     With ``agenda_path`` the agenda pages of each site are kept there, for loads in which they come
     without their site page.
     """
     init_store(pages.sparkSession, store)
     found, unique = Observation(), Observation()
-    pages = successful(pages)
+    pages = newest(successful(pages))
     agenda = known_agenda(agenda_path, load_id, pages, sites, sitemaps, max_pages) if agenda_path else None
     batch = build_activities(pages, sites, as_of, sitemaps, (found, unique), max_pages, agenda)
     stored = append(store, batch, load_id)

@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from affiche.functions import lexicon, markup
 from affiche.functions.text import strip
 from affiche.functions.urls import host, scheme
+from affiche.sources.settle import written
 
 # Executors get the small page reader with the job: no package to install there.
 cloudpickle.register_pickle_by_value(markup)
@@ -25,8 +26,10 @@ PAGES = T.StructType(
         T.StructField("html", T.StringType()),
     ]
 )
-# A snapshot as stored by a crawl, with the HTTP status of its fetch.
-SNAPSHOT = T.StructType([*PAGES.fields, T.StructField("status", T.IntegerType())])
+# A snapshot as stored by a crawl, with the HTTP status and the time of its fetch.
+SNAPSHOT = T.StructType(
+    [*PAGES.fields, T.StructField("status", T.IntegerType()), T.StructField("fetched_at", T.TimestampType())]
+)
 SITEMAPS = "url string, xml string"
 
 _RANGE = "struct<start:int,stop:int>"
@@ -59,7 +62,13 @@ _RULES = {
 
 def read_pages(spark: SparkSession, location: str, fmt: str = "parquet") -> DataFrame:
     """Stored snapshots with a declared schema; failed fetches are left out if a status is kept."""
-    return successful(spark.read.schema(SNAPSHOT).format(fmt).load(location)).drop("status")
+    return successful(spark.read.schema(SNAPSHOT).format(fmt).load(location)).drop("status", "fetched_at")
+
+
+def read_newest(spark: SparkSession, location: str, fmt: str = "parquet") -> DataFrame:
+    """The same, of each URL the snapshot that was fetched last."""
+    stored = spark.read.schema(SNAPSHOT).format(fmt).load(location)
+    return newest(successful(stored)).select(*PAGES.names)
 
 
 def successful(pages: DataFrame) -> DataFrame:
@@ -69,6 +78,22 @@ def successful(pages: DataFrame) -> DataFrame:
     return pages.filter(F.col("status").isNull() | F.col("status").between(200, 299))
 
 
+def newest(pages: DataFrame) -> DataFrame:
+    """Of each URL the snapshot fetched last; of equal times the one with the largest page_id.
+
+    A snapshot without a time is older than any other, one without a URL is left out, and a table without the column
+    ``fetched_at`` stays as it is. Rows that repeat URL, time and page_id are one fetch and stay together. Only these
+    three columns are aggregated, in each task first, and written; HTML meets the winners by URL, as a broadcast
+    where Spark finds them small, without a shuffle where it lies in buckets of the URL (``snapshots``).
+    """
+    if "fetched_at" not in pages.columns:
+        return pages
+    fetch = F.struct("fetched_at", "page_id")
+    last = written(pages.filter("url IS NOT NULL").groupBy(F.col("url").alias("__url")).agg(F.max(fetch).alias("__last")))
+    # Joined by URL alone: time and number are compared on the pair, so buckets of the URL are enough.
+    return pages.join(last, (pages["url"] == F.col("__url")) & (fetch >= F.col("__last")), "left_semi")
+
+
 def page_links(pages: DataFrame, partitions: int | None = None) -> DataFrame:
     """(page_id, url, link_ix, href, link_url, text, zone): every ``<a href>`` of every page, in page order.
 
@@ -84,7 +109,7 @@ def page_blocks(pages: DataFrame) -> DataFrame:
 
 
 def unreadable(pages: DataFrame) -> DataFrame:
-    """Pages the reader gave up on, with the reason; they yield no links and no blocks."""
+    """Pages without HTML and pages the reader gave up on, with the reason; they yield no links and no blocks."""
     return _read(pages, links=False).filter("error is not null").select("page_id", "url", "error")
 
 
@@ -107,6 +132,8 @@ def _reader(schema: T.StructType, links: bool):
                     out = {"page_id": row["page_id"], "url": row["url"]}
                     try:
                         facts = read_page(row["url"] or "", row["html"] or "", rules)
+                        if row["html"] is None:
+                            out["error"] = "no HTML"
                     except Exception as problem:  # one bad page never fails the job
                         out["error"] = f"{type(problem).__name__}: {problem}"
                     else:
@@ -125,7 +152,7 @@ def _reader(schema: T.StructType, links: bool):
 def sitemap_locations(sitemaps: DataFrame) -> DataFrame:
     """(url, loc_ix, loc): the ``<loc>`` texts of each sitemap, broken XML included."""
     found = F.regexp_extract_all("xml", F.lit(r"(?is)<loc(?:\s[^>]*)?>([^<]*)</loc>"), 1)
-    plain = F.col("raw")
+    plain = _numbered_entities(F.col("raw"))
     for entity, char in {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&amp;": "&"}.items():
         plain = F.replace(plain, F.lit(entity), F.lit(char))
     return (
@@ -134,6 +161,27 @@ def sitemap_locations(sitemaps: DataFrame) -> DataFrame:
     )
 
 
+def _numbered_entities(text):
+    """Character references by number (``&#233;``, ``&#xE9;``) as characters; an ampersand stays ``&amp;`` for the named ones."""
+
+    def character(code):
+        return F.when(code == 38, F.lit("&amp;")).otherwise(
+            F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        )
+
+    def replaced(done, entity):
+        digits = F.substring(entity, F.lit(3), F.length(entity) - 3)
+        code = F.when(
+            F.lower(F.substring(digits, 1, 1)) == "x", F.conv(F.substring(digits, F.lit(2), F.length(digits)), 16, 10)
+        ).otherwise(digits)
+        code = code.cast("long")
+        known = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(known, F.replace(done, entity, character(code))).otherwise(done)
+
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(0)))
+    return F.when(F.contains(text, F.lit("&#")), F.aggregate(found, text, replaced)).otherwise(text)
+
+
 def sitemap_url(site_url):
     """Where the sitemap of a site is expected."""
     return F.concat(scheme(site_url), F.lit("://"), host(site_url), F.lit("/sitemap.xml"))

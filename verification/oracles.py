@@ -422,7 +422,7 @@ ORACLES = {
         AND s.source_url = b.source_url)""",
     # crawl
     "crawl_plan": f"WITH {LISTINGS}, sites AS (SELECT category, city, min(source_url) AS url FROM listings GROUP BY 1, 2), "
-    "cities AS (SELECT n_name AS city, n_nationkey AS city_ord FROM nation WHERE n_regionkey <> 2) "
+    "cities AS (SELECT n_name AS city, n_nationkey AS city_ord FROM nation) "
     "SELECT s.category, s.city, s.url, CASE s.category WHEN 'library' THEN 0 WHEN 'mjc' THEN 1 ELSE 2 END AS category_ord, "
     "city_ord FROM sites s JOIN cities c ON s.city = c.city",
     "page_links": f"WITH {LINKS} SELECT page_id, link_ix, link_url, text, 0 AS zone FROM links",
@@ -537,3 +537,46 @@ ORACLES["status_report"] = A + """
       (SELECT category, count(*) AS n FROM activities GROUP BY 1) a) AS by_category,
     (SELECT '{' || string_agg('"' || city || '":' || n, ',' ORDER BY city) || '}' FROM
       (SELECT city, count(*) AS n FROM activities GROUP BY 1) b) AS by_city"""
+ORACLES["unreadable_pages"] = "SELECT page_id, url, 'no HTML' AS error FROM pages WHERE page_id % 10 = 3"
+ORACLES["snapshot_status"] = """SELECT * FROM (SELECT page_id, url,
+    CAST([200, 204, 299, 300, 304, 404, 500, 199, NULL][page_id % 9 + 1] AS INTEGER) AS status FROM pages) q
+  WHERE status IS NULL OR status BETWEEN 200 AND 299"""
+ORACLES["newest_snapshots"] = """SELECT page_id, url, CAST(length(html) AS INTEGER) AS n_chars FROM (
+  SELECT page_id * 10 + k AS page_id, url, html, row_number() OVER (PARTITION BY url ORDER BY
+    CASE WHEN (page_id + k) % 7 <> 0 THEN (page_id * 7 + k * 5) % 4 END DESC NULLS LAST, page_id * 10 + k DESC) AS place
+  FROM pages, (SELECT unnest([0, 1, 2, 3]) AS k) t WHERE (page_id + k) % 6 <> 0) q WHERE place = 1"""
+# The newest good fetch of every page is the one that the plain build reads.
+ORACLES["recrawled_activities"] = ORACLES["bucketed_activities"] = ORACLES["build_activities"]
+ORACLES["sitemap_tree"] = f"""SELECT {_BASE} || '/sitemap.xml' AS root, {_BASE} || '/agenda/' || name || {_KEY} AS page_url
+  FROM orders o, (SELECT unnest(['r&', 'a', 'b']) AS name) t"""
+
+
+def loaded(last: int) -> str:
+    """What is stored after the first ``last`` of three loads, each of which offers all earlier orders again."""
+    return f"""{A}, aged AS (SELECT a.*, CASE WHEN o_orderdate < DATE '1994-01-01' THEN 1 WHEN o_orderdate < DATE '1997-01-01' THEN 2
+        ELSE 3 END AS load FROM activities a JOIN orders ON o_orderkey = a.id),
+      stored AS (SELECT * EXCLUDE (rn, again) FROM (
+        SELECT *, row_number() OVER (PARTITION BY title, event_date, city, source_url ORDER BY load, id) AS rn, 0 AS again
+        FROM aged WHERE event_date IS NOT NULL AND load <= {last}
+        UNION ALL SELECT aged.*, 1, again FROM aged, (SELECT unnest(range(1, {last} + 1)) AS again) t
+        WHERE event_date IS NULL AND load <= again) q WHERE rn = 1)"""
+
+
+_STORED = "title, event_date, event_time, price, city, source_url, category, age_min, age_max"
+ORACLES["pinned_version"] = f"{loaded(2)} SELECT {_STORED} FROM stored"
+ORACLES["compacted_store"] = f"{loaded(3)} SELECT {_STORED} FROM stored"
+ORACLES["status_of_loads"] = f"""{loaded(3)} SELECT 'total' AS scope, CAST(NULL AS VARCHAR) AS name, count(*) AS cnt FROM stored
+  UNION ALL SELECT 'category', category, count(*) FROM stored GROUP BY category
+  UNION ALL SELECT 'city', city, count(*) FROM stored GROUP BY city"""
+ORACLES["store_is_empty"] = A + """SELECT 'created' AS after, true AS is_empty
+  UNION ALL SELECT 'no rows', count(*) = 0 FROM activities WHERE category IS NULL
+  UNION ALL SELECT 'all rows', count(*) = 0 FROM activities"""
+_SITES = ", ".join(
+    f"({text(category)}, {text(city)}, {text(url)}, {i}, {k})"
+    for i, (category, by_city) in enumerate(SITES.items())
+    for k, (city, url) in enumerate(by_city.items())
+)
+ORACLES["site_registry"] = f"""SELECT category, city, url, category_ord, city_ord, orders
+  FROM (VALUES {_SITES}) s(category, city, url, category_ord, city_ord)
+  LEFT JOIN (SELECT o_orderkey % {sum(map(len, SITES.values()))} AS place, count(*) AS orders FROM orders GROUP BY 1) d
+    ON d.place = category_ord * {len(CITIES)} + city_ord"""

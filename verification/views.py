@@ -239,3 +239,22 @@ def sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(joined(base, "/pages.XML").alias("url"), child.alias("xml")),
     )
     return table(spark, sf_dir, "orders").select(F.inline(both))
+
+
+def sitemap_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per order four sitemaps: the root lists a, a lists b, b lists the root again and c. Each names an agenda page."""
+    order = F.col("o_orderkey")
+    base = joined("https://s", order, ".example")
+
+    def sitemap(name: str, page: str, *listed: str) -> Column:
+        sitemaps = [joined("<sitemap><loc>", base, f"/{x}.xml</loc></sitemap>") for x in listed]
+        xml = joined("<urlset><url><loc>", base, page, order, "</loc></url>", *sitemaps, "</urlset>")
+        return F.struct(joined(base, f"/{name}.xml").alias("url"), xml.alias("xml"))
+
+    all_four = F.array(
+        sitemap("sitemap", "/agenda&#x2F;r&#38;", "a", "a"),
+        sitemap("a", "/agenda/a", "b", "sitemap"),
+        sitemap("b", "/agenda/b", "sitemap", "c", "a"),
+        sitemap("c", "/agenda/c"),
+    )
+    return table(spark, sf_dir, "orders").select(F.inline(all_four))
