@@ -20,9 +20,11 @@ from affiche.llm.shared import settled
 #: Letters are in this many groups, by code point.
 GROUPS = 13
 #: Words in a cell; cells are made deeper until none is larger, and a cell at full depth is cut into blocks.
-CELL = 20_000
+CELL = 50_000
 #: A trie node of so few words is not split further.
-LEAF = 24
+LEAF = 32
+#: Searches that go down a cell's trie together.
+ASKED = 100_000
 #: Pairs of words that are compared at once.
 PAIRS = 1 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -75,136 +77,170 @@ def one_edit(a: str, b: str) -> bool:
     return a[k + 1 :] == b[k + 1 :] if len(a) == len(b) else a[k:] == b[k + 1 :]
 
 
+#: Where a search stands: as long as the word and nothing spent, the surplus spent, both spent (or the one a longer
+#: word has), and a longer word with nothing spent.
+EVEN, OWING, DONE, LONGER = range(4)
+#: What a step of -1, 0 or 1 in a group makes of each of these; -1 ends the search. Of two words as long the surplus comes
+#: at the earlier level, so each pair is found from one side only.
+_AFTER = np.array([[-1, EVEN, OWING], [DONE, OWING, -1], [-1, DONE, -1], [-1, LONGER, DONE]], np.int8)
+
+
 class Trie:
-    """Words arranged by the counts of their letter groups from a level on: sorted, a node is a run of rows."""
-
-    def __init__(self, words: list[str], level: int):
-        self.level = level
-        counts = vectors(words)
-        order = np.lexsort(counts.T[::-1])
-        self.words = [words[k] for k in order]
-        self.place, self.counts = order, counts[order]
-
-    def search(self, words: list[str], surplus: np.ndarray, deficit: np.ndarray) -> Iterator[tuple[int, int]]:
-        """Pairs (number of a searched word, number of a trie word) one edit apart, within each search's budget."""
-        wanted = vectors(words)
-        stack = [(0, len(self.words), self.level, np.arange(len(words)), surplus, deficit)]
+    """Words arranged by the counts of their letter groups from a level on: sorted, a node is a run of rows.
+
+    ``levels`` says which group is looked at first, second and so on; the words agree before ``level``.
+    """
+
+    def __init__(self, words: list[str], levels: list[int], level: int):
+        self.level, self.levels = level, levels
+        counts = vectors(words)[:, levels]
+        self.place = np.lexsort(counts.T[::-1])
+        self.words = [words[k] for k in self.place]
+        self.narrow = np.int8 if counts.max(initial=0) < 63 else np.int32
+        self.counts = counts[self.place].astype(self.narrow)
+
+    def search(self, words: list[str], state: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Pairs (number of a searched word, number of a trie word) one edit apart; words alike in all groups by order."""
+        wanted = vectors(words)[:, self.levels]
+        wide = wanted.max(initial=0) >= 63
+        counts, wanted = (self.counts.astype(np.int32), wanted) if wide else (self.counts, wanted.astype(self.narrow))
+        stack = [(0, len(self.words), self.level, np.arange(len(words)), state.astype(np.int8))]
         while stack:
-            low, high, level, who, more, less = stack.pop()
+            low, high, level, who, at = stack.pop()
             if high - low <= LEAF or level == GROUPS:
-                yield from self.leaf(low, high, level, words, wanted, who, more, less)
+                yield from self.leaf(counts[low:high, level:], low, words, wanted[who, level:], who, at)
                 continue
-            column = self.counts[low:high, level]
+            column, own = counts[low:high, level], wanted[who, level]
             cuts = [0, *(np.flatnonzero(np.diff(column)) + 1).tolist(), high - low]
-            own = wanted[who, level]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 step = column[a] - own
-                on = (step == 0) | ((step == 1) & (more > 0)) | ((step == -1) & (less > 0))
-                if on.any():
-                    taken = step[on]
-                    stack.append((low + a, low + b, level + 1, who[on], more[on] - (taken == 1), less[on] - (taken == -1)))
+                near = np.flatnonzero(np.abs(step) <= 1)
+                after = _AFTER[at[near], step[near] + 1]
+                on = near[after >= 0]
+                if len(on):
+                    stack.append((low + a, low + b, level + 1, who[on], after[after >= 0]))
 
-    def leaf(self, low, high, level, words, wanted, who, more, less) -> Iterator[tuple[int, int]]:
+    def leaf(self, counts, low: int, words, wanted, who, at) -> Iterator[tuple[int, int]]:
         """Spends what is left of the budget on the remaining groups, then compares the words themselves."""
-        rows = max(1, PAIRS // ((high - low) * max(1, GROUPS - level)))
+        rows = max(1, PAIRS // max(1, counts.size))
         for first in range(0, len(who), rows):
             part = slice(first, first + rows)
-            step = self.counts[None, low:high, level:] - wanted[who[part]][:, None, level:]
-            fits = (np.maximum(step, 0).sum(axis=2) <= more[part, None]) & (np.maximum(-step, 0).sum(axis=2) <= less[part, None])
-            for q, w in zip(*(x.tolist() for x in np.nonzero(fits)), strict=True):
-                asked = int(who[first + q])
-                if one_edit(words[asked], self.words[low + w]):
-                    yield asked, int(self.place[low + w])
+            step = counts[None, :, :] - wanted[part][:, None, :]
+            much, little = (step > 0).sum(axis=2, dtype=np.int8), (step < 0).sum(axis=2, dtype=np.int8)
+            state = at[part, None]
+            fits = (much <= ((state == EVEN) | (state == LONGER))) & (little <= ((state == EVEN) | (state == OWING)))
+            q, w = np.nonzero(fits)
+            step = step[q, w]
+            fine = (np.abs(step) <= 1).all(axis=1)
+            both = (state[q, 0] == EVEN) & (much[q, w] > 0)
+            if both.any():
+                fine &= ~both | ((step == 1).argmax(axis=1) < (step == -1).argmax(axis=1))
+            alike = (state[q, 0] == EVEN) & ~both
+            for asked, k, by_order in zip(who[part][q[fine]].tolist(), w[fine].tolist(), alike[fine].tolist(), strict=True):
+                mine, other = words[asked], self.words[low + k]
+                if (not by_order or mine < other) and one_edit(mine, other):
+                    yield asked, int(self.place[low + k])
+
+
+def cell_keys(sizes: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """The cell of each row: the length and the counts of the first levels."""
+    keys = np.hstack([sizes[:, None], counts]).astype(">i4")
+    width, raw = 4 * keys.shape[1], keys.tobytes()
+    return [raw[k : k + width] for k in range(0, len(raw), width)]
+
+
+def cells_within_budget(sizes: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, list[bytes], int]]:
+    """For each way to spend the budget on the first levels: the rows that can, their cells and where they then stand."""
+    rows = np.arange(len(sizes))
+    yield rows, cell_keys(sizes, counts), EVEN
+    yield rows, cell_keys(sizes + 1, counts), LONGER
+    depth = counts.shape[1]
+    for i in range(depth):
+        more = counts.copy()
+        more[:, i] += 1
+        yield rows, cell_keys(sizes, more), OWING
+        yield rows, cell_keys(sizes + 1, more), DONE
+        for j in range(i + 1, depth):
+            able = np.flatnonzero(counts[:, j] > 0)
+            swapped = more[able]
+            swapped[:, j] -= 1
+            yield able, cell_keys(sizes[able], swapped), DONE
+
+
+def with_vectors(words: DataFrame) -> DataFrame:
+    """word, n and their counts in all groups."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = pa.array(vectors(batch["word"].to_pylist()).tolist(), pa.list_(pa.int32()))
+            yield pa.record_batch([batch["word"], batch["n"], counts], names=["word", "n", "counts"])
 
-def cell_key(size: int, counts: np.ndarray) -> bytes:
-    return np.array([size, *counts], ">i4").tobytes()
+    return words.select("word", "n").mapInArrow(run, "word string, n long, counts array<int>")
 
 
-def cells_within_budget(size: int, counts: np.ndarray) -> Iterator[tuple[bytes, int, int]]:
-    """The cells in which words as long or one longer may be near a word, and what is left of each budget there.
+def levels_and_depth(words: DataFrame) -> tuple[list[int], int]:
+    """The groups, those with most letters first, and the least depth at which no cell holds more than ``CELL`` words.
 
-    A word as long has a surplus of one and a deficit of one, or neither; a longer one has a surplus only.
+    The driver sees one number a group and one a depth. Should a cell at full depth be larger, the depth is the full one.
     """
-    yield cell_key(size, counts), 1, 1
-    yield cell_key(size + 1, counts), 1, 0
-    unit = np.eye(len(counts), dtype=counts.dtype)
-    for i in range(len(counts)):
-        yield cell_key(size, counts + unit[i]), 0, 1
-        yield cell_key(size + 1, counts + unit[i]), 0, 0
-        if counts[i]:
-            yield cell_key(size, counts - unit[i]), 1, 0
-            for j in range(len(counts)):
-                if i != j:
-                    yield cell_key(size, counts - unit[i] + unit[j]), 0, 0
-
-
-def _own_cells(words: DataFrame, depths: list[int]) -> DataFrame:
-    """word, n, depth and cell for each of the depths."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spelled = batch["word"].to_pylist()
-            counts = vectors(spelled)
-            for depth in depths:
-                keys = [cell_key(len(w), c[:depth]) for w, c in zip(spelled, counts, strict=True)]
-                yield pa.record_batch(
-                    [batch["word"], batch["n"], pa.array([depth] * len(keys), pa.int32()), pa.array(keys, pa.binary())],
-                    names=["word", "n", "depth", "cell"],
-                )
+    sums = words.agg(*[F.coalesce(F.sum(F.col("counts")[k]), F.lit(0)) for k in range(GROUPS)]).first()
+    levels = sorted(range(GROUPS), key=lambda k: (-sums[k], k))
+    for depth in range(GROUPS):
+        cell = [F.char_length("word"), *[F.col("counts")[k] for k in levels[:depth]]]
+        if (words.groupBy(*cell).agg(F.count("*").alias("size")).agg(F.max("size")).first()[0] or 0) <= CELL:
+            return levels, depth
+    return levels, GROUPS
 
-    return words.select("word", "n").mapInArrow(run, "word string, n long, depth int, cell binary")
 
+def _held(words: DataFrame, levels: list[int], depth: int) -> DataFrame:
+    """cell, word and n: every word in the cell it lies in."""
+    return _in_cells(words, levels, depth, lambda sizes, counts: [(np.arange(len(sizes)), cell_keys(sizes, counts), EVEN)]).drop("state")
 
-def depth_needed(words: DataFrame) -> int:
-    """The least depth at which no cell holds more than ``CELL`` words, or the full depth."""
-    sizes = _own_cells(words, list(range(GROUPS + 1))).groupBy("depth", "cell").agg(F.count("*").alias("n"))
-    largest = {r[0]: r[1] for r in sizes.groupBy("depth").agg(F.max("n")).collect()}
-    return next((d for d in range(GROUPS + 1) if largest.get(d, 0) <= CELL), GROUPS)
 
+def _searches(words: DataFrame, levels: list[int], depth: int) -> DataFrame:
+    """cell, word, n and state, for every cell a word's search goes down into."""
+    return _in_cells(words, levels, depth, cells_within_budget)
 
-def _searches(words: DataFrame, depth: int) -> DataFrame:
-    """cell, word, n and the budgets left, for every cell a word's search goes down into."""
 
+def _in_cells(words: DataFrame, levels: list[int], depth: int, ways) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spelled, n = batch["word"].to_pylist(), batch["n"].to_pylist()
-            out: list[tuple] = []
-            for w, k, counts in zip(spelled, n, vectors(spelled), strict=True):
-                out += [(key, w, k, more, less) for key, more, less in cells_within_budget(len(w), counts[:depth])]
-            if out:
-                types = (pa.binary(), pa.string(), pa.int64(), pa.int32(), pa.int32())
-                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
-                yield pa.record_batch(columns, names=["cell", "word", "n", "surplus", "deficit"])
+            spelled = batch["word"].to_pylist()
+            counts, sizes = vectors(spelled)[:, levels[:depth]], np.array([len(w) for w in spelled], np.int64)
+            for rows, keys, state in ways(sizes, counts):
+                part = pa.array(rows)
+                out = [pa.array(keys, pa.binary()), batch["word"].take(part), batch["n"].take(part), pa.array(np.full(len(rows), state, np.int32))]
+                yield pa.record_batch(out, names=["cell", "word", "n", "state"])
 
-    return words.select("word", "n").mapInArrow(run, "cell binary, word string, n long, surplus int, deficit int")
+    return words.select("word", "n").mapInArrow(run, "cell binary, word string, n long, state int")
 
 
 def near_words(words: DataFrame) -> DataFrame:
     """word, near and near_n: all pairs of the words (``word`` unique, with ``n``) one edit apart, both ways round."""
-    depth = depth_needed(words)
-    own = settled(_own_cells(words, [depth]).drop("depth"), "cells")
-    sizes = own.groupBy("cell").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("word"), F.col("blocks")).cast("int").alias("block")
-    held = own.join(sizes, "cell").select("cell", block, "word", "n")
-    # Searches of cells that hold no word end here; a cell cut into blocks is searched block by block.
-    sent = _searches(words, depth).join(sizes, "cell")
-    sent = sent.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "word", "n", "surplus", "deficit")
-
-    def run(key: tuple, here: pa.Table, asked: pa.Table) -> pa.Table:
+    counted = settled(with_vectors(words), "vectors")
+    levels, depth = levels_and_depth(counted)
+    held, sent, keys = _held(counted, levels, depth), _searches(counted, levels, depth), ["cell"]
+    if depth == GROUPS:  # Words alike in all groups may be too many for one task: blocks, each searched for all.
+        blocks = held.groupBy("cell").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks"))
+        held = held.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("word"), F.col("blocks")).cast("int"))
+        sent = sent.join(blocks, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        held, sent, keys = held.drop("blocks"), sent.drop("blocks"), ["cell", "block"]
+
+    def run(here: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if here.num_rows and asked.num_rows:
             spelled, n = here["word"].to_pylist(), here["n"].to_pylist()
-            other, m = asked["word"].to_pylist(), asked["n"].to_pylist()
-            surplus, deficit = (asked[c].to_numpy().astype(np.int64) for c in ("surplus", "deficit"))
-            for a, b in Trie(spelled, depth).search(other, surplus, deficit):
-                out.append((other[a], spelled[b], n[b]))
-                if len(other[a]) < len(spelled[b]):  # a longer word does not search for shorter ones
+            trie = Trie(spelled, levels, depth)
+            for first in range(0, asked.num_rows, ASKED):
+                part = asked.slice(first, ASKED)
+                other, m = part["word"].to_pylist(), part["n"].to_pylist()
+                for a, b in trie.search(other, part["state"].to_numpy()):
+                    out.append((other[a], spelled[b], n[b]))
                     out.append((spelled[b], other[a], m[a]))
         columns = list(zip(*out, strict=True)) or [(), (), ()]
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["word", "near", "near_n"])
 
-    return held.groupBy("cell", "block").cogroup(sent.groupBy("cell", "block")).applyInArrow(run, "word string, near string, near_n long")
+    return held.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(run, "word string, near string, near_n long")
 
 
 def roots(forms: DataFrame, rounds: int) -> DataFrame:

@@ -104,22 +104,25 @@ WORDS = st.text("abné", min_size=3, max_size=7)
 @settings(max_examples=60, deadline=None)
 @given(st.sets(WORDS, min_size=1, max_size=40), st.integers(1, 6), st.integers(0, spellings.GROUPS))
 def test_trie_finds_all_near_words(words, leaf, depth):
-    """Cells and tries together, without Spark: every pair, once from the shorter or from each of equal length."""
+    """Cells and tries together, without Spark: every pair, and each from one side only."""
     words = sorted(words)
     counts = spellings.vectors(words)
+    levels = list(np.argsort(-counts.sum(axis=0), kind="stable"))
+    sizes, counts = np.array([len(w) for w in words]), counts[:, levels[:depth]]
     cells, found = {}, set()
-    for w, c in zip(words, counts, strict=True):
-        cells.setdefault(spellings.cell_key(len(w), c[:depth]), []).append(w)
-    for w, c in zip(words, counts, strict=True):
-        for key, more, less in spellings.cells_within_budget(len(w), c[:depth]):
+    for w, key in zip(words, spellings.cell_keys(sizes, counts), strict=True):
+        cells.setdefault(key, []).append(w)
+    original, spellings.LEAF = spellings.LEAF, leaf
+    for rows, keys, state in spellings.cells_within_budget(sizes, counts):
+        for row, key in zip(rows, keys, strict=True):
             if key in cells:
-                trie = spellings.Trie(cells[key], depth)
-                original, spellings.LEAF = spellings.LEAF, leaf
-                for _, b in trie.search([w], np.array([more]), np.array([less])):
-                    assert (w, cells[key][b]) not in found
-                    found.add((w, cells[key][b]))
-                spellings.LEAF = original
-    assert found == {(a, b) for a in words for b in words if len(a) <= len(b) and b in variants(a, "abné")}
+                trie = spellings.Trie(cells[key], levels, depth)
+                for _, b in trie.search([words[row]], np.array([state])):
+                    pair = frozenset((words[row], cells[key][b]))
+                    assert pair not in found
+                    found.add(pair)
+    spellings.LEAF = original
+    assert found == {frozenset((a, b)) for a in words for b in words if b in variants(a, "abné")}
 
 
 @given(WORDS, WORDS)
