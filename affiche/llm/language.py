@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from affiche.llm.shared import settled, unused
 from affiche.llm.text import chunks, utf8
 
 #: Lengths of the n-grams, in bytes of the lower-cased UTF-8 text.
@@ -17,36 +18,25 @@ SPECTRUM = (1, 2, 3)
 UNKNOWN = "und"
 #: Where the numbers of the n-grams of each length begin, and where they end.
 _FIRST = {1: 0, 2: 1 << 8, 3: (1 << 8) + (1 << 16)}
-_CODES = (1 << 8) + (1 << 16) + (1 << 24)
-_lookup: dict[bytes, np.ndarray] = {}
 
 
 def gram_codes(text: np.ndarray) -> np.ndarray:
     """The distinct n-grams of one text, each as a number: its bytes, after the numbers of shorter ones."""
     seen = []
-    code = np.zeros(len(text), np.int64)
+    code = np.zeros(len(text), np.int32)
     for n in SPECTRUM:
         if len(text) < n:
             break
         code = (code[: len(text) - n + 1] << 8) | text[n - 1 :]
-        mark = np.zeros(1 << (8 * n), bool) if n < 3 else None
-        if mark is not None:
+        if n < 3:
+            mark = np.zeros(1 << (8 * n), bool)
             mark[code] = True
             seen.append(np.flatnonzero(mark) + _FIRST[n])
         else:
-            last = _scratch()
-            places = np.arange(len(code), dtype=np.int32)
-            last[code] = places
-            seen.append(code[last[code] == places] + _FIRST[n])
+            seen.append(np.unique(code).astype(np.int64) + _FIRST[n])
     return np.concatenate(seen) if seen else np.zeros(0, np.int64)
 
 
-def _scratch() -> np.ndarray:
-    if b"scratch" not in _lookup:
-        _lookup[b"scratch"] = np.zeros(1 << 24, np.int32)
-    return _lookup[b"scratch"]
-
-
 @dataclass(frozen=True)
 class Landmarks:
     """Texts that stand for all others, as a presence matrix over the n-grams they hold."""
@@ -57,20 +47,15 @@ class Landmarks:
 
     def kernel(self, grams: list[np.ndarray]) -> np.ndarray:
         """Normalised blended-spectrum presence kernel of texts (given by their n-grams) to the landmarks."""
-        key = self.codes.tobytes()
-        if key not in _lookup:
-            _lookup.clear()
-            table = np.full(_CODES, -1, np.int32)
-            table[self.codes] = np.arange(len(self.codes), dtype=np.int32)
-            _lookup[key] = table
-        table = _lookup[key]
         out = np.zeros((len(grams), self.presence.shape[1]), np.float32)
         for low in range(0, len(grams), 64):
             batch = grams[low : low + 64]
-            flags = np.zeros((len(batch), len(self.codes) + 1), np.float32)
+            flags = np.zeros((len(batch), len(self.codes)), np.float32)
             for row, codes in enumerate(batch):
-                flags[row, table[codes]] = 1.0
-            out[low : low + len(batch)] = flags[:, :-1] @ self.presence
+                at = np.searchsorted(self.codes, codes)
+                at[at == len(self.codes)] = 0
+                flags[row, at[self.codes[at] == codes]] = 1.0
+            out[low : low + len(batch)] = flags @ self.presence
         sizes = np.array([max(1, len(g)) for g in grams], np.float64)
         return out / np.sqrt(sizes[:, None] * np.maximum(self.sizes, 1)[None, :])
 
@@ -101,23 +86,26 @@ def texts_grams(texts: pa.Array) -> list[np.ndarray]:
 
 
 def chosen(docs: DataFrame, rows: int) -> DataFrame:
-    """At most ``rows`` ids of each language, the first by a hash of the id.
+    """lang, text and rank of at most ``rows`` rows of each language, the first by a hash of the id.
 
     Hashes are spread evenly, so of n documents the share (2 * rows + 200) / n with the smallest hashes holds
-    ``rows`` documents but for a chance far below that of a hardware fault. Only that share is shuffled and ranked:
-    a language that holds a third of all rows brings no more rows together than a rare one.
+    ``rows`` documents but for a chance far below that of a hardware fault. The sizes of the languages are written first, so
+    the join with them needs no shuffle and only that share is shuffled and ranked: a language that holds a
+    third of all rows brings no more rows together than a rare one. Rows that repeat an id are told apart by
+    their texts, and of each task no more than ``rows`` rows a language are sent.
     """
-    order = Window.partitionBy("lang").orderBy("_hash", "doc_id")
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(
-        "doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("_hash")
+    order = Window.partitionBy("lang").orderBy("hash", "doc_id", "text_hash")
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    sizes = settled(labelled.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    known = labelled.select(
+        "doc_id", "lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("hash"), F.xxhash64("text").alias("text_hash")
     )
-    sizes = known.groupBy("lang").agg(F.count("*").alias("_n"))
     return (
         known.join(sizes, "lang")
-        .where(F.col("_hash").cast("double") * F.col("_n") < F.lit(float(1 << 40) * (2 * rows + 200)))
-        .drop("_n")
-        .withColumn("_rank", F.row_number().over(order))
-        .where(F.col("_rank") <= rows)
+        .where(F.col("hash").cast("double") * F.col("n") < F.lit(float(1 << 40) * (2 * rows + 200)))
+        .withColumn("rank", F.row_number().over(order))
+        .where(F.col("rank") <= rows)
+        .select("lang", "text", "rank", "hash", "text_hash")
     )
 
 
@@ -128,17 +116,17 @@ def fit(docs: DataFrame, landmarks: int = 32, rows: int = 500, ridge: float = 1e
     first ``landmarks`` of those are its landmarks; the bound is per language, so rare languages keep theirs.
     Nystroem features are the kernel to the landmarks times the inverse root of the landmarks' own kernel;
     one-versus-rest ridge regression on them is solved on the driver, whose size is that of the landmarks.
-    Executors work out the n-grams and the kernel rows. Without labelled text the model knows no language.
+    Executors work out the n-grams and the kernel rows. Without labelled text the model knows no language; rows
+    without a label, a text or an id are not learned from, and of rows that repeat an id each counts.
     """
-    ids = chosen(docs, rows).drop("lang", "_hash")
-    picked = docs.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id")
+    picked = settled(chosen(docs, rows), "language-sample")
 
     def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grams = texts_grams(batch["text"])
             yield pa.record_batch({"lang": batch["lang"], "grams": pa.array([g.astype(np.int32).tobytes() for g in grams], pa.binary())})
 
-    own = picked.where(F.col("_rank") <= landmarks).orderBy("lang", "_rank", "doc_id").select("lang", "text")
+    own = picked.where(F.col("rank") <= landmarks).orderBy("lang", "rank").select("lang", "text")
     held = [np.frombuffer(r["grams"], np.int32).astype(np.int64) for r in own.mapInArrow(grams_of, "lang string, grams binary").collect()]
     if not held:
         return LanguageModel(Landmarks(np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0)), [], np.zeros((1, 0)))
@@ -172,13 +160,14 @@ def fit(docs: DataFrame, landmarks: int = 32, rows: int = 500, ridge: float = 1e
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """Adds ``lang_pred`` and ``score`` from the whole ``text`` alone; columns of these names are replaced.
 
-    Null text, text without a letter, and every text if no language was learned, get ``und`` and 0.
-    Of equal scores the first language by name wins.
+    Null text, text without a letter, and every text if no language was learned, get ``und`` and 0. Every row is
+    judged for itself, rows that repeat an id too, and keeps its other columns. Of equal scores the first language by name wins.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    marked = docs.select(*rest, F.coalesce(has_letter("text"), F.lit(False)).alias("_letter"))
+    letter = unused("letter", rest)
+    marked = docs.select(*rest, F.coalesce(has_letter("text"), F.lit(False)).alias(letter))
     schema = docs.select(*rest).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,17 +178,17 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
             for low, high in chunks(offsets, 4 << 20):
                 part = batch.slice(low, high - low)
                 scores = known.scores(texts_grams(part["text"]))
-                letter = part["_letter"].to_numpy(zero_copy_only=False) & (len(known.languages) > 0)
+                lettered = part[letter].to_numpy(zero_copy_only=False) & (len(known.languages) > 0)
                 if len(known.languages):
                     best, score = scores.argmax(axis=1), scores.max(axis=1)
                 else:
-                    best, score = np.zeros(len(letter), int), np.zeros(len(letter))
-                best = np.where(letter, best, len(names) - 1)
+                    best, score = np.zeros(len(lettered), int), np.zeros(len(lettered))
+                best = np.where(lettered, best, len(names) - 1)
                 yield pa.record_batch(
                     [
                         *[part[c] for c in rest],
                         pa.array([names[k] for k in best], pa.string()),
-                        pa.array(np.where(letter, score, 0.0), pa.float64()),
+                        pa.array(np.where(lettered, score, 0.0), pa.float64()),
                     ],
                     names=[*rest, "lang_pred", "score"],
                 )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -12,9 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from affiche.llm.shared import partitions, settled
+from affiche.llm.shared import partitions, settled, unused
 from affiche.llm.text import Words, chunks, ranges, utf8
 
+#: Bytes of text tokenized at once; a longer document is worked on alone.
+TEXT = 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -100,17 +103,18 @@ def pack(pieces: DataFrame, capacity: int = 2048, order: list[str] | None = None
     spark = pieces.sparkSession
     order = order or [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     rows = pieces.drop("sequence_id", "offset")
+    _salt, _n, _before, _number, _to = (unused(c, rows.columns) for c in ("salt", "n", "before", "number", "to"))
     salts = 4 * partitions(spark)
-    salted = settled(rows.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int")), "pieces")
-    cells = settled(salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")), "cells")
-    histogram = {r[0]: r[1] for r in cells.groupBy("length").agg(F.sum("_n")).collect()}
+    salted = settled(rows.withColumn(_salt, F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int")), "pieces")
+    cells = settled(salted.groupBy("length", _salt).agg(F.count("*").alias(_n)), "cells")
+    histogram = {r[0]: r[1] for r in cells.groupBy("length").agg(F.sum(_n)).collect()}
     if any(x is None or not 1 <= x <= capacity for x in histogram):
         raise ValueError(f"lengths must be from 1 to {capacity}")
     runs = placement(patterns(histogram, capacity))
-    earlier = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    own = Window.partitionBy("length", "_salt").orderBy(*order)
-    numbered = salted.join(starts, ["length", "_salt"]).withColumn("_number", F.row_number().over(own) - 1 + F.col("_before"))
+    earlier = Window.partitionBy("length").orderBy(_salt).rowsBetween(Window.unboundedPreceding, -1)
+    starts = cells.withColumn(_before, F.coalesce(F.sum(_n).over(earlier), F.lit(0))).drop(_n)
+    own = Window.partitionBy("length", _salt).orderBy(*order)
+    numbered = salted.join(starts, ["length", _salt]).withColumn(_number, F.row_number().over(own) - 1 + F.col(_before))
     sent = spark.sparkContext.broadcast({x: (np.array([r[0] for r in rs]), np.array(rs)) for x, rs in runs.items()})
 
     @F.pandas_udf("struct<sequence_id:long, offset:long>")
@@ -129,8 +133,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, order: list[str] | None = None
                 out[at, 1] = run[:, 3]
         return pd.DataFrame({"sequence_id": out[:, 0], "offset": out[:, 1]})
 
-    placed = numbered.withColumn("_to", place(F.col("length").cast("long"), F.col("_number").cast("long")))
-    return placed.select(*rows.columns, F.col("_to.sequence_id").alias("sequence_id"), F.col("_to.offset").alias("offset"))
+    placed = numbered.withColumn(_to, place(F.col("length").cast("long"), F.col(_number).cast("long")))
+    return placed.select(*rows.columns, F.col(f"{_to}.sequence_id").alias("sequence_id"), F.col(f"{_to}.offset").alias("offset"))
 
 
 @lru_cache(maxsize=2)
@@ -140,44 +144,67 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@dataclass(frozen=True)
+class Known:
+    """Words by their hashes, in order, and the ids of each."""
+
+    hashes: np.ndarray
+    starts: np.ndarray
+    ids: np.ndarray
+
+    @staticmethod
+    def of(hashes: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> Known:
+        """From words in any order and their ids end to end."""
+        starts, order = np.cumsum(counts) - counts, np.argsort(hashes)
+        own = counts[order]
+        return Known(hashes[order], np.concatenate([[0], np.cumsum(own)]).astype(np.int64), ids[ranges(starts[order], own)])
+
+    def with_(self, other: Known) -> Known:
+        counts = np.concatenate([np.diff(self.starts), np.diff(other.starts)])
+        return Known.of(np.concatenate([self.hashes, other.hashes]), counts, np.concatenate([self.ids, other.ids]))
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each of the hashes would be, and whether it is there."""
+        at = np.searchsorted(self.hashes, hashes)
+        at[at == len(self.hashes)] = 0
+        return at, self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+
+
+NONE_KNOWN = Known(np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint32))
+
+
 class WordTokens:
     """Token ids of whole texts, each different word of a task tokenized once.
 
     The tokenizer drops white space and never joins across it, and lower-cases, so a text's ids are
     those of its words one after the other. Words are told apart by 64-bit hashes of their lower-cased bytes.
     Special tokens are found before that, in their exact spelling and also inside a word: a text with one
-    is tokenized whole.
+    is tokenized whole. New words join a short list first, which joins the long one when it is half as long.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
         self.path, self.most = path, most
         self.special = [t.content.encode() for t in _tokenizer(path).get_added_tokens_decoder().values()]
-        self.hashes = np.zeros(0, np.uint64)
-        self.starts = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.uint32)
-
-    def learn(self, data: np.ndarray, words: Words) -> None:
-        """Tokenize the words not yet known; a full memory is given up and begins anew."""
-        different, first = np.unique(words.hash, return_index=True)
-        new = ~np.isin(different, self.hashes, assume_unique=True)
-        if new.sum() + len(self.hashes) > self.most:
-            self.__init__(self.path, self.most)
+        self.long = self.short = NONE_KNOWN
+
+    def learn(self, raw: bytes, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Tokenize the different words of a text that are not yet known; a full memory is given up and begins anew."""
+        new = ~(self.long.places(hashes)[1] | self.short.places(hashes)[1])
+        if new.sum() + len(self.long.hashes) + len(self.short.hashes) > self.most:
+            self.long = self.short = NONE_KNOWN
             new[:] = True
-        different, first = different[new], first[new]
-        raw = data.tobytes()
-        spelled = [raw[a:b].decode() for a, b in zip(words.start[first], words.end[first], strict=True)]
-        ids, counts = [self.ids], [np.diff(self.starts)]
-        for low in range(0, len(spelled), 20_000):
-            part = spelled[low : low + 20_000]
+        if not new.any():
+            return
+        spelled = [raw[a:b].decode() for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)]
+        ids, counts = [], []
+        for low in range(0, len(spelled), 5_000):
+            part = spelled[low : low + 5_000]
             got = _tokenizer(self.path).encode(part, is_pretokenized=True, add_special_tokens=False)
             ids.append(np.array(got.ids, np.uint32))
             counts.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(part)))
-        hashes = np.concatenate([self.hashes, different])
-        starts, counts = np.concatenate([[0], np.cumsum(np.concatenate(counts))]), np.concatenate(counts)
-        order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        self.ids = np.concatenate(ids)[ranges(starts[:-1][order], counts[order])]
-        self.starts = np.concatenate([[0], np.cumsum(counts[order])]).astype(np.int64)
+        self.short = self.short.with_(Known.of(hashes[new], np.concatenate(counts), np.concatenate(ids)))
+        if 2 * len(self.short.hashes) > len(self.long.hashes):
+            self.long, self.short = self.long.with_(self.short), NONE_KNOWN
 
     def with_special(self, raw: bytes, offsets: np.ndarray) -> list[int]:
         """The documents in which a special token stands."""
@@ -215,11 +242,19 @@ class WordTokens:
         words = Words(data, offsets, lower=True)
         if not len(words.start):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        self.learn(data, words)
-        at = np.searchsorted(self.hashes, words.hash)
-        counts = np.diff(self.starts)[at]
-        per_doc = np.bincount(words.doc, weights=counts, minlength=len(offsets) - 1).astype(np.int64)
-        return self.ids[ranges(self.starts[at], counts)], np.concatenate([[0], np.cumsum(per_doc)])
+        different, first, word = np.unique(words.hash, return_index=True, return_inverse=True)
+        self.learn(data.tobytes(), different, words.start[first], words.end[first])
+        at, here = self.long.places(different)
+        starts = np.zeros(len(different), np.int64)
+        counts = np.zeros(len(different), np.int64)
+        starts[here], counts[here] = self.long.starts[at[here]], np.diff(self.long.starts)[at[here]]
+        at, there = self.short.places(different)
+        starts[there] = len(self.long.ids) + self.short.starts[at[there]]
+        counts[there] = np.diff(self.short.starts)[at[there]]
+        own = counts[word]
+        per_doc = np.bincount(words.doc, weights=own, minlength=len(offsets) - 1).astype(np.int64)
+        ids = np.concatenate([self.long.ids, self.short.ids])[ranges(starts[word], own)]
+        return ids, np.concatenate([[0], np.cumsum(per_doc)])
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end: int = 0) -> DataFrame:
@@ -233,7 +268,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end: int
         memory = WordTokens(tokenizer_path)
         for batch in batches:
             data, offsets = utf8(batch["text"])
-            for low, high in chunks(offsets, 8 << 20):
+            for low, high in chunks(offsets, TEXT):
                 base = offsets[low]
                 ids, at = memory.encode(data[base : offsets[high]], offsets[low : high + 1] - base)
                 out: list[tuple] = []

@@ -37,3 +37,11 @@ def partitions(spark: SparkSession) -> int:
 
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """A name for a column of an operator's own that no column of the input has, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -21,14 +21,18 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd step and of its inverse, modulo 2**64."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, CHUNK)
+    """The first n powers of an odd step and of its inverse, modulo 2**64; those for ``CHUNK`` bytes are kept."""
+    size = max(n, CHUNK)
+    if size > CHUNK or not _powers:
         inverse = np.uint64(pow(int(_STEP), -1, 1 << 64))
+        made = {}
         for name, base in (("up", _STEP), ("down", inverse)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
-            _powers[name] = np.cumprod(steps, dtype=np.uint64)
+            made[name] = np.cumprod(steps, dtype=np.uint64)
+        if size > CHUNK:  # one very long text, not worth holding on to
+            return made["up"][:n], made["down"][:n]
+        _powers.update(made)
     return _powers["up"][:n], _powers["down"][:n]
 
 
