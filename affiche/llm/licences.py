@@ -220,12 +220,24 @@ def cosine(weighed: Column) -> Column:
     return F.aggregate(F.array_sort(weighed), start, add, lambda t: F.round(t["dot"] / F.sqrt(t["sq"]), 9))
 
 
+def reachable(held: Column, vector: dict[str, float]) -> Column:
+    """No less than the squared length of a template's vector within the terms held: terms of like weight are counted
+    together at the largest of their weights, which is at most a tenth above the others' squares."""
+    levels: list[tuple[float, list[str]]] = []
+    for term, w in sorted(vector.items(), key=lambda x: (-x[1], x[0])):
+        if not levels or w * w * 1.1 < levels[-1][0]:
+            levels.append((w * w, []))
+        levels[-1][1].append(term)
+    counted = [F.lit(most) * F.size(F.array_intersect(held, F.array(*[F.lit(t) for t in terms]))) for most, terms in levels]
+    return sum(counted, F.lit(0.0))
+
+
 def by_window(files: DataFrame, known: Weights, threshold: float) -> DataFrame:
     """path, line, score and licence of the best window of every file for each template that it is near to.
 
     Windows have as many tokens as the template, over line ends, and begin at every ``STEPS``-th part of that
     (at every token for statements) and at the end of the file; the whole file is one more. The templates that
-    a file is scored for are found by its terms joined with theirs: no part of a file has a cosine above the
+    a file is scored for are found on its row by its terms: no part of a file has a cosine above the
     length of the template within the terms of the file. Windows without any telling term of the template are
     left out, they cannot reach the threshold.
     """
@@ -235,17 +247,13 @@ def by_window(files: DataFrame, known: Weights, threshold: float) -> DataFrame:
     tells = [sorted(set(w.idf) - w.common(threshold)) for w in alone]
     telling = sorted({t for ts in tells for t in ts})
     parts = F.transform(F.split(text_or_empty(), "\n", -1), tokens)
-    whole = once(files.select("path", F.xxhash64(text_or_empty()).alias("key"), "text"), parts=parts)
+    whole = once(files.select("path", "text"), parts=parts)
     whole = once(whole.drop("text"), tokens=F.flatten("parts"), sizes=F.transform("parts", F.size)).drop("parts")
     near = whole.where(F.exists("tokens", lambda t: t.isin(telling)))
-    entries = [(k, t, w * w) for k, n in enumerate(names) for t, w in known.templates[n].items()]
-    kinds = [pa.int32(), pa.string(), pa.float64()]
-    columns = [pa.array(c, t) for c, t in zip(zip(*entries, strict=True), kinds, strict=True)]
-    terms = spark.createDataFrame(pa.table(columns, names=["template", "term", "mass"]))
-    held = near.select("path", "key", F.explode(F.array_distinct("tokens")).alias("term")).join(terms, "term")
-    mass = held.groupBy("path", "key", "template").agg(F.sum("mass").alias("mass"))
-    wanted = mass.where(F.col("mass") >= threshold * threshold - 1e-6).select("path", "key", "template")
-    wanted = settled(wanted, "licence-candidates")
+    near = once(near, held=F.array_distinct(F.filter("tokens", lambda t: t.isin(sorted(known.idf)))))
+    reach = [F.struct(F.lit(k).alias("template"), reachable(F.col("held"), known.templates[n]).alias("mass")) for k, n in enumerate(names)]
+    near = near.withColumn("wanted", F.filter(F.array(*reach), lambda x: x["mass"] >= threshold * threshold - 1e-6))
+    near = near.select("path", "tokens", "sizes", F.explode("wanted.template").alias("template"))
     one = pa.map_(pa.string(), pa.float64())
     vectors = spark.createDataFrame(
         pa.table(
@@ -259,8 +267,7 @@ def by_window(files: DataFrame, known: Weights, threshold: float) -> DataFrame:
             }
         )
     )
-    files_once = whole.join(wanted.select("path", "key").distinct(), ["path", "key"], "left_semi").dropDuplicates(["path", "key"])
-    rows = files_once.join(wanted, ["path", "key"]).join(vectors, "template")
+    rows = near.join(F.broadcast(vectors), "template")  # one row a template
 
     def weigh(t: Column) -> Column:
         idf = F.when(t.isin(vocabulary), F.coalesce(F.col("idf")[t], F.lit(known.unseen))).otherwise(F.lit(known.unseen))
