@@ -52,34 +52,57 @@ def windows(batch: pa.RecordBatch) -> Iterator[Entries]:
         yield ids[low + doc], hashes[kept], at[kept] - words.first[doc]
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """owner (doc_id) and places of the windows that also start in a document with a smaller doc_id."""
-    rows = with_owner(docs)
-    shared = meet(rows, anchors, OTHER).select(F.col("owner").alias("doc_id"), "places")
-    return meet(rows.join(shared, "doc_id"), windows, SMALLER).select(F.col("owner").alias("doc_id"), "places")
+def repeats(docs: DataFrame, dealt: DataFrame) -> DataFrame:
+    """owner (doc_id), places and keys of the windows that also start in a document with a smaller doc_id.
+
+    ``dealt`` are the documents once more (``row``), shuffled by the ``owner`` they go under.
+    """
+    shared = meet(with_owner(docs), anchors, OTHER).select("owner", "places")
+
+    def entries(batch: pa.RecordBatch) -> Iterator[Entries]:
+        row = dict(zip(batch["row"].type.names, batch["row"].flatten(), strict=True))
+        ids = row["doc_id"].cast(pa.int64())
+        mine = pa.record_batch([ids, row["text"], batch["places"]], names=["doc_id", "text", "places"])
+        # A row without an id goes under its text, which may be named like a document: it still owns nothing.
+        yield from windows(mine.filter(ids.is_valid()))
+
+    return meet(dealt.join(shared, "owner").select("row", "places"), entries, SMALLER)
 
 
 def _deduplicated(docs: DataFrame, columns: list[str], schema, finish) -> DataFrame:
-    marked = docs.join(
-        repeats(docs).select(F.col("doc_id").alias("_owner"), F.col("places").alias("_places")),
-        docs["doc_id"].cast("long") == F.col("_owner"),
-        "left",
-    ).select(*columns, "_places")
+    """Texts are shuffled once, by owner: for the windows around anchors that met another, and for the cut.
+
+    What is cut is checked against the row's own windows, so rows that repeat an id with another text lose nothing
+    that only the other has. The columns of the documents are in a struct, where no name can clash.
+    """
+    owner = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    dealt = docs.select(F.struct(*columns).alias("row"), owner.alias("owner")).repartition("owner")
+    marked = dealt.join(repeats(docs, dealt), "owner", "left").select("row", "places", "keys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for whole in batches:
+            batch = pa.record_batch(whole["row"].flatten(), names=columns)
+            ids = batch["doc_id"].is_valid().to_numpy(zero_copy_only=False)
             data, offsets = utf8(batch["text"])
             for low, high in chunks(offsets):
                 base = offsets[low]
                 part = data[base : offsets[high]]
                 words = Words(part, offsets[low : high + 1] - base)
+                at, hashes = words.grams(LENGTH)
+                own = np.zeros(len(words.start), np.uint64)
+                own[at] = hashes
+                begins = np.zeros(len(words.start), bool)
+                begins[at] = True
                 raw = part.tobytes()
                 rows = []
                 for k in range(high - low):
-                    n = int(words.count[k])
-                    gone = covered(numbers(batch["_places"][low + k].as_py()), LENGTH, n)
-                    own = slice(words.first[k], words.first[k] + n)
-                    kept = [raw[a:b] for a, b in zip(words.start[own][~gone], words.end[own][~gone], strict=True)]
+                    first, n = int(words.first[k]), int(words.count[k])
+                    places, keys = numbers(whole["places"][low + k].as_py()), numbers(whole["keys"][low + k].as_py()).view(np.uint64)
+                    here = np.flatnonzero((places < n) & ids[low + k])
+                    here = here[begins[first + places[here]] & (own[first + places[here]] == keys[here])]
+                    gone = covered(places[here], LENGTH, n)
+                    mine = slice(first, first + n)
+                    kept = [raw[a:b] for a, b in zip(words.start[mine][~gone], words.end[mine][~gone], strict=True)]
                     rows.append((n, int(gone.sum()), b" ".join(kept), raw[offsets[low + k] - base : offsets[low + k + 1] - base]))
                 yield finish(batch.slice(low, high - low), rows)
 
@@ -92,8 +115,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     A passage is ``LENGTH`` consecutive words (runs of anything but ASCII white space, unchanged). Texts that lose
     words are put together again from the words kept, with one blank between them; all others, null ones
     too, stay as they are, and so do all other columns. A document that loses all of its words goes.
-    Repeated rows of one id lose nothing to each other; documents without an id neither lose nor take. Equal
-    passages are told by 64-bit hashes of their words.
+    Rows of one id lose nothing to each other, and each loses what a smaller id has of its own text; documents
+    without an id neither lose nor take. Equal passages are told by 64-bit hashes of their words.
     """
     columns = docs.columns
 
