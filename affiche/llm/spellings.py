@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +21,9 @@ from affiche.llm.shared import settled
 #: Letters are in this many groups, by code point.
 GROUPS = 13
 #: Words in a cell; cells are made deeper until none is larger, and a cell at full depth is cut into blocks.
-CELL = 50_000
+CELL = 10_000
 #: A trie node of so few words is not split further.
-LEAF = 32
+LEAF = 100
 #: Searches that go down a cell's trie together.
 ASKED = 100_000
 #: Pairs of words that are compared at once.
@@ -65,16 +66,31 @@ def vectors(words: list[str]) -> np.ndarray:
     return np.bincount(cell, minlength=len(words) * GROUPS).reshape(len(words), GROUPS)
 
 
-def one_edit(a: str, b: str) -> bool:
-    """Whether b is a with one code point inserted, deleted or replaced; equal words are not."""
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) - len(a) > 1 or a == b:
-        return False
-    k = 0
-    while k < len(a) and a[k] == b[k]:
-        k += 1
-    return a[k + 1 :] == b[k + 1 :] if len(a) == len(b) else a[k:] == b[k + 1 :]
+def letters(words: list[str]) -> np.ndarray:
+    """Code points of words of one length, a row for each."""
+    codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), -1)
+    return codes.astype(np.uint8) if codes.max(initial=0) < 256 else codes
+
+
+def one_edit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the words b (rows) are which of the words a with one code point replaced, or inserted if b are longer."""
+    size = a.shape[1]
+    if size == b.shape[1]:
+        differ = np.zeros((len(a), len(b)), np.uint8)
+        for k in range(size):
+            other = a[:, k, None] != b[None, :, k]
+            differ += other & (differ < 2)
+        return differ == 1
+    # As many letters from the front and from the back agree as a has, or more.
+    agree = np.zeros((len(a), len(b)), np.int32)
+    for order, shift in ((range(size), 0), (range(size - 1, -1, -1), 1)):
+        still = np.ones((len(a), len(b)), bool)
+        for k in order:
+            still &= a[:, k, None] == b[None, :, k + shift]
+            if not still.any():
+                break
+            agree += still
+    return agree >= size
 
 
 #: Where a search stands: as long as the word and nothing spent, the surplus spent, both spent (or the one a longer
@@ -86,7 +102,7 @@ _AFTER = np.array([[-1, EVEN, OWING], [DONE, OWING, -1], [-1, DONE, -1], [-1, LO
 
 
 class Trie:
-    """Words arranged by the counts of their letter groups from a level on: sorted, a node is a run of rows.
+    """Words of one length, arranged by the counts of their letter groups: sorted, a node is a run of rows.
 
     ``levels`` says which group is looked at first, second and so on; the words agree before ``level``.
     """
@@ -95,22 +111,22 @@ class Trie:
         self.level, self.levels = level, levels
         counts = vectors(words)[:, levels]
         self.place = np.lexsort(counts.T[::-1])
-        self.words = [words[k] for k in self.place]
-        self.narrow = np.int8 if counts.max(initial=0) < 63 else np.int32
-        self.counts = counts[self.place].astype(self.narrow)
+        self.counts = counts[self.place].astype(np.int32)
+        self.letters = letters(words)[self.place]
 
     def search(self, words: list[str], state: np.ndarray) -> Iterator[tuple[int, int]]:
-        """Pairs (number of a searched word, number of a trie word) one edit apart; words alike in all groups by order."""
-        wanted = vectors(words)[:, self.levels]
-        wide = wanted.max(initial=0) >= 63
-        counts, wanted = (self.counts.astype(np.int32), wanted) if wide else (self.counts, wanted.astype(self.narrow))
-        stack = [(0, len(self.words), self.level, np.arange(len(words)), state.astype(np.int8))]
+        """Pairs (number of a searched word, number of a trie word) one edit apart; searched words are of one length too."""
+        wanted, own_letters = vectors(words)[:, self.levels].astype(np.int32), letters(words)
+        stack = [(0, len(self.place), self.level, np.arange(len(words)), state.astype(np.int8))]
         while stack:
             low, high, level, who, at = stack.pop()
             if high - low <= LEAF or level == GROUPS:
-                yield from self.leaf(counts[low:high, level:], low, words, wanted[who, level:], who, at)
+                rows = max(1, PAIRS // (high - low))
+                for first in range(0, len(who), rows):
+                    part = slice(first, first + rows)
+                    yield from self.leaf(low, high, level, own_letters[who[part]], wanted, who[part], at[part])
                 continue
-            column, own = counts[low:high, level], wanted[who, level]
+            column, own = self.counts[low:high, level], wanted[who, level]
             cuts = [0, *(np.flatnonzero(np.diff(column)) + 1).tolist(), high - low]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 step = column[a] - own
@@ -120,26 +136,15 @@ class Trie:
                 if len(on):
                     stack.append((low + a, low + b, level + 1, who[on], after[after >= 0]))
 
-    def leaf(self, counts, low: int, words, wanted, who, at) -> Iterator[tuple[int, int]]:
-        """Spends what is left of the budget on the remaining groups, then compares the words themselves."""
-        rows = max(1, PAIRS // max(1, counts.size))
-        for first in range(0, len(who), rows):
-            part = slice(first, first + rows)
-            step = counts[None, :, :] - wanted[part][:, None, :]
-            much, little = (step > 0).sum(axis=2, dtype=np.int8), (step < 0).sum(axis=2, dtype=np.int8)
-            state = at[part, None]
-            fits = (much <= ((state == EVEN) | (state == LONGER))) & (little <= ((state == EVEN) | (state == OWING)))
-            q, w = np.nonzero(fits)
-            step = step[q, w]
-            fine = (np.abs(step) <= 1).all(axis=1)
-            both = (state[q, 0] == EVEN) & (much[q, w] > 0)
-            if both.any():
-                fine &= ~both | ((step == 1).argmax(axis=1) < (step == -1).argmax(axis=1))
-            alike = (state[q, 0] == EVEN) & ~both
-            for asked, k, by_order in zip(who[part][q[fine]].tolist(), w[fine].tolist(), alike[fine].tolist(), strict=True):
-                mine, other = words[asked], self.words[low + k]
-                if (not by_order or mine < other) and one_edit(mine, other):
-                    yield asked, int(self.place[low + k])
+    def leaf(self, low: int, high: int, level: int, mine: np.ndarray, wanted: np.ndarray, who: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Compares the words themselves. Of words as long as the search that have spent nothing, one of the two has
+        the surplus first among the levels left, or comes first by its letters: that one reports the pair."""
+        for q, w in zip(*(x.tolist() for x in np.nonzero(one_edit(mine, self.letters[low:high]))), strict=True):
+            if at[q] == EVEN:
+                own, other = (*wanted[who[q], level:], *mine[q]), (*self.counts[low + w, level:], *self.letters[low + w])
+                if own > other:
+                    continue
+            yield int(who[q]), int(self.place[low + w])
 
 
 def cell_keys(sizes: np.ndarray, counts: np.ndarray) -> list[bytes]:
@@ -231,12 +236,14 @@ def near_words(words: DataFrame) -> DataFrame:
         if here.num_rows and asked.num_rows:
             spelled, n = here["word"].to_pylist(), here["n"].to_pylist()
             trie = Trie(spelled, levels, depth)
-            for first in range(0, asked.num_rows, ASKED):
-                part = asked.slice(first, ASKED)
-                other, m = part["word"].to_pylist(), part["n"].to_pylist()
-                for a, b in trie.search(other, part["state"].to_numpy()):
-                    out.append((other[a], spelled[b], n[b]))
-                    out.append((spelled[b], other[a], m[a]))
+            as_long = pc.equal(pc.utf8_length(asked["word"]), len(spelled[0]))
+            for group in (asked.filter(as_long), asked.filter(pc.invert(as_long))):
+                for first in range(0, group.num_rows, ASKED):
+                    part = group.slice(first, ASKED)
+                    other, m = part["word"].to_pylist(), part["n"].to_pylist()
+                    for a, b in trie.search(other, part["state"].to_numpy()):
+                        out.append((other[a], spelled[b], n[b]))
+                        out.append((spelled[b], other[a], m[a]))
         columns = list(zip(*out, strict=True)) or [(), (), ()]
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["word", "near", "near_n"])
 
