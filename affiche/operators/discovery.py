@@ -59,31 +59,51 @@ def with_fallback(seeds: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def discover(
-    sites: DataFrame,
+def site_urls(sites: DataFrame) -> DataFrame:
+    """(seed): the URL of each site once, written, so that Spark knows their size and broadcasts them if they are
+    small, however the site table came about."""
+    return written(sites.select(F.col("url").alias("seed")).distinct())
+
+
+def agenda_candidates(
+    seeds: DataFrame,
     pages: DataFrame,
     sitemaps: DataFrame | None = None,
-    max_pages: int | None = lexicon.MAX_PAGES_PER_SITE,
+    max_pages: int | None = None,
     sitemap_levels: int = 1,
 ) -> DataFrame:
-    """(seed, page_url): at most ``max_pages`` agenda pages per site URL, the first by URL; all with ``None``.
+    """(seed, page_url): agenda pages that site pages and sitemaps lead to, before any are cut.
 
-    The site URLs are written, so that Spark knows their size and broadcasts them if they are small, however
-    the site table came about. Only site pages are parsed here. Sitemap pages are cut to ``max_pages`` per sitemap before
-    they meet the sites: the first ones of a union lie within the first ones of its parts,
-    and a host shared by many sites is not multiplied by its whole sitemap.
+    With ``max_pages`` sitemap pages are cut to that many per sitemap before they meet the sites.
     """
-    seeds = written(sites.select(F.col("url").alias("seed")).distinct())
     site_pages = pages.join(seeds.select(F.col("seed").alias("url")), "url", "left_semi")
     found = (
         agenda_links(nav_links(site_pages))
         .select(F.col("url").alias("seed"), F.col("link_url").alias("page_url"))
         .distinct()
     )
-    if sitemaps is not None:
-        rooted = seeds.withColumn("root", sitemap_url(F.col("seed")))
-        listed = cap_pages(sitemap_pages(sitemaps, rooted, max_pages, sitemap_levels), "root", n=max_pages)
-        found = found.union(rooted.join(listed, "root").select("seed", "page_url")).distinct()
+    if sitemaps is None:
+        return found
+    rooted = seeds.withColumn("root", sitemap_url(F.col("seed")))
+    listed = cap_pages(sitemap_pages(sitemaps, rooted, max_pages, sitemap_levels), "root", n=max_pages)
+    return found.union(rooted.join(listed, "root").select("seed", "page_url")).distinct()
+
+
+def discover(
+    sites: DataFrame,
+    pages: DataFrame,
+    sitemaps: DataFrame | None = None,
+    max_pages: int | None = lexicon.MAX_PAGES_PER_SITE,
+    sitemap_levels: int = 1,
+) -> DataFrame:
+    """(seed, page_url): at most ``max_pages`` agenda pages per site URL, the first by URL; all with ``None``.
+
+    Only site pages are parsed here. Sitemap pages are cut to ``max_pages`` per sitemap before
+    they meet the sites: the first ones of a union lie within the first ones of its parts,
+    and a host shared by many sites is not multiplied by its whole sitemap.
+    """
+    seeds = site_urls(sites)
+    found = agenda_candidates(seeds, pages, sitemaps, max_pages, sitemap_levels)
     return with_fallback(seeds, cap_pages(found, "seed", n=max_pages))
 
 

@@ -44,6 +44,11 @@ def read_store(spark: SparkSession, path: str, version: int | None = None) -> Da
     return _rows(spark, path, manifest.read(spark, path, version).loads)
 
 
+def read_load(spark: SparkSession, path: str, load_id: str) -> DataFrame:
+    """What one load added; a load that was merged with others comes with theirs."""
+    return _rows(spark, path, [load for load in manifest.read(spark, path).loads if load_id in load.load_ids])
+
+
 def _rows(spark: SparkSession, path: str, loads: tuple[Load, ...] | list[Load]) -> DataFrame:
     held = [load for load in loads if load.rows]
     if not held:

@@ -580,3 +580,24 @@ ORACLES["site_registry"] = f"""SELECT category, city, url, category_ord, city_or
   FROM (VALUES {_SITES}) s(category, city, url, category_ord, city_ord)
   LEFT JOIN (SELECT o_orderkey % {sum(map(len, SITES.values()))} AS place, count(*) AS orders FROM orders GROUP BY 1) d
     ON d.place = category_ord * {len(CITIES)} + city_ord"""
+ORACLES["ranked_page"] = A + f"""SELECT id, title, event_date, event_time FROM activities ORDER BY {_IN_ORDER} LIMIT 100 OFFSET 10000"""
+_UNIQUE = f"""(SELECT *, row_number() OVER (PARTITION BY {stripped("lower(title)")}, city, category
+  ORDER BY category_ord, city_ord, url, place) AS rn FROM found"""
+ORACLES["load_counts"] = f"WITH {LISTINGS}, {DISCOVERED}, {ITEMS}, " + classified("items", DATE_AS_OF) + f""",
+  candidates AS (SELECT seed, page_url FROM ({ORACLES["discover_with_sitemaps"]}) w WHERE NOT ends_with(page_url, '/accueil')),
+  counted AS (SELECT row_id, l.category, l.city, (SELECT count(*) FROM candidates c
+      WHERE c.seed = 'https://s' || row_id || '.example/accueil') AS n,
+    row_id % 5 <= 2 AND row_id % 11 <> 0 AND row_id % 13 <> 0 AS readable FROM listings l),
+  found AS (SELECT e.*, l.category, l.city, CAST(e.page_id % 3 AS INTEGER) AS category_ord,
+      CAST(regexp_extract(l.city, '[0-9]+') AS INTEGER) AS city_ord
+    FROM events e JOIN discovered d ON d.page_url = e.url JOIN listings l ON l.row_id = d.row_id
+    WHERE e.page_id % 11 <> 0 AND e.page_id % 13 <> 0),
+  first_load AS (SELECT * FROM {_UNIQUE} WHERE page_id % 2 = 0) q WHERE rn = 1),
+  kept AS (SELECT *, event_date IS NULL OR NOT EXISTS (SELECT 1 FROM first_load f WHERE f.title = q.title
+    AND f.event_date = q.event_date AND f.city = q.city AND f.url = q.url) AS new FROM {_UNIQUE}) q WHERE rn = 1),
+  per_site AS (SELECT category, city, count(*) AS sites, CAST(sum(least(n, 2)) AS BIGINT) AS pages,
+    CAST(sum(greatest(n - 2, 0)) AS BIGINT) AS cut, CAST(sum(least(n, 2) - CAST(readable AS INTEGER)) AS BIGINT) AS unreadable
+    FROM counted GROUP BY 1, 2)
+  SELECT p.*, coalesce(f.n, 0) AS found, coalesce(u.n, 0) AS "unique", coalesce(u.new, 0) AS stored FROM per_site p
+  LEFT JOIN (SELECT category, city, count(*) AS n FROM found GROUP BY 1, 2) f USING (category, city)
+  LEFT JOIN (SELECT category, city, count(*) AS n, count(*) FILTER (new) AS new FROM kept GROUP BY 1, 2) u USING (category, city)"""

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affiche.functions import classify, display, text, urls
-from affiche.operators import blocks, dedup, discovery, filters, links, paging, rollups
-from affiche.plans import build, crawl
+from affiche.operators import blocks, dedup, discovery, filters, links, paging, ranks, rollups
+from affiche.plans import build, crawl, report
+from affiche.plans.load import load_activities
 from affiche.schema import NEW_ACTIVITY
 from affiche.sources import pages as page_source
 from affiche.sources import registry, settle, snapshots, store
@@ -688,6 +689,28 @@ def store_is_empty(spark, sf_dir):
     return spark.createDataFrame(seen, "after string, is_empty boolean")
 
 
+@query
+def ranked_page(spark, sf_dir):
+    """A page far down, from rows kept in reading order with the rank of each file."""
+    path = scratch(spark)
+    ranks.rank_rows(views.activities(spark, sf_dir).select("id", "title", "event_date", "event_time"), path, files=64)
+    return ranks.ranked_page(spark, path, page=101, per_page=100)
+
+
+@query
+def load_counts(spark, sf_dir):
+    """The report of a load: agenda pages that failed or have no HTML, sites with more pages than are read, and
+    a store in which the events of every other site lie already."""
+    path = scratch(spark)
+    entry, agenda = views.entry_pages(spark, sf_dir), views.agenda_pages(spark, sf_dir)
+    key = F.col("page_id")
+    agenda = agenda.withColumn("html", F.when(key % 11 != 0, F.col("html"))).withColumn("status", F.when(key % 13 == 0, 404).otherwise(200))
+    pages = agenda.union(entry.withColumn("status", F.lit(200)))
+    sites, sitemaps = views.order_sites(spark, sf_dir), views.sitemaps(spark, sf_dir)
+    load_activities(pages.filter((key < 0) | (key % 2 == 0)), sites, path, "first", DATE_AS_OF)
+    return report.load_with_report(pages, sites, path, "second", DATE_AS_OF, sitemaps, max_pages=2)
+
+
 @query
 def site_registry(spark, sf_dir):
     """Every configured site, with the orders that fall to it when they are dealt over all sites in turn."""
