@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affiche.llm.meet import ANY, Entries, meet, numbers, with_owner
+from affiche.llm.meet import ANY, Entries, meet, numbers
 from affiche.llm.shared import partitions, settled
 from affiche.llm.text import VALUES, chunks, covered, mix, powers, utf8
 
@@ -77,10 +77,10 @@ def contexts(rows: DataFrame, left_out: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch["text"])
+            data, offsets = utf8(text_of(batch))
             out: list[tuple[int, int, int, bytes]] = []
             held = 0
-            for row, owner in enumerate(batch["doc_id"].to_pylist()):
+            for row, owner in enumerate(batch["owner"].to_pylist()):
                 text = data[offsets[row] : offsets[row + 1]]
                 keys, at = numbers(batch["keys"][row].as_py()), numbers(batch["places"][row].as_py())
                 kept = ~np.isin(keys, sent.value) & (at + GRAM <= len(text))
@@ -266,8 +266,8 @@ def window_entries(often: np.ndarray):
     """Hashes of all strings of ``LENGTH`` bytes over the given fingerprints."""
 
     def entries(batch: pa.RecordBatch) -> Iterator[Entries]:
-        data, offsets = utf8(batch["text"])
-        for row, owner in enumerate(batch["doc_id"].to_pylist()):
+        data, offsets = utf8(text_of(batch))
+        for row, owner in enumerate(batch["owner"].to_pylist()):
             text = data[offsets[row] : offsets[row + 1]]
             at = numbers(batch["places"][row].as_py())[np.isin(numbers(batch["keys"][row].as_py()), often)]
             hashes = rolling(text, LENGTH)
@@ -280,12 +280,27 @@ def window_entries(often: np.ndarray):
     return entries
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, first, last: where strings of ``LENGTH`` bytes start that start elsewhere too, in runs of places."""
-    rows = with_owner(docs)
-    shared = settled(meet(rows, fingerprints, ANY).withColumnRenamed("owner", "doc_id"), "fingerprints")
+def owner_of() -> Column:
+    """What a row's places go under: the hash of id and text, so rows that repeat an id are told apart by their texts
+    and rows without an id count like any other."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+
+
+def text_of(batch: pa.RecordBatch) -> pa.Array:
+    row = batch["row"]
+    return row.flatten()[row.type.get_field_index("text")]
+
+
+def repeats(docs: DataFrame, dealt: DataFrame) -> DataFrame:
+    """doc_id (the owner), first, last: where strings of ``LENGTH`` bytes start that start elsewhere too, in runs of places.
+
+    ``dealt`` are the documents once more (``row``), shuffled by ``owner``.
+    """
+    rows = docs.select(owner_of().alias("doc_id"), "text")
+    shared = settled(meet(rows, fingerprints, ANY), "fingerprints")
     often = frequent(shared)
-    near = rows.join(shared, "doc_id")
+    # The whole row goes along, so that this shuffle of the texts and the one of the cut are one and the same.
+    near = dealt.join(shared, "owner").select("owner", "row", "places", "keys")
     groups = contexts(near, often).withColumn("part", F.pmod("key", F.lit(4 * partitions(docs.sparkSession))).cast("int"))
     out = groups.groupBy("part").applyInArrow(marked, "doc_id long, first long, last long")
     if not len(often):
@@ -316,42 +331,36 @@ def removed(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
 
 
 def _cut(docs: DataFrame, columns: list[str], schema, finish) -> DataFrame:
-    spans = repeats(docs).groupBy("doc_id").agg(F.collect_list("first").alias("_first"), F.collect_list("last").alias("_last"))
-    rows = docs.join(spans.withColumnRenamed("doc_id", "_owner"), docs["doc_id"].cast("long") == F.col("_owner"), "left")
+    """The columns of the documents are in a struct on the way, where no name can clash."""
+    dealt = docs.select(F.struct(*columns).alias("row"), owner_of().alias("owner")).repartition("owner")
+    spans = repeats(docs, dealt).groupBy(F.col("doc_id").alias("owner")).agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for whole in batches:
+            batch = pa.record_batch(whole["row"].flatten(), names=columns)
             data, offsets = utf8(batch["text"])
             for low, high in chunks(offsets, 4 << 20):
                 found = []
                 for row in range(low, high):
                     text = data[offsets[row] : offsets[row + 1]]
-                    a, b = (np.array(batch[c][row].as_py() or [], np.int64) for c in ("_first", "_last"))
-                    gone = removed(a, b, len(text))
-                    n_spans = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
-                    found.append((len(text), int(gone.sum()), n_spans, text[~gone].tobytes()))
+                    own = whole["spans"][row].as_py() or []
+                    a, b = (np.array([x[c] for x in own], np.int64) for c in ("first", "last"))
+                    found.append((text, removed(a, b, len(text))))
                 yield finish(batch.slice(low, high - low), found)
 
-    return rows.select(*columns, "_first", "_last").mapInArrow(run, schema)
+    return dealt.join(spans, "owner", "left").select("row", "spans").mapInArrow(run, schema)
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, first and end: the maximal runs of bytes to remove, one row each."""
-    held = repeats(docs).groupBy("doc_id").agg(F.collect_list("first").alias("f"), F.collect_list("last").alias("l"))
+    """doc_id, first and end: the maximal runs of bytes to remove of every row of the documents, one row each."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            owners, starts, ends = [], [], []
-            for owner, f, l in zip(*(batch[c].to_pylist() for c in ("doc_id", "f", "l")), strict=True):
-                at = np.array(l, np.int64) + LENGTH
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], removed(np.array(f, np.int64), np.array(l, np.int64), int(at.max())), [0]]).astype(np.int8)))
-                starts.append(edges[::2])
-                ends.append(edges[1::2])
-                owners.append(np.full(len(edges) // 2, owner, np.int64))
-            if owners:
-                yield pa.record_batch([pa.array(np.concatenate(c)) for c in (owners, starts, ends)], names=["doc_id", "first", "end"])
+    def finish(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+        edges = [np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]]).astype(np.int8))) for _, gone in found]
+        ids = batch["doc_id"].cast(pa.int64()).take(pa.array(np.repeat(np.arange(len(edges)), [len(e) // 2 for e in edges])))
+        places = np.concatenate([*edges, np.zeros(0, np.int64)]).astype(np.int64)
+        return pa.record_batch([ids, pa.array(places[::2]), pa.array(places[1::2])], names=["doc_id", "first", "end"])
 
-    return held.mapInArrow(run, "doc_id long, first long, end long")
+    return _cut(docs, ["doc_id", "text"], "doc_id long, first long, end long", finish)
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -359,8 +368,9 @@ def digests(docs: DataFrame) -> DataFrame:
 
     Removed is each byte of the UTF-8 text that lies in a string of ``LENGTH`` bytes that also starts anywhere
     else, in the same document too; strings may overlap and never cross documents. Null text is empty. Of rows
-    that repeat an id with the same text, each is found in the other. Documents without an id neither lose
-    bytes nor count as another place.
+    that repeat an id with the same text, each is found in the other; rows that repeat an id with another text
+    lose what they share with any row and no more. Rows without an id lose and count like any other. Rows are told
+    apart by 64-bit hashes of id and text.
 
     Two such strings have a winnowed fingerprint at the same place, so the surroundings of fingerprints that met
     another hold them all. Those of one fingerprint meet in one task, equal ones once; a run-length index
@@ -372,8 +382,10 @@ def digests(docs: DataFrame) -> DataFrame:
         return pa.record_batch(
             [
                 batch["doc_id"].cast(pa.int64()),
-                *[pa.array([f[k] for f in found], pa.int64()) for k in range(3)],
-                pa.array([hashlib.sha256(f[3]).hexdigest() for f in found], pa.string()),
+                pa.array([len(text) for text, _ in found], pa.int64()),
+                pa.array([int(gone.sum()) for _, gone in found], pa.int64()),
+                pa.array([int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()) for _, gone in found], pa.int64()),
+                pa.array([hashlib.sha256(text[~gone].tobytes()).hexdigest() for text, gone in found], pa.string()),
             ],
             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
         )

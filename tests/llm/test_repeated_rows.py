@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from affiche.llm import language, packing, passages
+from affiche.llm import language, long_repeats, packing, passages
 from tests.llm import brute
 from tests.llm.tables import CLASHING, documents
 
@@ -82,3 +82,19 @@ def test_brute_force_passages_with_null_and_repeated_rows(spark):
         others = [(k, x) for k, x in rows if k < i]
         want.append((i, *brute.passages([*((k - 1000, x) for k, x in others), (i, t)])[i]))
     assert got == sorted(want)
+
+
+def test_long_repeats_of_rows_that_share_an_id(spark):
+    """Unique texts stay whole whatever else their id holds; rows without an id count as another place."""
+    c, d, e = (prose(20 + k, 200) for k in range(3))
+    rows = [(5, c), (5, d), (6, c), (None, e), (7, "x" + e), (8, d[:300]), (9, A), (9, A), (None, None)]
+    got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in long_repeats.digests(documents(spark, rows, CLASHING)).collect()), key=repr)
+    n, m, k = len(c), len(d), len(e)
+    want = [(5, n, n), (5, m, 0), (6, n, n), (None, k, k), (7, k + 1, k), (8, 300, 0), (9, len(A), len(A)), (9, len(A), len(A)), (None, 0, 0)]
+    assert got == sorted(want, key=repr)
+
+
+def test_texts_of_long_repeats_are_shuffled_once(spark, plan_of):
+    out = long_repeats.digests(documents(spark, [(k, A + " " + prose(k, 50)) for k in range(30)]))
+    out.collect()
+    assert "ReusedExchange" in plan_of(out).split("== Initial Plan ==")[0]
