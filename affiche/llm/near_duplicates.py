@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from affiche.llm.components import components
 from affiche.llm.meet import OTHER, Entries, meet
-from affiche.llm.shared import settled
+from affiche.llm.shared import settled, unused
 from affiche.llm.text import Words, chunks, utf8
 
 #: Words in a shingle; two sets link when SHARE_TOP * union <= SHARE_OF * intersection.
@@ -345,9 +345,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Documents without an id stay. Of rows that repeat an id, the first by text stays if the id does.
     """
-    kept = joined(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, docs["doc_id"].cast("long") == F.col("_kept"), "left")
+    _kept, _rank = unused("kept", docs.columns), unused("rank", docs.columns)
+    kept = joined(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(_kept)).distinct()
+    rows = docs.join(kept, docs["doc_id"].cast("long") == F.col(_kept), "left")
     first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
     unnamed = rows.where(F.col("doc_id").isNull()).select(*docs.columns)
-    named = rows.where(F.col("_kept").isNotNull()).withColumn("_rank", F.row_number().over(first))
-    return named.where(F.col("_rank") == 1).select(*docs.columns).union(unnamed)
+    named = rows.where(F.col(_kept).isNotNull()).withColumn(_rank, F.row_number().over(first))
+    return named.where(F.col(_rank) == 1).select(*docs.columns).union(unnamed)

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affiche.llm.shared import SPACES, settled, text_or_empty
+from affiche.llm.shared import SPACES, settled, text_or_empty, unused
 
 SYMBOLS = "[#*$%&|<>]"
 #: What the rules may look at, each worked out from the statistics of ``with_statistics``.
@@ -29,35 +29,36 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     trimmed = F.btrim(text, F.lit(SPACES))
     lines = F.filter(F.split(text, "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     left = [c for c in docs.columns if c not in STATISTICS]
+    _words, _lines, _windows = (unused(c, left) for c in ("words", "lines", "windows"))
     words = docs.select(
         *left,
         F.when(trimmed == "", F.array().cast("array<string>"))
         .otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
-        .alias("_words"),
+        .alias(_words),
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         F.regexp_count(text, F.lit("[A-Z]")).cast("long").alias("n_upper"),
-        lines.alias("_lines"),
+        lines.alias(_lines),
     )
-    n = F.greatest(F.size("_words") - 2, F.lit(0))
+    n = F.greatest(F.size(_words) - 2, F.lit(0))
     windows = F.zip_with(
-        F.zip_with(F.slice("_words", 1, n), F.slice("_words", 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
-        F.slice("_words", 3, n),
+        F.zip_with(F.slice(_words, 1, n), F.slice(_words, 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
+        F.slice(_words, 3, n),
         lambda ab, c: F.xxhash64(ab["a"], ab["b"], c),
     )
     sorted_windows = words.select(
         *left,
-        F.size("_words").cast("long").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        F.size(_words).cast("long").alias("n_words"),
+        F.length(F.array_join(_words, "")).cast("long").alias("word_chars"),
         "n_symbols",
         "n_upper",
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.sort_array(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i")))).alias("_windows"),
+        F.size(_lines).cast("long").alias("n_lines"),
+        (F.size(_lines) - F.size(F.array_distinct(_lines))).cast("long").alias("n_dup_lines"),
+        F.sort_array(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i")))).alias(_windows),
     )
-    m = F.greatest(F.size("_windows") - 1, F.lit(0))
+    m = F.greatest(F.size(_windows) - 1, F.lit(0))
     places = F.zip_with(
-        F.slice("_windows", 1, m),
-        F.slice("_windows", 2, m),
+        F.slice(_windows, 1, m),
+        F.slice(_windows, 2, m),
         lambda a, b: F.when(a["w"] == b["w"], F.array(*[x["i"] + k for x in (a, b) for k in range(3)])).otherwise(
             F.array().cast("array<int>")
         ),
@@ -239,6 +240,9 @@ def pruned(rows: DataFrame, tests: tuple[Test, ...], precision: float, least: in
 
 
 def judged(docs: DataFrame, rules: DecisionList) -> DataFrame:
-    """Every document with its statistics, ``base_failed``, the ``rule`` that rejects it and ``kept``."""
+    """Every document with its statistics, ``base_failed``, the ``rule`` that rejects it and ``kept``.
+
+    Columns of these names are replaced, all others come through. Rows that repeat an id are judged each for itself.
+    """
     out = with_statistics(docs).withColumn("base_failed", base_failed())
     return out.withColumn("rule", rules.rule()).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from affiche.llm.shared import partitions, settled, text_or_empty
+from affiche.llm.shared import partitions, settled, text_or_empty, unused
 
 ROUNDS = 6
 
@@ -50,23 +50,24 @@ def numbered(df: DataFrame, order: list[str], name: str = "row_number") -> DataF
     each row's place keeps rows that are alike in every ``order`` column from meeting in one partition.
     """
     spark = df.sparkSession
-    keyed = df.withColumn("_tie", F.monotonically_increasing_id())
-    columns = [*order, "_tie"]
+    _tie, _part, _place, _n = (unused(c, [*df.columns, name]) for c in ("tie", "part", "place", "n"))
+    keyed = df.withColumn(_tie, F.monotonically_increasing_id())
+    columns = [*order, _tie]
     dealt = keyed.repartitionByRange(max(partitions(spark), 1), *columns).sortWithinPartitions(*columns)
     dealt = settled(
-        dealt.withColumn("_part", F.spark_partition_id())
-        .withColumn("_place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-        .drop("_tie"),
+        dealt.withColumn(_part, F.spark_partition_id())
+        .withColumn(_place, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+        .drop(_tie),
         "numbered",
     )
-    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n")).collect()  # one row a partition
+    sizes = dealt.groupBy(_part).agg(F.count("*").alias(_n)).collect()  # one row a partition
     starts, total = {}, 0
-    for part, n in sorted((r["_part"], r["_n"]) for r in sizes):
+    for part, n in sorted((r[_part], r[_n]) for r in sizes):
         starts[part] = total
         total += n
     before = F.create_map(*[F.lit(x) for k, v in starts.items() for x in (k, v)]) if starts else None
-    number = F.col("_place") + (before[F.col("_part")] if starts else F.lit(0))
-    return dealt.withColumn(name, number.cast("long")).drop("_part", "_place")
+    number = F.col(_place) + (before[F.col(_part)] if starts else F.lit(0))
+    return dealt.withColumn(name, number.cast("long")).drop(_part, _place)
 
 
 def shard(df: DataFrame, shards: int = 16, seed: int = 0, order: list[str] | None = None) -> DataFrame:
@@ -76,10 +77,12 @@ def shard(df: DataFrame, shards: int = 16, seed: int = 0, order: list[str] | Non
     So shards differ by one row at most, slots have no gap, and where a row went can be computed from its
     number and the number of rows alone. ``order`` (all columns by default, nulls first) numbers the rows;
     rows alike in all of them are interchangeable. An empty table gives no rows. Columns named ``shard`` or
-    ``slot`` are replaced.
+    ``slot`` are replaced, all others come through.
     """
     order = order or df.columns
-    rows = numbered(df.drop("shard", "slot"), [c for c in order if c not in ("shard", "slot")], "_row")
+    _row = unused("row", df.columns)
+    _to = unused("to", [*df.columns, _row])
+    rows = numbered(df.drop("shard", "slot"), [c for c in order if c not in ("shard", "slot")], _row)
     total = rows.agg(F.count("*")).first()[0]
 
     def place(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -87,11 +90,11 @@ def shard(df: DataFrame, shards: int = 16, seed: int = 0, order: list[str] | Non
             yield pd.Series(permuted(numbers.to_numpy(), total, seed))
 
     place_of = F.pandas_udf(place, T.LongType())
-    placed = rows.withColumn("_to", place_of("_row"))
+    placed = rows.withColumn(_to, place_of(_row))
     return (
-        placed.withColumn("shard", (F.col("_to") % shards).cast("int"))
-        .withColumn("slot", F.floor(F.col("_to") / shards).cast("long"))
-        .drop("_row", "_to")
+        placed.withColumn("shard", (F.col(_to) % shards).cast("int"))
+        .withColumn("slot", F.floor(F.col(_to) / shards).cast("long"))
+        .drop(_row, _to)
     )
 
 
