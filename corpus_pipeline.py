@@ -24,7 +24,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that neither the base rules nor the learned rules reject."""
     learned = rules.learn(docs, table(spark, sf_dir, "labels"))
-    return rules.judged(docs, learned).where("kept").select(docs.columns)
+    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("document"))
+    return rules.judged(whole, learned).where("kept").select("document.*")
 
 
 def near_duplicate_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
