@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,10 +12,11 @@ from affiche.functions import lexicon
 from affiche.functions.urls import is_sub_sitemap, path_matches_agenda
 from affiche.operators.dedup import first_per
 from affiche.operators.links import agenda_links, nav_links
+from affiche.sources import manifest
 from affiche.sources.pages import sitemap_locations, sitemap_url
 from affiche.sources.settle import written
 
-AGENDA = "seed string, page_url string, seen_at timestamp"
+AGENDA = "seed string, page_url string"
 
 
 def sitemap_pages(sitemaps: DataFrame, roots: DataFrame, n: int | None = None, levels: int = 1) -> DataFrame:
@@ -117,17 +121,23 @@ def known_agenda(
 ) -> DataFrame:
     """(seed, page_url): agenda pages of each site, from its site page now or from the last one seen before.
 
-    What the site pages of this load lead to is kept under ``path``, one folder per load; a load that is run
-    again writes its own folder anew and does not read it. A site whose page is among ``pages`` goes by that page alone.
+    The agenda of all sites so far is kept under ``path``, written anew by each load and listed like the loads of a
+    store (``manifest``), so a load reads one folder however many there were. A load that is run again starts from
+    what was known before it. A site whose page is among ``pages`` goes by that page alone.
     """
     spark = pages.sparkSession
     now = written(discover(sites, pages, sitemaps, max_pages))
     seen = pages.select(F.col("url").alias("seed")).join(sites.select(F.col("url").alias("seed")), "seed", "left_semi")
     seen = written(seen.distinct())
-    kept = now.join(seen, "seed", "left_semi").withColumn("seen_at", F.current_timestamp())
-    kept.write.mode("overwrite").parquet(f"{path}/load_id={load_id}")
-    stored = spark.read.schema(f"{AGENDA}, load_id string").parquet(path).filter(F.col("load_id") != load_id)
-    last = stored.groupBy("seed").agg(F.max("seen_at").alias("seen_at"))
-    before = stored.join(last, ["seed", "seen_at"]).join(seen, "seed", "left_anti").select("seed", "page_url")
+    number = (manifest.numbers(spark, path) or [0])[-1]
+    loads = list(manifest.read(spark, path).loads) if number else []
+    earlier = [load for load in loads if load_id not in load.load_ids]
+    before = spark.createDataFrame([], AGENDA)
+    if earlier:
+        before = spark.read.schema(AGENDA).parquet(f"{path}/rows/{earlier[-1].folder}").join(seen, "seed", "left_anti")
+    folder = f"{quote(load_id, safe='')}-{uuid.uuid4().hex[:12]}"
+    now.join(seen, "seed", "left_semi").union(before).write.parquet(f"{path}/rows/{folder}")
+    # The two newest are enough: one to start from, one to start from when the newest load is run again.
+    manifest.publish(spark, path, number + 1, [*earlier, manifest.Load(folder, (load_id,), 0, 0)][-2:])
     # Capped once more: a site without its page may still have pages from a sitemap.
     return written(cap_pages(now.union(before).distinct(), "seed", n=max_pages))
