@@ -103,6 +103,24 @@ def page_links(pages: DataFrame, partitions: int | None = None) -> DataFrame:
     return facts.select("page_id", "url", F.inline("links"))
 
 
+def links_function():
+    """``page_links(url, html)`` for SQL: the links of one page as a table, to be used with LATERAL.
+
+    A page without HTML, and one that the reader gives up on, has no links.
+    """
+    rules, read_page = _RULES, markup.read_page
+
+    class PageLinks:
+        def eval(self, url: str, html: str):
+            try:
+                links = read_page(url or "", html or "", rules).links
+            except Exception:  # as in ``unreadable``, which names such pages
+                links = []
+            yield from links
+
+    return F.udtf(PageLinks, returnType=LINK.removeprefix("struct<").removesuffix(">").replace(":", " "), useArrow=True)
+
+
 def page_blocks(pages: DataFrame) -> DataFrame:
     """(page_id, url, pieces, paras, blocks, error): one row per page, text held once."""
     return _read(pages, links=False)

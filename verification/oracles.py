@@ -601,3 +601,6 @@ ORACLES["load_counts"] = f"WITH {LISTINGS}, {DISCOVERED}, {ITEMS}, " + classifie
   SELECT p.*, coalesce(f.n, 0) AS found, coalesce(u.n, 0) AS "unique", coalesce(u.new, 0) AS stored FROM per_site p
   LEFT JOIN (SELECT category, city, count(*) AS n FROM found GROUP BY 1, 2) f USING (category, city)
   LEFT JOIN (SELECT category, city, count(*) AS n, count(*) FILTER (new) AS new FROM kept GROUP BY 1, 2) u USING (category, city)"""
+ORACLES["classify_in_sql"] = ORACLES["classify_pipeline"]
+ORACLES["links_in_sql"] = f"""WITH {LINKS}, cut AS (SELECT *, {_HOST.replace("url", "link_url")} AS link_host, {_HOST} AS page_host FROM links)
+  SELECT page_id, link_ix, link_url, text, 0 AS zone, link_host, link_host = page_host AS same_site FROM cut"""

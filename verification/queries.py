@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affiche.functions import classify, display, text, urls
+from affiche.functions import classify, display, in_sql, text, urls
 from affiche.operators import blocks, dedup, discovery, filters, links, paging, ranks, rollups
 from affiche.plans import build, crawl, report
 from affiche.plans.load import load_activities
@@ -312,6 +312,24 @@ def classify_pipeline(spark, sf_dir):
     )
 
 
+@query
+def classify_in_sql(spark, sf_dir):
+    """``classify_pipeline`` as one SQL statement over the registered functions."""
+    in_sql.register(spark, DATE_AS_OF)
+    return spark.sql(
+        """WITH titled AS (SELECT *, title_text(title) AS shown, matching_form(title) AS normal_title FROM {items}),
+        texts AS (SELECT *, matching_form(full_text) AS normal_text FROM titled
+          WHERE is_event_title(shown, strip_spaces(normal_title))),
+        searched AS (SELECT *, concat_ws('\n', normal_title, normal_text) AS both FROM texts),
+        events AS (SELECT *, french_date(full_text) AS event_date FROM searched
+          WHERE is_punctual(both) AND is_family(both) AND NOT is_institutional(both)),
+        coming AS (SELECT *, age_range(full_text) AS ages FROM events WHERE NOT is_past(normal_title, event_date))
+        SELECT row_id, strip_spaces(title) AS title, category, city, source_url, event_date,
+          clock_time(full_text) AS event_time, price_label(normal_text) AS price, ages.age_min, ages.age_max FROM coming""",
+        items=listings(spark, sf_dir).withColumn("full_text", views.full_text()),
+    )
+
+
 # ---------------------------------------------------------------- dedup and load
 
 
@@ -403,6 +421,17 @@ def page_links(spark, sf_dir):
     )
 
 
+@query
+def links_in_sql(spark, sf_dir):
+    """``page_links`` by the table function, with the hosts and paths that SQL functions cut from the links."""
+    in_sql.register(spark, DATE_AS_OF)
+    return spark.sql(
+        """SELECT page_id, link_ix, link_url, l.text, zone, url_host(link_url) AS link_host, is_same_site(link_url, url) AS same_site
+        FROM {pages}, LATERAL page_links(url, html) AS l WHERE is_followable(href)""",
+        pages=table(spark, sf_dir, "pages").repartition(spark.sparkContext.defaultParallelism),
+    )
+
+
 @query
 def absolute_urls(spark, sf_dir):
     base, page_id = F.col("url"), F.col("page_id").cast("string")
