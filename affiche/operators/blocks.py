@@ -125,23 +125,27 @@ def event_blocks(pages: DataFrame) -> DataFrame:
         ),
     )
 
-    def by_selectors(way: int, selectors: list[str]) -> list[Column]:
-        def hits(selector: str) -> Column:
-            return F.filter("kept", lambda b: _selector_hit(b, selector))
-
-        return [F.struct(F.lit(way).alias("way"), hits(s).alias("blocks")) for s in selectors]
-
-    shared = F.transform(F.col("best")["group"]["members"], lambda e: e["block"])
-    tries = F.array(
-        *by_selectors(SELECTOR, lexicon.BLOCK_SELECTORS),
-        F.struct(F.lit(SHARED_CLASSES).alias("way"), shared.alias("blocks")),
-        *by_selectors(FALLBACK, lexicon.FALLBACK_SELECTORS),
-    )
-    chosen = (
-        kept.withColumn("elements", element)
-        .withColumn("best", F.array_min(class_group_array(F.col("elements"))))
-        .select(*page, F.get(F.filter(tries, lambda t: F.size(t["blocks"]) >= lexicon.MIN_BLOCKS), F.lit(0)).alias("chosen"))
+    def by_selector(way: int, selector: str) -> Column:
+        hits = F.filter("kept", lambda b: _selector_hit(b, selector))
+        return F.when(F.size(hits) >= lexicon.MIN_BLOCKS, F.struct(F.lit(way).alias("way"), hits.alias("blocks")))
+
+    # Null where no classes are shared; every listed group has members enough.
+    shared = F.get(
+        F.transform(
+            F.array_compact(F.array(F.array_min(class_group_array(F.col("elements"))))),
+            lambda best: F.struct(
+                F.lit(SHARED_CLASSES).alias("way"), F.transform(best["group"]["members"], lambda e: e["block"]).alias("blocks")
+            ),
+        ),
+        F.lit(0),
     )
+    # Tried one after the other: a page whose blocks the first selector hits is not searched for the others.
+    tries = [
+        *[by_selector(SELECTOR, s) for s in lexicon.BLOCK_SELECTORS],
+        shared,
+        *[by_selector(FALLBACK, s) for s in lexicon.FALLBACK_SELECTORS],
+    ]
+    chosen = kept.withColumn("elements", element).select(*page, F.coalesce(*tries).alias("chosen"))
     return chosen.select(*page, F.col("chosen.way").alias("way"), F.explode("chosen.blocks").alias("block"))
 
 
