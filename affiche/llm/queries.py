@@ -92,21 +92,36 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.digests(table(spark, sf_dir, "documents"))
 
 
-def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The licence of every document, its own or that of the nearest directory above it.
+def _places(docs: DataFrame) -> DataFrame:
+    """The documents as files: path and is_licence next to their own columns.
 
-    Documents lie in directories by source, language and thousand of ids; each may be the licence file of its
-    directory, the first by path that states a licence is.
+    Documents lie in directories by source, language and thousand of ids, under id and hash of the text, so that rows
+    that repeat an id with another text are files of their own. Ids divisible by 10 are licence files; of
+    those, ids divisible by 1,000 lie in the directory of the source and other ids divisible by 100 in that of the language.
+    Null source, language and id are called ``none``; a row without an id is no licence file.
     """
-    docs = table(spark, sf_dir, "documents").where(F.col("doc_id").isNotNull())
-    folder = [F.coalesce(F.col(c).cast("string"), F.lit("none")) for c in ("source", "lang")]
-    path = F.concat_ws("/", *folder, F.floor(F.col("doc_id") / 1000).cast("string"), F.col("doc_id").cast("string"))
-    files = docs.select(path.alias("path"), "text", F.lit(True).alias("is_licence"))
-    return licences.scan(files).select(
-        F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "path", "licence", "score", "origin", "source"
+    doc_id = F.col("doc_id")
+    source, lang = [F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("none")) for c in ("source", "lang")]
+    thousand = F.coalesce(F.floor(doc_id / 1000).cast("string"), F.lit("none"))
+    name = F.concat_ws("-", F.coalesce(doc_id.cast("string"), F.lit("none")), F.hex(F.xxhash64("text")))
+    place = F.when(doc_id % 1000 == 0, source).when(doc_id % 100 == 0, F.concat_ws("/", source, lang))
+    place = F.coalesce(place, F.concat_ws("/", source, lang, thousand))
+    return docs.select(
+        "doc_id", "text", F.concat_ws("/", place, name).alias("path"), F.coalesce(doc_id % 10 == 0, F.lit(False)).alias("is_licence")
     )
 
 
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every row of the documents, its own or that of the nearest directory above it.
+
+    Where they lie is said in ``_places``; of several licence files in one directory the first by path counts. Rows that
+    repeat id and text are one file, and each of them is returned.
+    """
+    files = _places(table(spark, sf_dir, "documents"))
+    found = licences.scan(files.select("path", "text", "is_licence"))
+    return files.select("path", "doc_id").join(found, "path").select("doc_id", "path", "licence", "score", "origin", "source")
+
+
 def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines of 20 characters and more that 3 documents hold, but in the last of them."""
     return lines.digests(table(spark, sf_dir, "documents"))
