@@ -108,7 +108,7 @@ def links_function():
 
     A page without HTML, and one that the reader gives up on, has no links.
     """
-    rules, read_page = _RULES, markup.read_page
+    rules, read_page = {**_RULES, "only_links": True}, markup.read_page
 
     class PageLinks:
         def eval(self, url: str, html: str):
@@ -140,7 +140,8 @@ def _read(pages: DataFrame, links: bool) -> DataFrame:
 
 
 def _reader(schema: T.StructType, links: bool):
-    arrow_schema, rules, read_page = to_arrow_schema(schema), _RULES, markup.read_page
+    arrow_schema, read_page = to_arrow_schema(schema), markup.read_page
+    rules = {**_RULES, "only_links": links, "tags": {}}  # with the start tags a task has seen
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

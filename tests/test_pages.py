@@ -275,3 +275,32 @@ def test_snapshots_that_share_an_id_stay_apart(spark):
         ("https://b.fr/", "BETA numéro 1"), ("https://b.fr/", "BETA numéro 2"),
     ]
     assert all(r["full_text"].startswith(r["title"]) for r in items)
+
+
+_HREFS = (
+    "/a a/b #h ?q=1 javascript:void(0) mailto:a@b https://x.fr https://x.fr/a/../b HTTP://x.fr/a http://x.fr/a? http://x.fr/a# //y/z "
+    "./x/../agenda/5 ../up a//b a/./b a/.b é/ü a:b a;p http://[x http:/x https:x javascript://x /a//b /a;b a/ x/?a=1#f a? a# . .. %20x"
+).split()
+
+
+@pytest.mark.parametrize("base", ["https://s.fr", "https://s.fr/a/b", "https://s.fr/a//b", "https://s.fr/.a/b", "https://s.fr/a;p/b", "https://s.fr/a?q=/x#f", "HTTPS://S.fr/a", "a/b"])
+def test_reader_of_links_reads_nothing_else(base):
+    from affiche.functions.urls import absolute
+
+    rules = {**page_source._RULES, "only_links": True}
+    html = "<nav class=event>avant" + "".join(f'<a href="{href}">Lien <b>{n}</b></a> entre<p>un texte</p>' for n, href in enumerate(_HREFS))
+    facts = page_source.markup.read_page(base, html, rules)
+    assert [link[2] for link in facts.links] == [absolute(base, href) for href in _HREFS]
+    assert [link[3] for link in facts.links] == [f"lien{n}" for n in range(len(_HREFS))]
+    assert facts.pieces == [part for n in range(len(_HREFS)) for part in ("Lien", str(n))]
+    assert facts.paras == facts.blocks == []
+
+
+def test_reader_remembers_start_tags_for_one_set_of_rules():
+    rules = {**page_source._RULES, "tags": {}}
+    html = '<article class="event wide"><h3>Un</h3></article>'
+    first, again = (page_source.markup.read_page("https://s.fr/", html, rules).blocks for _ in range(2))
+    assert first == again == page_source.markup.read_page("https://s.fr/", html, page_source._RULES).blocks
+    assert [tag.classes for tag in rules["tags"].values()] == [["event", "wide"], None]
+    page_source.markup.read_page("https://s.fr/", "".join(f"<i id={n}>" for n in range(10_000)), rules)
+    assert len(rules["tags"]) <= page_source.markup._REMEMBERED
