@@ -24,30 +24,26 @@ def sitemap_pages(sitemaps: DataFrame, roots: DataFrame, n: int | None = None, l
 
     ``levels`` says how many levels of listed sitemaps are followed (0: only the roots). Each level is one step
     over pairs (root, sitemap) that were not reached before, so sitemaps that list each other, or are
-    listed many times, end there; every sitemap is read once, whichever roots lead to it.
+    listed many times, end there; every sitemap is read once, whichever roots lead to it, or none.
 
     With ``n`` no more than the first ``n`` pages of a sitemap are followed. That is
     exact where the first ``n`` by URL are asked for in the end, and a sitemap listed by
     many others is then not multiplied by its whole length.
     """
     loc = F.col("loc")
+    # Every sitemap is read once, where it lies, and only its short entries are kept: following a level meets no XML.
+    # (Written unfiltered: a filter would work every entry's text out once more for each test.)
+    entries = written(sitemap_locations(sitemaps.filter("url IS NOT NULL")).drop("loc_ix").withColumn("is_sitemap", is_sub_sitemap(loc)))
+    listed = entries.filter("is_sitemap").select("url", "loc")
     frontier = written(roots.select("root", F.col("root").alias("url")).distinct())
-    reached, locations = frontier, None
-    for level in range(levels + 1):
-        wanted = frontier.select("url").distinct()
-        if locations is not None:
-            wanted = wanted.join(read, "url", "left_anti")
-        here = written(sitemap_locations(sitemaps.join(wanted, "url", "left_semi")).drop("loc_ix"))
-        read = wanted if locations is None else read.union(wanted)
-        locations = here if locations is None else locations.union(here)
-        if level == levels:
-            break
-        below = frontier.join(locations.filter(is_sub_sitemap(loc)), "url").select("root", loc.alias("url")).distinct()
+    reached = frontier
+    for _ in range(levels):
+        below = frontier.join(listed, "url").select("root", loc.alias("url")).distinct()
         frontier = written(below.join(reached, ["root", "url"], "left_anti"))
         if frontier.isEmpty():
             break
         reached = reached.union(frontier)
-    named = locations.filter(~is_sub_sitemap(loc) & path_matches_agenda(loc)).select("url", loc.alias("page_url")).distinct()
+    named = entries.filter(~F.col("is_sitemap") & path_matches_agenda(loc)).select("url", loc.alias("page_url")).distinct()
     return reached.join(cap_pages(named, "url", n=n), "url").select("root", "page_url").distinct()
 
 

@@ -167,6 +167,22 @@ def test_sitemap_levels(spark, levels, of_r, of_s):
     assert len(rows) == len({tuple(r) for r in rows})
 
 
+def test_sitemaps_are_scanned_once(spark):
+    """However many levels are followed: their text is not dealt to the level that asks for it."""
+    scanned = spark.sparkContext.accumulator(0)
+
+    def counted(row):
+        scanned.add(1)
+        return row
+
+    rows = tree(spark)
+    counting = spark.createDataFrame(rows.rdd.map(counted), rows.schema)
+    roots = spark.createDataFrame([("r/sitemap.xml",)], "root string")
+    assert discovery.sitemap_pages(counting, roots, levels=2).count() > 0
+    assert scanned.value == rows.count()
+
+
+
 def test_pages_of_each_sitemap_are_cut(spark):
     roots = spark.createDataFrame([("s/sitemap.xml",)], "root string")
     assert [r["page_url"] for r in discovery.sitemap_pages(tree(spark), roots, n=1).collect()] == ["r/agenda/c1"]
