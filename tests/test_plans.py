@@ -1,5 +1,6 @@
 """The physical plans the jobs rely on at scale."""
 
+import datetime as dt
 import re
 
 import pytest
@@ -11,6 +12,7 @@ from affiche.schema import NEW_ACTIVITY
 from affiche.sources import registry, store
 from affiche.sources.pages import read_pages
 from affiche.sources.settle import written
+from verification import views
 
 
 @pytest.fixture(scope="module")
@@ -86,3 +88,23 @@ def test_undated_rows_stay_out_of_the_join(activities, plan_of):
     fresh = store.insert_if_absent(activities.select(*NEW_ACTIVITY.names), activities)
     plan = plan_of(fresh)
     assert "LeftAnti" in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_the_rules_of_listings_are_no_whole_stage_method(spark, tmp_path, plan_of):
+    orders = [(k, 1, dt.datetime(1995, 1, 1 + k)) for k in range(20)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
+    customer = spark.createDataFrame([(1, "C", 7, "S")], "c_custkey long, c_name string, c_nationkey int, c_mktsegment string")
+    customer.write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(7, "NATION_7")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    found = views.activities(spark, str(tmp_path))
+    assert found.count() == len(found.collect()) == 20
+    rules = [line for line in plan_of(found).splitlines() if "Project" in line and "lpad(" in line]
+    assert rules and not any(re.search(r"\*\([0-9]+\) Project", line) for line in rules)
+
+
+def test_orders_of_days_are_the_semi_join_of_their_listings(spark, tmp_path, plan_of):
+    day = [dt.datetime(1995, 1, n) for n in range(1, 5)]
+    orders = [(1, 1, day[0]), (1, 1, day[3]), (2, 1, day[3]), (3, 1, None), (None, 1, day[0]), (4, 1, day[1]), (4, 1, day[1])]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
+    early = views.orders_of_days(spark, str(tmp_path), "1995-01-03")
+    assert sorted(tuple(r) for r in early.collect()) == [(1, 1, day[0]), (1, 1, day[3]), (4, 1, day[1]), (4, 1, day[1])]

@@ -293,3 +293,32 @@ def test_agenda_pages_of_a_later_run(spark, tmp_path):
     assert crawl("https://a.fr/", home='<nav><a href="/agenda/ete">Agenda</a></nav>') == ["1", "2"]
     pages["https://a.fr/agenda"] = event.format(5) + event.format(6)
     assert crawl("https://a.fr/agenda", "https://a.fr/agenda/ete") == ["1", "2", "3", "4"]
+
+
+# ---- what a load costs
+
+
+def test_a_load_into_an_empty_store_joins_nothing(spark, path, plan_of):
+    store.init_store(spark, path)
+    fresh = store.insert_if_absent(rows_of(spark, {"title": "A"}), stored(spark, path))
+    assert [r["title"] for r in fresh.collect()] == ["A"]
+    assert "Join" not in plan_of(fresh)
+
+
+def test_keys_meet_by_their_hashes(spark, path, plan_of):
+    store.append(path, rows_of(spark, {"title": "A"}, {"title": "A", "event_date": None}), "1")
+    batch = rows_of(spark, {"title": "A"}, {"title": "B"}, {"title": "B"}, {"title": "A", "event_date": None})
+    for null_safe, left in ((False, ["A", "B"]), (True, ["B"])):
+        fresh = store.insert_if_absent(batch, stored(spark, path), null_safe)
+        plan = plan_of(fresh)
+        assert sorted(r["title"] for r in fresh.collect()) == left and "__key_hash" not in fresh.columns
+        assert "LeftAnti" in plan and "__key_hash" in plan and "NestedLoop" not in plan
+
+
+def test_ids_follow_the_batch_without_gaps_between_its_tasks(spark, path):
+    batch = rows_of(spark, *[{"title": f"t{i}"} for i in range(25)]).repartition(7)
+    in_order = [r["title"] for r in batch.collect()]
+    assert store.append(path, batch, "1") == 25
+    assert [r["title"] for r in stored(spark, path).orderBy("id").collect()] == in_order
+    counts = spark.read.schema(store.CELLS).parquet(f"{path}/cells").agg(F.sum("n")).first()[0]
+    assert counts == 25 and store.append(path, batch, "2") == 0

@@ -176,3 +176,20 @@ def test_word_patterns_equal_substring_search(on_texts, words):
     texts = [f"x{w}y" for w in words] + [w[:-1] for w in words] + [w[1:] for w in words] + ["", "zzz"]
     want = [any(w in t for w in words) for t in texts]
     assert on_texts(lambda c: contains_any(c, words), texts) == want
+
+
+def test_worded_dates_that_overlap(on_texts):
+    dates = {
+        "115 mai 2026": "2026-05-15",
+        "12 déc. 2026 puis 1 mai 2027 et 3 mai 2028": "2027-05-01",
+        "11 déc. 2026 11 avr 2027": "2027-04-11",
+        "15 mai 2026 mars 2027 janv 2028": "2027-03-26",
+        "5 oct 2026|5 octobre 2025": "2025-10-05",
+    }
+    assert on_texts(text.french_date, list(dates)) == list(dates.values())
+
+
+def test_both_forms_of_the_age_rule(spark):
+    rows = spark.createDataFrame([(t,) for t in [*AGES, None, "99-0 ans"]], "t string")
+    both = rows.select(text.age_bounds(F.col("t")).alias("a"), text.age_range(F.col("t")).alias("r"))
+    assert all(tuple(r["a"]) == tuple(r["r"]) for r in both.collect())
