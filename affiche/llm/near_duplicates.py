@@ -22,6 +22,8 @@ SHARE_TOP, SHARE_OF = 75, 100
 KEY = np.uint64(0xFFFFFFFFFFFF0000)
 #: Members of a group that one task searches at once; larger groups are split into blocks.
 BLOCK = 1024
+#: Lists and sets probed for at once.
+PROBES = 1_000_000
 
 
 def least_overlap(n: np.ndarray | int):
@@ -34,6 +36,15 @@ def links(n: np.ndarray | int, m: np.ndarray | int, common: np.ndarray | int):
     return SHARE_OF * common >= SHARE_TOP * (n + m - common)
 
 
+def by_document(docs: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The order by document and hash. Few documents are numbered by 16 bits, which numpy deals out without comparing."""
+    order = np.argsort(hashes)
+    numbers = docs[order]
+    if len(docs) and docs.max() < 1 << 16:
+        numbers = numbers.astype(np.uint16)
+    return order[np.argsort(numbers, kind="stable")]
+
+
 def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For runs of documents: the first one, and the document and hash of each distinct shingle, in order.
 
@@ -50,7 +61,7 @@ def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
                 at, own = words.grams(n)
                 whole = np.isin(at, words.first[short]) & (words.count[words.doc[at]] == n)
                 docs, hashes = np.concatenate([docs, words.doc[at[whole]]]), np.concatenate([hashes, own[whole] + np.uint64(n)])
-        order = np.lexsort((hashes, docs))
+        order = by_document(docs, hashes)
         docs, hashes = docs[order], hashes[order]
         new = np.ones(len(docs), bool)
         new[1:] = (docs[1:] != docs[:-1]) | (hashes[1:] != hashes[:-1])
@@ -237,9 +248,12 @@ class Lists:
         self.ids, self.sizes = ids, sizes
         flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
         owner = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
-        order = np.lexsort((owner, flat))
+        order = np.argsort(flat, kind="stable")  # owners ascend in it already
         flat, self.sets = flat[order], owner[order]
-        self.tokens, self.start = np.unique(flat, return_index=True)
+        new = np.ones(len(flat), bool)
+        new[1:] = flat[1:] != flat[:-1]
+        self.start = np.flatnonzero(new)
+        self.tokens = flat[self.start]
         self.end = np.append(self.start[1:], len(flat))
         #: List and set as one number, ascending: a binary probe for any set in any list.
         self.probe = np.repeat(np.arange(len(self.tokens)), self.end - self.start) * len(tokens) + self.sets
@@ -264,11 +278,14 @@ class Lists:
         merged = np.concatenate([self.sets[self.start[t] : self.end[t]] for t in short]) if len(short) else np.zeros(0, np.int64)
         count = np.bincount(merged, minlength=len(self.ids))
         found = np.flatnonzero(count >= max(1, needed - n_long))
+        if not len(found):
+            return found
         total = count[found]
-        for t in long:
-            wanted = t * len(self.ids) + found
+        step = max(1, PROBES // len(found))
+        for k in range(0, len(long), step):
+            wanted = long[k : k + step, None] * len(self.ids) + found
             place = np.minimum(np.searchsorted(self.probe, wanted), len(self.probe) - 1)
-            total = total + (self.probe[place] == wanted)
+            total = total + (self.probe[place] == wanted).sum(axis=0)
         return found[links(n, self.sizes[found], total)]
 
 
