@@ -142,32 +142,50 @@ def _read(pages: DataFrame, links: bool) -> DataFrame:
 def _reader(schema: T.StructType, links: bool):
     arrow_schema, read_page = to_arrow_schema(schema), markup.read_page
     rules = {**_RULES, "only_links": links, "tags": {}}  # with the start tags a task has seen
+    names = ("links",) if links else ("pieces", "paras", "blocks")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 64):  # small output batches, pages can be large
-                rows = []
-                for row in batch.slice(start, 64).to_pylist():
-                    out = {"page_id": row["page_id"], "url": row["url"]}
+                rows = batch.slice(start, 64)
+                found, errors = [], []
+                for url, html in zip(rows["url"].to_pylist(), rows["html"].to_pylist()):
+                    error = "no HTML" if html is None else None
                     try:
-                        facts = read_page(row["url"] or "", row["html"] or "", rules)
-                        if row["html"] is None:
-                            out["error"] = "no HTML"
+                        facts = read_page(url or "", html or "", rules)
                     except Exception as problem:  # one bad page never fails the job
-                        out["error"] = f"{type(problem).__name__}: {problem}"
-                    else:
-                        if links:
-                            names = ("link_ix", "href", "link_url", "text", "zone")
-                            out["links"] = [dict(zip(names, link)) for link in facts.links]
-                        else:
-                            out["pieces"], out["paras"] = facts.pieces, facts.paras
-                            out["blocks"] = facts.blocks
-                    rows.append(out)
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow_schema)
+                        facts, error = None, f"{type(problem).__name__}: {problem}"
+                    found.append(facts)
+                    errors.append(error)
+                lists = [_list_column([f and getattr(f, n) for f in found], arrow_schema.field(n).type) for n in names]
+                columns = [rows["page_id"], rows["url"], *lists, pa.array(errors, pa.string())]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow_schema)], schema=arrow_schema)
 
     return read
 
 
+def _list_column(lists: list[list | None], kind: pa.ListType) -> pa.Array:
+    """One list for each page, null for None; structs are given as sequences in the order of their fields."""
+    flat, offsets = [], []
+    for values in lists:
+        offsets.append(None if values is None else len(flat))
+        flat += values or ()
+    return pa.ListArray.from_arrays(pa.array([*offsets, len(flat)], pa.int32()), _column(flat, kind.value_type), type=kind)
+
+
+def _column(values: list | tuple, kind: pa.DataType) -> pa.Array:
+    """Values column by column: an Arrow array from a dict for each struct takes several times as long."""
+    if not pa.types.is_struct(kind):
+        return pa.array(values, kind)
+    missing = [v is None for v in values]
+    if any(missing):
+        none = (None,) * kind.num_fields
+        values = [none if v is None else v for v in values]
+    columns = zip(*values) if values else [()] * kind.num_fields
+    arrays = [_column(column, field.type) for column, field in zip(columns, kind)]
+    return pa.StructArray.from_arrays(arrays, fields=list(kind), mask=pa.array(missing, pa.bool_()) if any(missing) else None)
+
+
 def sitemap_locations(sitemaps: DataFrame) -> DataFrame:
     """(url, loc_ix, loc): the ``<loc>`` texts of each sitemap, broken XML included."""
     found = F.regexp_extract_all("xml", F.lit(r"(?is)<loc(?:\s[^>]*)?>([^<]*)</loc>"), 1)

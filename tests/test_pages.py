@@ -304,3 +304,48 @@ def test_reader_remembers_start_tags_for_one_set_of_rules():
     assert [tag.classes for tag in rules["tags"].values()] == [["event", "wide"], None]
     page_source.markup.read_page("https://s.fr/", "".join(f"<i id={n}>" for n in range(10_000)), rules)
     assert len(rules["tags"]) <= page_source.markup._REMEMBERED
+
+
+def test_links_of_the_same_classes_share_a_tag(monkeypatch):
+    made, tag = [], page_source.markup._Tag
+
+    def counted(*args):
+        made.append(args[0])
+        return tag(*args)
+
+    monkeypatch.setattr(page_source.markup, "_Tag", counted)
+    html = "<nav>" + "".join(f'<a class="nav-link {n % 2}" href="/agenda/{n}">Lien {n}</a>' for n in range(100)) + "</nav>"
+    for links in (True, False):
+        made.clear()
+        facts = page_source.markup.read_page("https://s.fr/", html, {**page_source._RULES, "only_links": links, "tags": {}})
+        assert sorted(made) == ["a", "a", "nav"]
+        assert [link[2] for link in facts.links] == [f"https://s.fr/agenda/{n}" for n in range(100)] * links
+
+
+def test_facts_go_to_arrow_column_by_column(spark, monkeypatch):
+    """Lists of a page without facts, null structs and empty lists keep their places."""
+    schema = page_source.T.StructType.fromDDL(
+        f"page_id bigint, url string, pieces array<string>, paras array<{page_source.PARA}>, blocks array<{page_source.BLOCK}>, error string"
+    )
+    read_page = page_source.markup.read_page
+
+    def failing(url, html, rules):
+        if html == "bad":
+            raise ValueError("no")
+        return read_page(url, html, rules)
+
+    monkeypatch.setattr(page_source.markup, "read_page", failing)
+    html = '<div class="card"><h3>Un &amp; deux</h3><p>texte</p></div><p class="film"></p>'
+    columns = [[1, 2, 3, 4], ["https://s.fr/", None, "u", "v"], [html, None, "bad", ""]]
+    batch = page_source.pa.RecordBatch.from_arrays([page_source.pa.array(c) for c in columns], names=["page_id", "url", "html"])
+    (out,) = page_source._reader(schema, False)(iter([batch]))
+    full, none, bad, empty = out.to_pylist()
+    assert out.schema.equals(page_source.to_arrow_schema(schema))
+    assert full["pieces"] == ["Un & deux", "texte"] and full["error"] is None
+    assert full["paras"] == [{"start": 1, "stop": 2, "chars": 5}, {"start": 2, "stop": 2, "chars": 0}]
+    assert [b["title"] for b in full["blocks"]] == [{"start": 0, "stop": 1}, None]
+    assert [b["classes"] for b in full["blocks"]] == [["card"], ["film"]]
+    assert [b["text"] for b in full["blocks"]] == [{"start": 0, "stop": 2}, {"start": 2, "stop": 2}]
+    assert none == {"page_id": 2, "url": None, "pieces": [], "paras": [], "blocks": [], "error": "no HTML"}
+    assert bad == {"page_id": 3, "url": "u", "pieces": None, "paras": None, "blocks": None, "error": "ValueError: no"}
+    assert empty == {"page_id": 4, "url": "v", "pieces": [], "paras": [], "blocks": [], "error": None}
